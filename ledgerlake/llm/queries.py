@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlake.llm import bpe, line_dedup, mixing, token_counts, url_filter
+from ledgerlake.llm import bpe, line_dedup, mixing, simhash, token_counts, url_filter
 from ledgerlake.llm.common import table
 
 
@@ -41,6 +41,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -54,6 +58,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_url_filter": op2_url_filter,
         "op3_line_dedup": op3_line_dedup,
         "op6_mixing": op6_mixing,
+        "op8_simhash": op8_simhash,
         "op9_token_counts": op9_token_counts,
         "op10_bpe": op10_bpe,
     }
