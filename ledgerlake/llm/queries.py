@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlake.llm import bpe, line_dedup, mixing, simhash, token_counts, url_filter
+from ledgerlake.llm import bpe, hnsw, line_dedup, mixing, simhash, token_counts, url_filter
 from ledgerlake.llm.common import table
 
 
@@ -16,6 +16,11 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return hnsw.nearest(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 #: Host and path rules of op2's contract, and the globs that judge what none of them fits.
 URL_RULES = (
     url_filter.Rule("net/", "block"),
@@ -55,6 +60,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_nearest": op1_nearest,
         "op2_url_filter": op2_url_filter,
         "op3_line_dedup": op3_line_dedup,
         "op6_mixing": op6_mixing,
