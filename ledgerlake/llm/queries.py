@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlake.llm import bpe, hnsw, line_dedup, mixing, simhash, token_counts, url_filter
+from ledgerlake.llm import bpe, hnsw, line_dedup, mixing, simhash, token_counts, toxicity, url_filter
 from ledgerlake.llm.common import table
 
 
@@ -42,6 +42,11 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digests(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -63,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_nearest": op1_nearest,
         "op2_url_filter": op2_url_filter,
         "op3_line_dedup": op3_line_dedup,
+        "op4_toxicity": op4_toxicity,
         "op6_mixing": op6_mixing,
         "op8_simhash": op8_simhash,
         "op9_token_counts": op9_token_counts,
