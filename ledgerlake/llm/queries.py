@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlake.llm import bpe, hnsw, line_dedup, mixing, simhash, token_counts, toxicity, url_filter
+from ledgerlake.llm import bpe, hnsw, line_dedup, mixing, pii, simhash, token_counts, toxicity, url_filter
 from ledgerlake.llm.common import table
 
 
@@ -47,6 +47,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs, spark.conf.get("ledgerlake.pii.key", "set ledgerlake.pii.key in production"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -69,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_url_filter": op2_url_filter,
         "op3_line_dedup": op3_line_dedup,
         "op4_toxicity": op4_toxicity,
+        "op5_pii": op5_pii,
         "op6_mixing": op6_mixing,
         "op8_simhash": op8_simhash,
         "op9_token_counts": op9_token_counts,
