@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlake.llm import bpe, hnsw, line_dedup, mixing, pii, simhash, token_counts, toxicity, url_filter
+from ledgerlake.llm import bpe, hnsw, line_dedup, media, mixing, pii, simhash, token_counts, toxicity, url_filter
 from ledgerlake.llm.common import table
 
 
@@ -56,6 +56,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.near_copies(media.pictures_of(table(spark, sf_dir, "embeddings")))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -76,6 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_toxicity": op4_toxicity,
         "op5_pii": op5_pii,
         "op6_mixing": op6_mixing,
+        "op7_media": op7_media,
         "op8_simhash": op8_simhash,
         "op9_token_counts": op9_token_counts,
         "op10_bpe": op10_bpe,
