@@ -316,3 +316,74 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     named = joined.join(smallest, "root").select("f0", "component_id")
     out = prints.join(named, "f0")
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# --- near-duplicates by shingle similarity --------------------------------------------------
+
+LANES = 4
+
+
+def bit_agreement(similarity: float) -> float:
+    """Chance that a bit agrees for two texts of equal length with this Jaccard similarity: the angle between their sums decides."""
+    return 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def _jaccard(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[str | None, np.ndarray] = (None, np.zeros(0, np.uint64))
+        for batch in batches:
+            out = []
+            for s, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if s != last[0]:
+                    last = (s, np.unique(shingle_hashes(s, words)))
+                b = np.unique(shingle_hashes(t, words))
+                both = len(np.intersect1d(last[1], b, assume_unique=True))
+                out.append(both / (len(last[1]) + len(b) - both) if both else 0.0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], names=["a", "b", "similarity"])
+
+    return run
+
+
+def similar_groups(docs: DataFrame, *, text: str = "text", words: int = 5, similarity: float = 0.8, recall: float = 0.995) -> DataFrame:
+    """(t1, t2, root) of every distinct text of ``docs``: its 128-bit hash, and its group's root.
+
+    Candidates are BK-tree links of 256-bit fingerprints at a radius that texts
+    of this similarity exceed once in thousands; an exact Jaccard check of their
+    shingle sets follows.  ``recall`` is the chance that two texts of just this
+    similarity share a key; nearer ones share several.
+    """
+    body = F.coalesce(F.col(text), F.lit(""))
+    hashed = docs.select(F.struct(F.xxhash64(body).alias("t1"), F.xxhash64(F.lit(7), body).alias("t2")).alias("k"), body.alias("t"))
+    rows = fingerprints(hashed, id_col="k", text="t", words=words, lanes=LANES)
+    lanes = [f"f{k}" for k in range(LANES)]
+    distinct = rows.groupBy(F.col("id.t1").alias("t1"), F.col("id.t2").alias("t2")).agg(*(F.first(c).alias(c) for c in lanes))
+    # Numbered once and kept, so the numbers stay.
+    prints = durable(distinct.withColumn("node", F.monotonically_increasing_id()))
+    agree, bits = bit_agreement(similarity), 64 * LANES
+    radius = math.ceil(bits * (1 - agree) + 3.5 * math.sqrt(bits * agree * (1 - agree)))
+    keys = sampled_keys(prints.count(), agree=agree, recall=recall, bits=bits)
+    pairs = durable(near_links(prints.select("node", *lanes), keys, radius, lanes=LANES).select("a", "b").distinct())
+    # Only the texts of candidates are fetched, one of each.
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(prints.select("node", "t1", "t2"), "node")
+    texts = hashed.select("k.t1", "k.t2", "t").join(asked, ["t1", "t2"]).groupBy("node").agg(F.first("t").alias("t"))
+    texts = durable(texts)
+    sides = pairs.join(texts.select(F.col("node").alias("a"), F.col("t").alias("s")), "a").join(texts.select(F.col("node").alias("b"), "t"), "b").select("a", "b", "s", "t")
+    links = sides.mapInArrow(_jaccard(words), "a long, b long, similarity double").where(F.col("similarity") >= similarity)
+    roots = components(links.select("a", "b"))
+    return prints.select("t1", "t2", "node").join(roots, "node", "left").select("t1", "t2", F.coalesce("root", "node").alias("root"))
+
+
+def one_of_each_group(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs``, all columns, with one row of each group of near-duplicates: the one with the smallest id (a null id is last).
+
+    Equal texts are always one group, null and empty ones too.  Of rows that
+    share text and id, one stays, by a hash of the row.
+    """
+    body = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.xxhash64(body).alias("t1"), F.xxhash64(F.lit(7), body).alias("t2"), F.xxhash64(*docs.columns).alias("h"))
+    groups = durable(similar_groups(docs, text=text, words=words, similarity=similarity))
+    first = rows.groupBy("t1", "t2").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("m"))
+    first = first.join(groups, ["t1", "t2"]).groupBy("root").agg(F.min(F.struct("m", "t1", "t2")).alias("best"))
+    stay = first.select(F.col("best.t1").alias("t1"), F.col("best.t2").alias("t2"), F.col("best.m.h").alias("h"))
+    kept = rows.join(stay, ["t1", "t2", "h"], "left_semi").dropDuplicates(["t1", "t2", "h"])
+    return kept.select(*(F.col("row")[c].alias(c) for c in docs.columns))
