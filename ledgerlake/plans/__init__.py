@@ -1,0 +1,7 @@
+"""Registered queries."""
+
+
+def registries():
+    from ledgerlake.plans import spend
+
+    return [spend.R]
