@@ -2,6 +2,6 @@
 
 
 def registries():
-    from ledgerlake.plans import spend
+    from ledgerlake.plans import rules, spend
 
-    return [spend.R]
+    return [spend.R, rules.R]
