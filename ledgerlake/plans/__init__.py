@@ -2,6 +2,6 @@
 
 
 def registries():
-    from ledgerlake.plans import rules, spend
+    from ledgerlake.plans import inputs, rules, spend
 
-    return [spend.R, rules.R]
+    return [spend.R, rules.R, inputs.R]
