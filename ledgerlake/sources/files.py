@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -77,6 +77,10 @@ def normal_header(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), r"[^a-z0-9]+", " "))
 
 
+def _has(token: str) -> Callable[[Column], Column]:
+    return lambda c: c.contains(token)
+
+
 def after_header(rows: DataFrame, tokens: list[str], max_scan: int = 25) -> tuple[DataFrame, DataFrame]:
     """(data, headers): the first of a file's first rows that has all ``tokens`` among its cells is the header; data stands below it.
 
@@ -84,8 +88,8 @@ def after_header(rows: DataFrame, tokens: list[str], max_scan: int = 25) -> tupl
     """
     names = F.transform("cells", normal_header)
     test = F.lit(True)
-    for t in tokens:
-        test = test & F.exists(names, lambda c, t=t: c.contains(t))
+    for token in tokens:
+        test = test & F.exists(names, _has(token))
     numbered = rows.withColumn("_n", F.row_number().over(Window.partitionBy("file").orderBy("line_no")))
     headers = numbered.where((F.col("_n") <= max_scan) & test).groupBy("file").agg(F.min_by(F.struct("line_no", "cells"), "line_no").alias("h")).select("file", F.col("h.line_no").alias("header_no"), F.col("h.cells").alias("header"))
     data = rows.join(headers.select("file", "header_no"), "file").where(F.col("line_no") > F.col("header_no")).drop("header_no")
