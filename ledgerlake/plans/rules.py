@@ -382,16 +382,25 @@ def n03_upsert(i: Inputs):
 # --- ordered logic and clusters -------------------------------------------------------------
 
 
-@query(duck("spend", """
-WITH h AS (SELECT DISTINCT council, CAST(substr(period, 1, 4) AS INT) * 12 + CAST(substr(period, 6, 2) AS INT) - 1 AS m FROM spend WHERE nk % 3 = 0 OR (nk % 3 = 1 AND CAST(substr(period, 6, 2) AS INT) % 3 = 0) OR (nk % 3 = 2 AND substr(period, 6, 2) = '06')),
-l AS (SELECT council, m, row_number() OVER (PARTITION BY council ORDER BY m DESC) AS r FROM h), g AS (SELECT council, m, r, lag(m) OVER (PARTITION BY council ORDER BY r) - m AS gap FROM l WHERE r <= 13),
-md AS (SELECT council, gap, row_number() OVER (PARTITION BY council ORDER BY count(*) DESC, min(r)) AS o FROM g WHERE gap IS NOT NULL GROUP BY 1, 2)
-SELECT g.council, count(*) AS months, max(m) AS newest, CAST(CASE WHEN count(*) < 3 THEN 1 WHEN any_value(md.gap) <= 1 THEN 1 WHEN any_value(md.gap) <= 4 THEN 3 WHEN any_value(md.gap) <= 8 THEN 6 ELSE 12 END AS INT) AS cadence, CASE WHEN count(*) < 3 THEN 'low' ELSE 'high' END AS confidence FROM g LEFT JOIN md ON g.council = md.council AND o = 1 GROUP BY 1"""))
+THINNED = "nk % 3 = 0 OR (nk % 3 = 1 AND CAST(substr(period, 6, 2) AS INT) % 3 = 0) OR (nk % 3 = 2 AND substr(period, 6, 2) = '06')"
+
+
+def _cadence_sql(rows: str) -> str:
+    return f"""
+SELECT g.council, count(*) AS months, max(m) AS newest, CAST(CASE WHEN count(*) < 3 THEN 1 WHEN any_value(md.gap) <= 1 THEN 1 WHEN any_value(md.gap) <= 4 THEN 3 WHEN any_value(md.gap) <= 8 THEN 6 ELSE 12 END AS INT) AS cadence, CASE WHEN count(*) < 3 THEN 'low' ELSE 'high' END AS confidence FROM (
+  SELECT council, m, r, lag(m) OVER (PARTITION BY council ORDER BY r) - m AS gap FROM (
+    SELECT council, m, row_number() OVER (PARTITION BY council ORDER BY m DESC) AS r FROM (SELECT DISTINCT council, CAST(substr(period, 1, 4) AS INT) * 12 + CAST(substr(period, 6, 2) AS INT) - 1 AS m FROM spend WHERE {rows}) h) l WHERE r <= 13) g
+LEFT JOIN (SELECT council, gap, row_number() OVER (PARTITION BY council ORDER BY count(*) DESC, min(r)) AS o FROM (
+  SELECT council, m, r, lag(m) OVER (PARTITION BY council ORDER BY r) - m AS gap FROM (
+    SELECT council, m, row_number() OVER (PARTITION BY council ORDER BY m DESC) AS r FROM (SELECT DISTINCT council, CAST(substr(period, 1, 4) AS INT) * 12 + CAST(substr(period, 6, 2) AS INT) - 1 AS m FROM spend WHERE {rows}) h) l WHERE r <= 13) g2 WHERE gap IS NOT NULL GROUP BY 1, 2) md ON g.council = md.council AND o = 1 GROUP BY 1"""
+
+
+@query(duck("spend", _cadence_sql(THINNED)))
 def w02_cadence(i: Inputs):
-    return O.cadence(i.spend.where("nk % 3 = 0 OR (nk % 3 = 1 AND CAST(substr(period, 6, 2) AS INT) % 3 = 0) OR (nk % 3 = 2 AND substr(period, 6, 2) = '06')"))
+    return O.cadence(i.spend.where(THINNED))
 
 
-@query(duck("spend", "SELECT council, CAST(2002 * 12 - max(CAST(substr(period, 1, 4) AS INT) * 12 + CAST(substr(period, 6, 2) AS INT) - 1) - 3 AS INT) AS months_late FROM spend GROUP BY 1 HAVING 2002 * 12 - max(CAST(substr(period, 1, 4) AS INT) * 12 + CAST(substr(period, 6, 2) AS INT) - 1) - 3 > 0"))
+@query(duck("spend", f"SELECT council, CAST(2002 * 12 - newest - cadence - 2 - CASE WHEN cadence >= 3 THEN 1 ELSE 0 END AS INT) AS months_late FROM ({_cadence_sql('true')}) c WHERE 2002 * 12 - newest - cadence - 2 - CASE WHEN cadence >= 3 THEN 1 ELSE 0 END > 0"))
 def w03_overdue(i: Inputs):
     return O.overdue(O.cadence(i.spend), F.lit("2002-01-01").cast("date")).select("council", "months_late")
 

@@ -25,7 +25,7 @@ def test_query(spark, sf, duck, name):
     if sql:
         rel = duck.sql(sql)
         assert sorted(rel.columns) == cols
-        assert rows == sorted(tuple(map(str, r)) for r in duck.sql(f"SELECT {', '.join(cols)} FROM ({sql})").fetchall())
+        assert rows == sorted(tuple(map(str, r)) for r in duck.sql("SELECT " + ", ".join(f'"{c}"' for c in cols) + f" FROM ({sql})").fetchall())
 
 
 def test_entry(spark):
@@ -130,6 +130,6 @@ def test_clusters_fit(spark, sf):
 
 
 def test_trace_back(spark):
-    stored = spark.createDataFrame([(1, 7, "Acme Ltd", 10.00), (2, 7, "Nobody", 10.00), (3, 7, "ACME", 10.03)], "id long, source_id long, supplier_raw string, amount double")
-    source = spark.createDataFrame([(7, 5, "acme", 10.01), (7, 4, "Acme Limited", 10.0), (7, 3, "Acme", 10.02)], "source_id long, row_no int, supplier string, amount double")
+    stored = spark.createDataFrame([(1, 7, "Acme Ltd", 10.00), (2, 7, "Nobody", 10.00), (3, 7, "ACME", 10.06)], "id long, source_id long, supplier_raw string, amount double")
+    source = spark.createDataFrame([(7, 5, "acme", 10.01), (7, 4, "Acme Limited", 10.0), (7, 3, "Acme", 10.05)], "source_id long, row_no int, supplier string, amount double")
     assert {r.id: r.row_no for r in contracts.trace_back(stored, source).collect()} == {1: 4, 2: None, 3: 3}
