@@ -102,3 +102,41 @@ def expired(entries: DataFrame, as_of: Column, months: int = 3) -> DataFrame:
 
 def fy_label(by: str) -> Column:
     return dates.fy_from_period(F.col(by)) if by == "period" else dates.fy_from_date(F.col(by))
+
+
+def entity_scope(rows: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """of files that serve several bodies, the rows of each body's own: ``scope_values`` ('a|b', equal, any case) or ``name_contains``.
+
+    ``catalogue``: source_id, scope_values, name_contains; both NULL let all rows pass.
+    """
+    c = catalogue.select(F.col("source_id").alias("_id"), F.transform(F.split(F.lower("scope_values"), r"\|"), lambda v: F.trim(v)).alias("_values"), F.lower("name_contains").alias("_part"))
+    who = F.lower(F.trim("entity"))
+    fits = F.when(F.col("_values").isNotNull(), F.array_contains("_values", who)).when(F.col("_part").isNotNull(), who.contains(F.col("_part"))).otherwise(F.lit(True))
+    return rows.join(F.broadcast(c), F.col("source_id") == F.col("_id")).where(F.coalesce(fits, F.lit(False))).drop("_id", "_values", "_part")
+
+
+#: Texts that stand where a register's supplier should.
+NOT_NAMES = ("supplier", "supplier name", "company", "company name", "n/a", "cell content exceeds data limits")
+
+
+def plausible_name(name: Column) -> Column:
+    """two characters or more, no header echo."""
+    low = F.lower(F.trim(name))
+    return F.coalesce((F.char_length(low) >= 2) & ~low.isin(*NOT_NAMES), F.lit(False))
+
+
+def notice_filter(*, status: str | None = None, cpv: str | None = None, buyer: str | None = None, classified: bool | None = None) -> Column:
+    """any of status, CPV division, buyer name part, classified or not."""
+    out = F.lit(True)
+    out = out & (F.col("status") == status) if status else out
+    out = out & (F.col("cpv_division") == cpv) if cpv else out
+    out = out & F.lower("buyer_name").contains(buyer.lower()) if buyer else out
+    return out & (F.col("layer").isNotNull() == F.lit(classified)) if classified is not None else out
+
+
+def sample_per_group(rows: DataFrame, group: list[str], key: list[str], n: int, seed: int = 1) -> DataFrame:
+    """L3: ``n`` rows of each group, by a seeded hash of their key, so a rerun draws the same."""
+    from pyspark.sql import Window
+
+    draw = Window.partitionBy(*group).orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), *key).cast("binary")), *key)
+    return rows.withColumn("_draw", F.row_number().over(draw)).where(F.col("_draw") <= n).drop("_draw")

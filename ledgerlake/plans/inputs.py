@@ -14,7 +14,14 @@ R = Registry()
 query = R.query
 
 
-@query(None)
+def _text_sql() -> str:
+    text = f"regexp_replace(regexp_replace(html, '{html.UNSEEN}', ' ', 'g'), '<[^>]*>', ' ', 'g')"
+    for name, char in html.ENTITIES.items():
+        text = "replace({}, '{}', '{}')".format(text, name, char.replace("'", "''"))
+    return f"SELECT page_id, trim(regexp_replace({text}, '\\s+', ' ', 'g')) AS text FROM pages"
+
+
+@query(_text_sql())
 def s08_html_text(i: Inputs):
     return i.pages.select("page_id", html.html_text(F.col("html")).alias("text"))
 

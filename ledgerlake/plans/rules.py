@@ -420,3 +420,42 @@ SELECT product_id, lad_a, lad_b, round(6371.0 * 2 * atan2(sqrt(h), sqrt(1 - h)),
 def w09_near_pairs(i: Inputs):
     links = M.link_products(i.entries, products(i)).withColumn("product_id", F.col("product_id") % 10).distinct()
     return K.near_pairs(K.candidates(i.entries, links, i.config, i.geo, F.lit(AS_OF).cast("date"), 24), 60, 6)
+
+
+# --- further filters and joins --------------------------------------------------------------
+
+
+@query("SELECT o_orderkey FROM orders WHERE (o_custkey % 3 = 0 AND lower(o_orderpriority) IN ('1-urgent', '5-low')) OR (o_custkey % 3 = 1 AND contains(lower(o_orderpriority), 'medium')) OR o_custkey % 3 = 2")
+def f06_entity_scope(i: Inputs):
+    cat = i.spark.createDataFrame([(0, "1-URGENT | 5-low", None), (1, None, "Medium"), (2, None, None)], "source_id long, scope_values string, name_contains string")
+    rows = i.orders.select("o_orderkey", (F.col("o_custkey") % 3).alias("source_id"), F.col("o_orderpriority").alias("entity"))
+    return filters.entity_scope(rows, cat).select("o_orderkey")
+
+
+@query("SELECT buyer_name, count(*) AS n FROM (SELECT CASE WHEN doc_id % 3 = 0 THEN 'Council ' || source WHEN doc_id % 3 = 1 THEN 'County ' || source ELSE 'Trust ' || source END AS buyer_name FROM documents) d WHERE buyer_name LIKE 'Coun%' GROUP BY 1")
+def f10_local_government(i: Inputs):
+    name = F.concat(F.when(F.col("doc_id") % 3 == 0, "Council ").when(F.col("doc_id") % 3 == 1, "County ").otherwise("Trust "), "source")
+    return i.documents.select(name.alias("buyer_name")).where(filters.local_government(F.col("buyer_name"))).groupBy("buyer_name").agg(F.count("*").alias("n"))
+
+
+@query(duck("notices", f"SELECT ocid FROM (SELECT *, {TEXT} AS t FROM notices) n WHERE status = 'active' AND contains(lower(buyer_name), 'src1') AND {CLASS_CASE} IS NOT NULL"))
+def f12_notice_filter(i: Inputs):
+    return classified(i).where(filters.notice_filter(status="active", buyer="SRC1", classified=True)).select("ocid")
+
+
+@query(duck("spend", "SELECT council, okey, line, supplier_canon FROM (SELECT council, okey, line, supplier_canon, row_number() OVER (PARTITION BY council ORDER BY md5(concat_ws('|', '1', CAST(okey AS STRING), CAST(line AS STRING), supplier_canon)), CAST(okey AS STRING), CAST(line AS STRING), supplier_canon) AS r FROM (SELECT DISTINCT council, okey, line, supplier_canon FROM spend) d) x WHERE r <= 5"))
+def l03_sample(i: Inputs):
+    rows = i.spend.select("council", F.col("okey").cast("string").alias("okey"), F.col("line").cast("string").alias("line"), "supplier_canon").distinct()
+    return filters.sample_per_group(rows, ["council"], ["okey", "line", "supplier_canon"], 5).select("council", F.col("okey").cast("long").alias("okey"), F.col("line").cast("int").alias("line"), "supplier_canon")
+
+
+@query(duck("entries", f"WITH {PRODUCT_SQL} SELECT product_id % 10 AS product_id, lad_code, min(end_date) AS end_date, coalesce(CAST(sum(value_amount) AS DOUBLE), 0) AS value FROM (SELECT DISTINCT entry_id, product_id FROM links) l JOIN entries ON entry_id = id WHERE is_tech = 1 AND lad_code <> '' AND end_date BETWEEN DATE '{AS_OF}' AND DATE '2001-01-01' GROUP BY 1, 2"))
+def w08_candidates(i: Inputs):
+    links = M.link_products(i.entries, products(i)).withColumn("product_id", F.col("product_id") % 10)
+    return K.candidates(i.entries, links, i.config, i.geo, F.lit(AS_OF).cast("date"), 24).select("product_id", "lad_code", "end_date", "value")
+
+
+@query(duck("notices", "SELECT ocid, supplier_names FROM (SELECT ocid, string_agg(trim(n), ' | ' ORDER BY k) AS supplier_names FROM (SELECT ocid, unnest(string_split(supplier_names, '|')) AS n, generate_subscripts(string_split(supplier_names, '|'), 1) AS k FROM notices WHERE supplier_names IS NOT NULL) x GROUP BY 1) y"))
+def n04_export(i: Inputs):
+    rows = i.notices.where("supplier_names IS NOT NULL").select("ocid", F.transform(F.split("supplier_names", r"\|"), lambda n: F.trim(n)).alias("supplier_names"))
+    return N.export_rows(rows)

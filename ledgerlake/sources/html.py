@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: The named entities that are decoded; &amp; comes last.
 ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'", "&pound;": "£", "&euro;": "€", "&ndash;": "–", "&mdash;": "—", "&rsquo;": "’", "&lsquo;": "‘", "&amp;": "&"}
+UNSEEN = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->"
 
 
 def decode_entities(c: Column) -> Column:
@@ -17,7 +18,7 @@ def decode_entities(c: Column) -> Column:
 
 def html_text(html: Column) -> Column:
     """Without scripts, styles and tags; white space made single."""
-    plain = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " ")
+    plain = F.regexp_replace(html, UNSEEN, " ")
     return F.trim(F.regexp_replace(decode_entities(F.regexp_replace(plain, r"<[^>]*>", " ")), r"\s+", " "))
 
 
