@@ -33,11 +33,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlake.llm.common import slices
+
 NEVER = 1 << 60
 END = "\x00"  # stands for the end-of-word mark inside spelled tokens
 #: Bounds of a worker's transition table and word cache; each is emptied when full.
-ARCS = 4_000_000
-WORDS = 400_000
+ARCS = 300_000
+WORDS = 150_000
 WORD_CHARS = 200
 
 #: White space as the tokenizer's regular expressions have it.
@@ -241,7 +243,7 @@ def encode(docs: DataFrame, model_path: str, *, text: str = "text") -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model_path)
-        for batch in batches:
+        for batch in slices(batches):
             done = [c.encode(t) for t in batch.column(1).to_pylist()]
             ids = pa.array([np.frombuffer(b, "<i4") for b, _ in done], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array([s for _, s in done], pa.string())], names=["row", "ids", "decoded"])
@@ -256,7 +258,7 @@ def digests(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model_path)
-        for batch in batches:
+        for batch in slices(batches):
             n, a, b = [], [], []
             for t in batch.column(1).to_pylist():
                 ids, decoded = c.encode(t)

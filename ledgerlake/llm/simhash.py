@@ -35,13 +35,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import durable, shuffle_partitions
+from ledgerlake.llm.common import durable, shuffle_partitions, slices
 from ledgerlake.llm.graph import components
 
 SEED = 42
 SHARD_CAP = 4_096
 #: Pairs that a search holds at once.
-FRONTIER = 1 << 20
+FRONTIER = 1 << 18
 _LOW = np.uint64(0x0101010101010101)
 
 
@@ -90,7 +90,7 @@ def fingerprints(docs: DataFrame, *, id_col: str, text: str, words: int, lanes:
     """(id, f0 .. f{lanes-1}) for every row: 64 bits a lane, as signed longs.  No words: zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             got = []
             for t in batch.column(1).to_pylist():
                 h = shingle_hashes(t, words)
@@ -331,7 +331,7 @@ def bit_agreement(similarity: float) -> float:
 def _jaccard(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[str | None, np.ndarray] = (None, np.zeros(0, np.uint64))
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for s, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 if s != last[0]:

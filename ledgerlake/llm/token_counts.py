@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlake.llm.common import slices
+
 #: Entries of the broadcast table; with the pre-token lengths capped below it stays under 8 MB.
 HOT_ENTRIES = 65_536
 HOT_CHARS = 48
@@ -81,7 +83,7 @@ class Lengths(dict):
 
 def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: Counter[str] = Counter()
-    for batch in batches:
+    for batch in slices(batches):
         for text in batch.column(0).to_pylist():
             held.update(pre_tokens(text or ""))
             if len(held) > HELD:
@@ -116,7 +118,7 @@ def count_tokens(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", te
             known = _caches[model_path] = Lengths(model_path, hot.value)
             known.source = hot.value
         of = known.__getitem__
-        for batch in batches:
+        for batch in slices(batches):
             n = [sum(map(of, pre_tokens(t))) if t else 0 for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], names=["id", "n_bytes", "n_tokens"])
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import durable
+from ledgerlake.llm.common import durable, slices
 
 #: Interchangeable identity terms, by kind; lower case, one word each.
 IDENTITY_TERMS = (
@@ -122,7 +122,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text: str
     sample = durable(sample.repartition(max(8, docs.sparkSession.sparkContext.defaultParallelism)))
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sorted(features_of(words(t))) for t in batch.column(1).to_pylist()], pa.list_(pa.string()))], names=["y", "w"])
 
     totals = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -150,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text: str
 
     def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The features of each text, and those of its copy with swapped terms where it has any."""
-        for batch in batches:
+        for batch in slices(batches):
             plain, swapped = [], []
             for t in batch.column(1).to_pylist():
                 have = words(t)
@@ -181,7 +181,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text: str =
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([model.score(t) for t in batch.column(1).to_pylist()], pa.float64())], names=["id", "score"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("t"))
@@ -195,7 +195,7 @@ def keep_clean(docs: DataFrame, model: Model, *, text: str = "text", threshold:
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array([model.score(t) < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
