@@ -124,5 +124,48 @@ FROM k LEFT JOIN shared USING (key) GROUP BY rid, doc_id
 """
 
 
+#: Seat by seat: every quotient is listed and ranked.
+OP6_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(concat_ws('|', 'mix-1', CAST(doc_id AS VARCHAR))) AS draw FROM documents
+), s AS (
+  SELECT *, (CAST('0x' || substr(draw, 25, 8) AS BIGINT) + size) % (SELECT greatest(1, CAST(ceil(count(*) / 20000) AS BIGINT)) FROM documents) AS shard FROM d
+), cells AS (
+  SELECT source, shard, CAST(sum(size) AS BIGINT) AS words FROM s GROUP BY 1, 2
+), totals AS (
+  SELECT source, CAST(sum(words) AS BIGINT) AS total, CAST(sum(words) AS BIGINT) * 3 AS cap FROM cells GROUP BY 1
+), weighed AS (
+  SELECT *, [1, 2, 3][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM totals
+), filled AS (
+  SELECT *, coalesce(sum(cap) OVER f, 0) AS capped, sum(w) OVER () - coalesce(sum(w) OVER f, 0) AS open, sum(total) OVER () AS everything
+  FROM weighed WINDOW f AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), levels AS (
+  SELECT *, CAST(everything - capped AS DOUBLE) / CAST(open AS DOUBLE) AS level FROM filled
+), targets AS (
+  SELECT source, total, coalesce(least(w * (SELECT arg_min(level, cap / w) FROM levels WHERE level * w <= cap), CAST(cap AS DOUBLE)), CAST(cap AS DOUBLE)) AS target FROM levels
+), seats AS (
+  SELECT source, target, row_number() OVER (ORDER BY target / (2 * k - 1) DESC, source NULLS LAST, k) AS place, (SELECT CAST(round(sum(target) / 32) AS BIGINT) FROM targets) AS blocks
+  FROM (SELECT *, unnest(generate_series(1, CAST(target / 16 AS BIGINT) + 4)) AS k FROM targets) q
+), quotas AS (
+  SELECT t.source, t.total, t.target, (SELECT count(*) FROM seats q WHERE place <= blocks AND q.source IS NOT DISTINCT FROM t.source AND q.target > 0) AS quota FROM targets t
+), ranked AS (
+  SELECT source, shard, quota, row_number() OVER (PARTITION BY source ORDER BY CAST(words AS DOUBLE) / (2 * k - 1) DESC, shard, k) AS place, words
+  FROM (SELECT c.*, q.quota, unnest(generate_series(1, CAST(quota AS BIGINT) + 1)) AS k FROM cells c JOIN quotas q ON c.source IS NOT DISTINCT FROM q.source) x
+), shares AS (
+  SELECT c.source, c.shard, c.words, any_value(q.total) AS source_size, any_value(q.target) AS target, least(count(*) FILTER (WHERE r.place <= r.quota AND c.words > 0) * 32, 3 * c.words) AS take
+  FROM cells c JOIN quotas q ON c.source IS NOT DISTINCT FROM q.source JOIN ranked r ON r.source IS NOT DISTINCT FROM c.source AND r.shard = c.shard GROUP BY 1, 2, 3
+), runs AS (
+  SELECT *, CASE WHEN words > 0 THEN take // words ELSE 0 END AS passes, CASE WHEN words > 0 THEN take % words ELSE 0 END AS rest,
+    CASE WHEN words > 0 THEN CAST('0x' || substr(md5(concat_ws('|', 'mix-1', source, CAST(shard AS VARCHAR))), 1, 8) AS BIGINT) % CAST(ceil(words / 32) AS BIGINT) * 32 ELSE 0 END AS start FROM shares
+), placed AS (
+  SELECT *, sum(size) OVER (PARTITION BY source, shard ORDER BY draw, size ROWS UNBOUNDED PRECEDING) AS stop FROM s
+)
+SELECT doc_id, size, source_size, target, CAST(passes * size
+  + greatest(least(stop, least(start + rest, words)) - greatest(stop - size, start), 0)
+  + greatest(least(stop, start + rest - words) - greatest(stop - size, 0), 0) AS BIGINT) AS taken
+FROM placed p JOIN runs r ON p.source IS NOT DISTINCT FROM r.source AND p.shard = r.shard
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": OP2_SQL, "op3_line_dedup": OP3_SQL}
+    return {"op2_url_filter": OP2_SQL, "op3_line_dedup": OP3_SQL, "op6_mixing": OP6_SQL}
