@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import struct
 import unicodedata
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -37,9 +38,11 @@ from ledgerlake.llm.common import slices
 
 NEVER = 1 << 60
 END = "\x00"  # stands for the end-of-word mark inside spelled tokens
-#: Bounds of a worker's transition table and word cache; each is emptied when full.
-ARCS = 300_000
-WORDS = 150_000
+#: Bounds of a worker's transition table (states with arcs met so far) and word cache; each is emptied when full.
+STATES = 20_000
+#: Word ends whose paths are kept, and the longest text that is put together from them.
+PATHS, SHORT = 100_000, 48
+WORDS = 250_000
 WORD_CHARS = 200
 
 #: White space as the tokenizer's regular expressions have it.
@@ -93,7 +96,8 @@ class Automaton:
                     node = node.setdefault(c, {})
                 node[""] = i
         self.end = END if end_mark else ""
-        self.arcs: dict[int, bool] = {}
+        self.arcs: dict[int, dict[int, bool]] = {}
+        self.paths: dict[str, tuple[int, ...]] = {}
 
     def _gadget(self, u: int, v: int, w: int, rank: int, spelled: dict[int, str]) -> None:
         self.rank.setdefault((u, v), rank)
@@ -115,39 +119,87 @@ class Automaton:
         return True
 
     def encode_word(self, symbols: str) -> list[int]:
-        """The one accepted path over ``symbols``."""
+        """The one accepted path over ``symbols``: the longest token first, back where no arc goes on.
+
+        Each prefix has one path of its own, so a position is entered once.
+        """
         text = symbols + self.end
-        n = len(text)
-        last, start, arcs, trie = [-1] * (n + 1), [0] * (n + 1), self.arcs, self.trie
-        for j in range(n):
-            state, node, i = last[j], trie, j
-            if j and state < 0:
+        if len(text) <= SHORT:
+            return list(self.path(text))
+        n, table, path, trail, entered = len(text), self.arcs, [], [], set()
+        state, options = -1, self._tokens(text, 0)
+        while True:
+            row = table.get(state)
+            while options:
+                token, end = options.pop()
+                if end in entered:
+                    continue
+                if row is None:
+                    if len(table) >= STATES:
+                        table.clear()
+                    row = table[state] = {}
+                ok = row.get(token)
+                if ok is None:
+                    ok = row[token] = state < 0 or self._open(state, token)
+                if ok:
+                    break
+            else:
+                if not path:
+                    raise ValueError("a symbol is not in the vocabulary")
+                path.pop()
+                state, options = trail.pop()
                 continue
-            while i < n:
-                node = node.get(text[i])
-                if node is None:
+            path.append(token)
+            if end == n:
+                return path
+            entered.add(end)
+            trail.append((state, options))
+            state, options = token, self._tokens(text, end)
+
+    def path(self, text: str) -> tuple[int, ...]:
+        """The accepted path over a short text (with its end mark), from the paths over its ends.
+
+        What follows a state on an accepted path is itself the accepted path
+        over the rest, so the paths over frequent word ends are kept.
+        """
+        got = self.paths.get(text)
+        if got is None:
+            n = len(text)
+            for token, end in reversed(self._tokens(text, 0)):
+                if end == n:
+                    got = (token,)
                     break
-                i += 1
-                token = node.get("")
-                if token is None or last[i] >= 0:
-                    continue
-                if j:
-                    key = state << 32 | token
-                    ok = arcs.get(key)
-                    if ok is None:
-                        if len(arcs) >= ARCS:
-                            arcs.clear()
-                        ok = arcs[key] = self._open(state, token)
-                    if not ok:
-                        continue
-                last[i], start[i] = token, j
-        out, i = [], n
-        while i > 0:
-            if last[i] < 0:
+                if self.end and end == n - 1:
+                    continue  # a last symbol without its mark
+                rest = self.path(text[end:])
+                row = self.arcs.get(token)
+                if row is None:
+                    if len(self.arcs) >= STATES:
+                        self.arcs.clear()
+                    row = self.arcs[token] = {}
+                ok = row.get(rest[0])
+                if ok is None:
+                    ok = row[rest[0]] = self._open(token, rest[0])
+                if ok:
+                    got = (token, *rest)
+                    break
+            else:
                 raise ValueError("a symbol is not in the vocabulary")
-            out.append(last[i])
-            i = start[i]
-        return out[::-1]
+            if len(self.paths) >= PATHS:
+                self.paths.clear()
+            self.paths[text] = got
+        return got
+
+    def _tokens(self, text: str, at: int) -> list[tuple[int, int]]:
+        """(token, end) of all tokens that stand at ``at``, shortest first."""
+        out, node = [], self.trie
+        for i in range(at, len(text)):
+            node = node.get(text[i])
+            if node is None:
+                break
+            if "" in node:
+                out.append((node[""], i + 1))
+        return out
 
 
 class Codec(dict):
@@ -164,7 +216,7 @@ class Codec(dict):
         self.words = regex.compile(pattern.replace(r"\s", SPACE)).findall
         self.symbols = byte_symbols()
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
-        self.by_word: dict[str, list[int]] = {}
+        self.shown = dict(enumerate(self.symbols[:128]))  # an ASCII character is its byte
 
     @classmethod
     def from_file(cls, path: str) -> Codec:
@@ -186,21 +238,15 @@ class Codec(dict):
 
     def ids_of(self, chunk: str) -> list[int]:
         out: list[int] = []
-        for part in self.cut.split(chunk) if self.cut else [chunk]:
+        marked = self.cut and any(x in chunk for x in self.special)
+        for part in self.cut.split(chunk) if marked else (chunk,):
             if part in self.special:
                 out.append(self.special[part])
             elif part:
                 # Lower case of each character by itself: no final sigma.
-                plain = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
+                plain = part.lower() if part.isascii() else unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
                 for word in self.words(plain):
-                    ids = self.by_word.get(word)
-                    if ids is None:
-                        ids = self.automaton.encode_word("".join([self.symbols[b] for b in word.encode()]))
-                        if len(word) <= WORD_CHARS:
-                            if len(self.by_word) >= WORDS:
-                                self.by_word.clear()
-                            self.by_word[word] = ids
-                    out += ids
+                    out += self.automaton.encode_word(word.translate(self.shown) if word.isascii() else "".join([self.symbols[b] for b in word.encode()]))
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -209,7 +255,7 @@ class Codec(dict):
 
     def __missing__(self, chunk: str) -> tuple[bytes, str]:
         ids = self.ids_of(chunk)
-        found = (np.array(ids, "<u4").tobytes(), self.decode(ids))
+        found = (struct.pack(f"<{len(ids)}I", *ids), self.decode(ids))
         if len(chunk) <= WORD_CHARS:
             if len(self) >= WORDS:
                 self.clear()
