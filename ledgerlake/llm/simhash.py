@@ -237,29 +237,48 @@ def _tree_links(points: np.ndarray, group: np.ndarray, side: np.ndarray, radius:
     return a, b, d
 
 
-def near_links(prints: DataFrame, keys: list[list[int]], radius: int, *, lanes: int = 1) -> DataFrame:
-    """Links (a, b, d) between ``prints`` (node long, f0 ..; one row a fingerprint) that connect all within ``radius``.
+def in_shards(rows: DataFrame, keys: list[list[int]], cols: list[str], cap: int = SHARD_CAP) -> DataFrame:
+    """(shard, side, k, *cols): ``rows`` (with f0 ..) once a key and block pair, whole shards sorted together; k is the key's number.
 
-    A crowded key's members go in ``blocks`` by a hash of the node; a block is
+    A crowded key's members go in ``blocks`` by a hash of the row; a block is
     sent to each pair of blocks that it is in.  A pair (i, i) is searched in
-    itself, a pair (i, j) holds i as its tree and searches it for j.
+    itself (side 0), a pair (i, j) holds i (side 1) and searches it for j (side 2).
     """
-    spark = prints.sparkSession
-    cols = [f"f{k}" for k in range(lanes)]
-    keyed = prints.select("node", *cols, F.explode(F.array(*_key_columns(keys))).alias("key"))
+    spark = rows.sparkSession
+    keyed = rows.select(*cols, F.posexplode(F.array(*_key_columns(keys))).alias("k", "key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    crowded = sizes.where(F.col("n") > SHARD_CAP).select("key", F.ceil(F.col("n") / SHARD_CAP).cast("long").alias("blocks"))
+    crowded = sizes.where(F.col("n") > cap).select("key", F.ceil(F.col("n") / cap).cast("long").alias("blocks"))
     crowded = durable(crowded)
-    # A key over the cap has more than SHARD_CAP rows, so there is at most one in SHARD_CAP rows.
-    dealt = keyed.join(crowded, "key", "left").withColumn("i", F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("node"), "blocks")))
+    # A key over the cap has more than ``cap`` rows, so there is at most one in ``cap`` rows.
+    dealt = keyed.join(crowded, "key", "left").withColumn("i", F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64(cols[0]), "blocks")))
     pairs = F.when(F.col("blocks").isNull(), F.array(F.struct(F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y")))).otherwise(
         F.transform(F.sequence(F.lit(0).cast("long"), F.coalesce("blocks", F.lit(1)) - 1), lambda j: F.struct(F.least(F.col("i"), j).alias("x"), F.greatest(F.col("i"), j).alias("y")))
     )
     dealt = dealt.withColumn("p", F.explode(pairs))
     shard = F.xxhash64("key", "p.x", "p.y")
     side = F.when(F.col("p.x") == F.col("p.y"), 0).when(F.col("p.x") == F.col("i"), 1).otherwise(2).cast("int")
-    dealt = dealt.select(shard.alias("shard"), side.alias("side"), "node", *cols)
-    rows = dealt.repartition(max(shuffle_partitions(spark), spark.sparkContext.defaultParallelism), "shard").sortWithinPartitions("shard")
+    dealt = dealt.select(shard.alias("shard"), side.alias("side"), "k", *cols)
+    return dealt.repartition(max(shuffle_partitions(spark), spark.sparkContext.defaultParallelism), "shard").sortWithinPartitions("shard")
+
+
+def key_masks(keys: list[list[int]], lanes: int) -> np.ndarray:
+    """The keys' bits as unsigned longs (keys, lanes)."""
+    return np.array([[sum(1 << (p % 64) for p in positions if p // 64 == lane) for lane in range(lanes)] for positions in keys], np.uint64)
+
+
+def first_shared(differ: np.ndarray, k: np.ndarray, masks: np.ndarray) -> np.ndarray:
+    """Whether key ``k`` is the first that a pair shares, from the pair's differing bits: a pair that meets in several keys is then given once."""
+    first = np.ones(len(k), bool)
+    for n, mask in enumerate(masks[: int(k.max(initial=0))]):
+        ask = np.flatnonzero(first & (k > n))
+        first[ask] = (differ[ask] & mask).any(axis=1)
+    return first
+
+
+def near_links(prints: DataFrame, keys: list[list[int]], radius: int, *, lanes: int = 1) -> DataFrame:
+    """Links (a, b, d) between ``prints`` (node long, f0 ..; one row a fingerprint) that connect all within ``radius``."""
+    cols = [f"f{k}" for k in range(lanes)]
+    rows = in_shards(prints, keys, ["node", *cols]).drop("k")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches):

@@ -3,6 +3,7 @@
 import collections
 import datetime as dt
 import hashlib
+import itertools
 import random
 import re
 
@@ -280,6 +281,38 @@ def test_media(spark, sf):
     assert media.near_copies(images.limit(0)).count() == 0
 
 
+def test_media_crowded(spark, monkeypatch):
+    """A pattern that every image has: all pairs that enough corners link, against all pairs of descriptors."""
+    rng = np.random.default_rng(3)
+    logo = np.kron(rng.integers(0, 256, (12, 12)), np.ones((5, 5)))
+    pictures = []
+    for i in range(90):
+        x = np.kron(rng.integers(110, 140, (24, 24)), np.ones((5, 5))).astype(float)
+        x[30:90, 30:90] = logo
+        pictures.append(media._box(x + rng.normal(0, 2, x.shape), 1).clip(0, 255).astype(np.uint8))
+    want = set()
+    found = [media.describe(x) for x in pictures]
+    for a, b in itertools.combinations(range(len(found)), 2):
+        (pa, da), (pb, db) = found[a], found[b]
+        votes = collections.defaultdict(set)
+        for i, j in zip(*np.nonzero(np.bitwise_count(da[:, None] ^ db[None]).sum(-1) <= media.NEAR), strict=True):
+            turn = int(pa[i, 3] - pb[j, 3]) % media.ANGLES
+            ratio = media.SCALES[int(pb[j, 2])] / media.SCALES[int(pa[i, 2])]
+            (xa, ya), (xb, yb) = (np.rint(p[:2] * 8) / 8 for p in (pa[i], pb[j]))
+            c, s = np.cos(turn * 2 * np.pi / media.ANGLES), np.sin(turn * 2 * np.pi / media.ANGLES)
+            dx, dy = xa - ratio * (c * xb - s * yb), ya - ratio * (s * xb + c * yb)
+            for gi, gj in itertools.product((0.0, 0.5), repeat=2):
+                votes[turn, round(np.log(ratio) * 8), gi, gj, np.floor(dx / media.CELL + gi), np.floor(dy / media.CELL + gj)].add((int(xa), int(ya)))
+        if any(len(v) >= media.VOTES for v in votes.values()):
+            want.add((a, b))
+    degree = collections.Counter(k for link in want for k in link)
+    assert len(want) > 90 * 20
+    monkeypatch.setattr(media, "SHARD_CAP", 64, raising=False)
+    images = spark.createDataFrame([(i, *x.shape, x.tobytes()) for i, x in enumerate(pictures)], "image_id long, height int, width int, pixels binary")
+    got = {r.image_id: r.n_links for r in media.near_copies(images).collect()}
+    assert sum(got.values()) >= 0.99 * 2 * len(want) and all(got[i] <= degree[i] for i in got)
+
+
 # --- 8 --------------------------------------------------------------------------------------
 
 
