@@ -20,7 +20,9 @@ of blocks is searched by itself, so a crowded key loses nothing.
 
 A task returns a minimum spanning forest of each tree's links, at most one link
 fewer than the tree has members.  It connects what all the links connect, at
-the given radius and at every smaller one.
+the given radius and at every smaller one.  Where links have to pass a check of
+their own that is not enough: ``cross_links`` returns every link between the
+parts that are not connected yet.
 """
 
 from __future__ import annotations
@@ -204,8 +206,8 @@ def spanning_forest(a: np.ndarray, b: np.ndarray, d: np.ndarray, n: int) -> np.n
     return np.array(kept, np.int64)
 
 
-def _tree_links(points: np.ndarray, group: np.ndarray, side: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Spanning links of each group.  side: 0 both in the tree and searched, 1 in the tree only, 2 searched only."""
+def _found(points: np.ndarray, group: np.ndarray, side: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """All links of each group, by parts.  side: 0 both in the tree and searched, 1 in the tree only, 2 searched only."""
     inside = np.flatnonzero(side != 2)
     tree_group = group[inside]
     forest = Forest(points[inside], tree_group)
@@ -213,6 +215,16 @@ def _tree_links(points: np.ndarray, group: np.ndarray, side: np.ndarray, radius:
     at = np.searchsorted(tree_group, group[asked], "left")
     there = (at < len(tree_group)) & (tree_group[np.minimum(at, len(tree_group) - 1)] == group[asked]) if len(tree_group) else np.zeros(len(asked), bool)
     asked, at = asked[there], at[there]
+    for q, node, dist in forest.search(asked, points, at, radius):
+        found = inside[node]
+        # A pair within one block is found from both ends; once is enough.
+        once = (q < found) | ((side[q] == 2) & (q != found))
+        if once.any():
+            yield q[once], found[once], dist[once]
+
+
+def _tree_links(points: np.ndarray, group: np.ndarray, side: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spanning links of each group, with sides as in ``_found``."""
     none = np.zeros(0, np.int64)
     a, b, d = none, none, none
     fresh: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -220,16 +232,12 @@ def _tree_links(points: np.ndarray, group: np.ndarray, side: np.ndarray, radius:
     def fold() -> None:
         nonlocal a, b, d, fresh
         a, b, d = (np.concatenate(x) for x in zip((a, b, d), *fresh, strict=True))
-        # A pair within one block is found from both ends; once is enough.
         lo, hi = np.minimum(a, b), np.maximum(a, b)
         kept = spanning_forest(lo, hi, d, len(points))
         a, b, d, fresh = lo[kept], hi[kept], d[kept], []
 
-    for q, node, dist in forest.search(asked, points, at, radius):
-        found = inside[node]
-        once = (q < found) | ((side[q] == 2) & (q != found))
-        if once.any():
-            fresh.append((q[once], found[once], dist[once]))
+    for link in _found(points, group, side, radius):
+        fresh.append(link)
         if sum(len(x[0]) for x in fresh) > FRONTIER:
             fold()
     if fresh:
@@ -237,7 +245,7 @@ def _tree_links(points: np.ndarray, group: np.ndarray, side: np.ndarray, radius:
     return a, b, d
 
 
-def in_shards(rows: DataFrame, keys: list[list[int]], cols: list[str], cap: int = SHARD_CAP) -> DataFrame:
+def in_shards(rows: DataFrame, keys: list[list[int]], cols: list[str], cap: int) -> DataFrame:
     """(shard, side, k, *cols): ``rows`` (with f0 ..) once a key and block pair, whole shards sorted together; k is the key's number.
 
     A crowded key's members go in ``blocks`` by a hash of the row; a block is
@@ -278,7 +286,7 @@ def first_shared(differ: np.ndarray, k: np.ndarray, masks: np.ndarray) -> np.nda
 def near_links(prints: DataFrame, keys: list[list[int]], radius: int, *, lanes: int = 1) -> DataFrame:
     """Links (a, b, d) between ``prints`` (node long, f0 ..; one row a fingerprint) that connect all within ``radius``."""
     cols = [f"f{k}" for k in range(lanes)]
-    rows = in_shards(prints, keys, ["node", *cols]).drop("k")
+    rows = in_shards(prints, keys, ["node", *cols], SHARD_CAP).drop("k")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches):
@@ -294,6 +302,33 @@ def near_links(prints: DataFrame, keys: list[list[int]], radius: int, *, lanes:
     return rows.mapInArrow(run, "a long, b long, d int")
 
 
+def cross_links(prints: DataFrame, keys: list[list[int]], radius: int, *, lanes: int = 1) -> DataFrame:
+    """All links (a, b) within ``radius`` between ``prints`` (node long, part long, f0 ..) of different parts, once each."""
+    masks = key_masks(keys, lanes)
+    rows = in_shards(prints, keys, ["node", "part", *(f"f{k}" for k in range(lanes))], SHARD_CAP)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches):
+            group, side, k, node, part = (table.column(c).to_numpy() for c in range(5))
+            points = np.stack([table.column(5 + c).to_numpy() for c in range(lanes)], axis=1).view(np.uint64)
+            # All of one part: nothing to find.
+            start = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+            back = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(group))))
+            mixed = (np.minimum.reduceat(part, start) != np.maximum.reduceat(part, start))[back]
+            group, side, k, node, part, points = (x[mixed] for x in (group, side, k, node, part, points))
+            if not len(group):
+                continue
+            for a, b, _ in _found(points, group, side, radius):
+                cross = part[a] != part[b]
+                a, b = a[cross], b[cross]
+                once = first_shared(points[a] ^ points[b], k[a], masks)
+                a, b = node[a[once]], node[b[once]]
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], rows: int = 200_000) -> Iterator[pa.Table]:
     """Tables of about ``rows`` rows in which no run of the first column is cut."""
     held: list[pa.RecordBatch] = []
@@ -366,9 +401,9 @@ def _jaccard(words: int):
 def similar_groups(docs: DataFrame, *, text: str = "text", words: int = 5, similarity: float = 0.8, recall: float = 0.995) -> DataFrame:
     """(t1, t2, root) of every distinct text of ``docs``: its 128-bit hash, and its group's root.
 
-    Candidates are BK-tree links of 256-bit fingerprints at a radius that texts
-    of this similarity exceed once in thousands; an exact Jaccard check of their
-    shingle sets follows.  ``recall`` is the chance that two texts of just this
+    Candidates are all BK-tree links of 256-bit fingerprints at a radius that texts
+    of this similarity exceed once in thousands, but those within a group already
+    found; an exact Jaccard check of their shingle sets follows.  ``recall`` is the chance that two texts of just this
     similarity share a key; nearer ones share several.
     """
     body = F.coalesce(F.col(text), F.lit(""))
@@ -381,14 +416,21 @@ def similar_groups(docs: DataFrame, *, text: str = "text", words: int = 5, simil
     agree, bits = bit_agreement(similarity), 64 * LANES
     radius = math.ceil(bits * (1 - agree) + 3.5 * math.sqrt(bits * agree * (1 - agree)))
     keys = sampled_keys(prints.count(), agree=agree, recall=recall, bits=bits)
-    pairs = durable(near_links(prints.select("node", *lanes), keys, radius, lanes=LANES).select("a", "b").distinct())
-    # Only the texts of candidates are fetched, one of each.
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(prints.select("node", "t1", "t2"), "node")
-    texts = hashed.select("k.t1", "k.t2", "t").join(asked, ["t1", "t2"]).groupBy("node").agg(F.first("t").alias("t"))
-    texts = durable(texts)
-    sides = pairs.join(texts.select(F.col("node").alias("a"), F.col("t").alias("s")), "a").join(texts.select(F.col("node").alias("b"), "t"), "b").select("a", "b", "s", "t")
-    links = sides.mapInArrow(_jaccard(words), "a long, b long, similarity double").where(F.col("similarity") >= similarity)
-    roots = components(links.select("a", "b"))
+
+    def passed(pairs: DataFrame) -> DataFrame:
+        # Only the texts of candidates are fetched, one of each.
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(prints.select("node", "t1", "t2"), "node")
+        texts = hashed.select("k.t1", "k.t2", "t").join(asked, ["t1", "t2"]).groupBy("node").agg(F.first("t").alias("t"))
+        texts = durable(texts)
+        sides = pairs.join(texts.select(F.col("node").alias("a"), F.col("t").alias("s")), "a").join(texts.select(F.col("node").alias("b"), "t"), "b").select("a", "b", "s", "t")
+        return durable(sides.mapInArrow(_jaccard(words), "a long, b long, similarity double").where(F.col("similarity") >= similarity).select("a", "b"))
+
+    # Most of a group hangs together by the links of the spanning forests that pass the check.  Similarity does not
+    # follow the differing bits exactly, so all other links between what does not are checked as well.
+    links = passed(durable(near_links(prints.select("node", *lanes), keys, radius, lanes=LANES).select("a", "b").distinct()))
+    parts = prints.join(components(links), "node", "left").select("node", F.coalesce("root", "node").alias("part"), *lanes)
+    links = links.unionByName(passed(durable(cross_links(durable(parts), keys, radius, lanes=LANES))))
+    roots = components(links)
     return prints.select("t1", "t2", "node").join(roots, "node", "left").select("t1", "t2", F.coalesce("root", "node").alias("root"))
 
 

@@ -379,6 +379,25 @@ def test_near_dedup_stage(spark, sf, texts):
     assert got == {i for i, r in want.items() if i == r}
 
 
+def test_near_dedup_straddling(spark):
+    """Families of three in which only two are similar enough, while the third has about as few differing bits to both."""
+    docs, pairs = [], []
+    for f in range(300):
+        a = [f"f{f}w{k}" for k in range(404)]
+        edit = lambda at, own: [own if k in at else w for k, w in enumerate(a)]  # noqa: B023, E731
+        b = edit({10 * k + 5 for k in range(8)}, f"f{f}b")
+        c = edit({10 * k + 5 for k in range(4, 14)}, f"f{f}b")
+        docs += [(3 * f + k, " ".join(w)) for k, w in enumerate((a, b, c))]
+        sets = [_shingles(t) for _, t in docs[-3:]]
+        like = [len(x & y) / len(x | y) for x, y in itertools.combinations(sets, 2)]
+        assert like[0] >= 0.8 > max(like[1:]) > 0.75
+        pairs.append((3 * f, 3 * f + 1))
+    kept = {r.doc_id for r in simhash.one_of_each_group(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all(a in kept and a + 2 in kept for a, _ in pairs)
+    found = sum(b not in kept for _, b in pairs)
+    assert found >= 0.98 * len(pairs)
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(60)] + [(100, 100 + k) for k in range(1, 40)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
