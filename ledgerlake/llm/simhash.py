@@ -88,14 +88,16 @@ def mix(h: np.ndarray, k: int) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def fingerprints(docs: DataFrame, *, id_col: str, text: str, words: int, lanes: int = 1) -> DataFrame:
-    """(id, f0 .. f{lanes-1}) for every row: 64 bits a lane, as signed longs.  No words: zero."""
+def fingerprints(docs: DataFrame, *, id_col: str, text: str, words: int, lanes: int = 1, once: bool = False) -> DataFrame:
+    """(id, f0 .. f{lanes-1}) for every row: 64 bits a lane, as signed longs.  No words: zero.  ``once``: of repeated shingles one counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             got = []
             for t in batch.column(1).to_pylist():
                 h = shingle_hashes(t, words)
+                if once:
+                    h = np.unique(h)
                 got.append([majority_bits(mix(h, k)) for k in range(lanes)])
             bits = np.array(got, np.uint64).reshape(-1, lanes).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(bits[:, k]) for k in range(lanes))], names=["id", *(f"f{k}" for k in range(lanes))])
@@ -403,12 +405,13 @@ def similar_groups(docs: DataFrame, *, text: str = "text", words: int = 5, simil
 
     Candidates are all BK-tree links of 256-bit fingerprints at a radius that texts
     of this similarity exceed once in thousands, but those within a group already
-    found; an exact Jaccard check of their shingle sets follows.  ``recall`` is the chance that two texts of just this
+    found; an exact Jaccard check of their shingle sets follows.  Both take a
+    shingle that a text repeats once.  ``recall`` is the chance that two texts of just this
     similarity share a key; nearer ones share several.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     hashed = docs.select(F.struct(F.xxhash64(body).alias("t1"), F.xxhash64(F.lit(7), body).alias("t2")).alias("k"), body.alias("t"))
-    rows = fingerprints(hashed, id_col="k", text="t", words=words, lanes=LANES)
+    rows = fingerprints(hashed, id_col="k", text="t", words=words, lanes=LANES, once=True)
     lanes = [f"f{k}" for k in range(LANES)]
     distinct = rows.groupBy(F.col("id.t1").alias("t1"), F.col("id.t2").alias("t2")).agg(*(F.first(c).alias(c) for c in lanes))
     # Numbered once and kept, so the numbers stay.

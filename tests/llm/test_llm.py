@@ -398,6 +398,16 @@ def test_near_dedup_straddling(spark):
     assert found >= 0.98 * len(pairs)
 
 
+def test_near_dedup_repeated_line(spark):
+    docs = []
+    for f in range(20):
+        a = " ".join(f"r{f}w{k}" for k in range(204))
+        docs += [(2 * f, a), (2 * f + 1, a + f"\n{' '.join(f'r{f}x{k}' for k in range(10))}" * 40)]
+    want = _groups({i: _shingles(t) for i, t in docs}, lambda a, b: len(a & b) >= 0.8 * len(a | b))
+    assert {want[i] for i in want} == set(range(0, 40, 2))
+    assert {r.doc_id for r in simhash.one_of_each_group(spark.createDataFrame(docs, "doc_id long, text string")).collect()} == set(want.values())
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(60)] + [(100, 100 + k) for k in range(1, 40)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
