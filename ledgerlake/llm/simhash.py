@@ -116,11 +116,25 @@ def exact_keys(radius: int, bits: int = 64) -> list[list[int]]:
     return [a + b for a, b in combinations(parts, 2)]
 
 
-def sampled_keys(n: int, *, agree: float, recall: float, bits: int, crowd: int = 32) -> list[list[int]]:
-    """Keys of so many bits that about ``crowd`` of ``n`` random fingerprints share one, and so many keys
-    that fingerprints whose bits agree with chance ``agree`` share one with chance ``recall``."""
+def miss_chance(width: int, count: int, *, agree: float, radius: int, bits: int) -> float:
+    """Chance that fingerprints whose bits agree with chance ``agree`` differ in over ``radius`` bits or share none of ``count`` keys.
+
+    All keys of a pair depend on the number of bits in which it differs: the miss is averaged over that.
+    """
+    miss = 0.0
+    for d in range(bits + 1):
+        chance = math.comb(bits, d) * (1 - agree) ** d * agree ** (bits - d)
+        miss += chance * ((1 - math.comb(bits - d, width) / math.comb(bits, width)) ** count if d <= radius else 1.0)
+    return miss
+
+
+def sampled_keys(n: int, *, agree: float, recall: float, radius: int, bits: int, crowd: int = 32) -> list[list[int]]:
+    """Keys of so many bits that about ``crowd`` of ``n`` random fingerprints share one, and as few keys as
+    let fingerprints whose bits agree with chance ``agree`` meet with chance ``recall``."""
     width = max(8, math.ceil(math.log2(max(n, 1) / crowd)))
-    count = math.ceil(math.log(1 - recall) / math.log(1 - agree**width))
+    count = 1
+    while miss_chance(width, count, agree=agree, radius=radius, bits=bits) > 1 - recall:
+        count += 1
     rng = np.random.default_rng(SEED)
     return [sorted(map(int, rng.choice(bits, width, replace=False))) for _ in range(count)]
 
@@ -407,7 +421,7 @@ def similar_groups(docs: DataFrame, *, text: str = "text", words: int = 5, simil
     of this similarity exceed once in thousands, but those within a group already
     found; an exact Jaccard check of their shingle sets follows.  Both take a
     shingle that a text repeats once.  ``recall`` is the chance that two texts of just this
-    similarity share a key; nearer ones share several.
+    similarity meet, whatever the number of texts; nearer ones meet more surely.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     hashed = docs.select(F.struct(F.xxhash64(body).alias("t1"), F.xxhash64(F.lit(7), body).alias("t2")).alias("k"), body.alias("t"))
@@ -418,7 +432,7 @@ def similar_groups(docs: DataFrame, *, text: str = "text", words: int = 5, simil
     prints = durable(distinct.withColumn("node", F.monotonically_increasing_id()))
     agree, bits = bit_agreement(similarity), 64 * LANES
     radius = math.ceil(bits * (1 - agree) + 3.5 * math.sqrt(bits * agree * (1 - agree)))
-    keys = sampled_keys(prints.count(), agree=agree, recall=recall, bits=bits)
+    keys = sampled_keys(prints.count(), agree=agree, recall=recall, radius=radius, bits=bits)
 
     def passed(pairs: DataFrame) -> DataFrame:
         # Only the texts of candidates are fetched, one of each.

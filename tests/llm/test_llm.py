@@ -408,6 +408,26 @@ def test_near_dedup_repeated_line(spark):
     assert {r.doc_id for r in simhash.one_of_each_group(spark.createDataFrame(docs, "doc_id long, text string")).collect()} == set(want.values())
 
 
+@pytest.mark.parametrize("n", [1_000, 200_000, 1_000_000, 60_000_000])
+def test_near_dedup_recall(spark, monkeypatch, n):
+    """Random pairs at similarity 0.8 share one of the stage's own keys as often at any number of texts."""
+    asked, real, agree = {}, simhash.sampled_keys, simhash.bit_agreement(0.8)
+
+    def spy(_, **how):
+        asked.update(how)
+        raise StopIteration
+
+    monkeypatch.setattr(simhash, "sampled_keys", spy)
+    with pytest.raises(StopIteration):
+        simhash.similar_groups(spark.createDataFrame([("a",)], "text string"))
+    keys = np.array(real(n, **asked))
+    differ = np.random.default_rng(1).random((20_000, 256)) > agree
+    missed = np.ones(len(differ), bool)
+    for key in keys:
+        missed &= differ[:, key].any(axis=1)
+    assert missed.mean() <= 0.0065
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(60)] + [(100, 100 + k) for k in range(1, 40)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
