@@ -50,7 +50,7 @@ FROM orders JOIN customer ON o_custkey = c_custkey JOIN config ON c_nationkey =
     SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey) AS rn FROM lineitem) m WHERE rn = 1) x ON fk = o_orderkey
   JOIN supplier ON s_suppkey = fs JOIN part ON p_partkey = fp""",
     "notices": """
-SELECT 'ocds-' || CAST(doc_id AS STRING) AS ocid, doc_id, substr(text, 1, 80) AS title, substr(text, 81, 1000) AS description, 'Council ' || source AS buyer_name,
+SELECT 'ocds-' || CAST(doc_id AS STRING) AS ocid, doc_id, substr(text, 1, 80) AS title, substr(text, 81) AS description, 'Council ' || source AS buyer_name,
   CASE doc_id % 4 WHEN 0 THEN 'active' WHEN 1 THEN 'planned' WHEN 2 THEN 'complete' ELSE 'cancelled' END AS status,
   CASE doc_id % 8 WHEN 0 THEN '30' WHEN 1 THEN '32' WHEN 2 THEN '48' WHEN 3 THEN '64' WHEN 4 THEN '72' WHEN 5 THEN '73' WHEN 6 THEN '45' ELSE '90' END AS cpv_division,
   CASE WHEN doc_id % 9 = 0 THEN NULL ELSE CAST(doc_id * 37.5 AS DECIMAL(15,2)) END AS value_amount,

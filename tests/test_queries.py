@@ -47,6 +47,13 @@ def test_nation_rows_are_within_all_nations(spark, sf):
     assert a.join(n, ["supplier_canon", "fy"]).where("payment_count < m OR council_count < c").count() == 0
 
 
+def test_keyword_late_in_a_long_text(spark, tmp_path):
+    rows = [(1, "src1", "word " * 3000 + "the th"), (2, "src1", "word " * 3000)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = __spark_entry__.queries()["f11_keyword_search"](spark, str(tmp_path)).collect()
+    assert [r.ocid for r in got] == ["ocds-1"]
+
+
 def test_guards(spark):
     rules = spark.createDataFrame([(1, "access uk", "Access", "substring", 0), (2, "gamma", "Gamma", "substring", 0), (3, "unstall", "Civica", "substring", 0), (4, "atkinsrealis", "AtkinsRealis", "substring", 0)], "id int, pattern string, canonical_name string, match_type string, confirmed_invalid int")
     guards = [{"all_of": ["access uk", "adam"], "result": None}, {"all_of": ["tucker", "tunstall"], "result": None}, {"exact": ["gamma network solutions ltd"], "result": "Gamma"}]
