@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,15 +25,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def durable(df: DataFrame) -> DataFrame:
     """``df``, computed once and kept in the shared checkpoint folder.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is
-    unset (a single machine, tests) is a temporary folder taken.
+    The folder is the session's ``spark.checkpoint.dir`` (``shared_folder``).
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share.  Only a single machine may have none set: it gets a temporary one."""
+    at = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if at:
+        return at
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="checkpoints-")
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased, every other character as it is.
 
@@ -43,8 +55,22 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
-    """Spark's batches in small parts, so that a worker holds few texts and results as Python objects at a time."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500, size: int = 8 << 20, text: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Spark's batches in small parts, so that a worker holds few texts and results as Python objects at a time.
+
+    With ``text``, the number of a string column, a part has at most ``size`` bytes of it, or one row.
+    """
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        at = 0
+        ends = None if text is None else np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
+        while at < batch.num_rows:
+            n = min(rows, batch.num_rows - at)
+            if ends is not None:
+                n = max(1, min(n, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")) - at))
+            yield batch.slice(at, n)
+            at += n
+
+
+def named(names: list[str], to: list[str] | None = None) -> list[Column]:
+    """Columns by their whole names, dots and back-ticks included, as ``to``."""
+    return [F.col("`" + n.replace("`", "``") + "`").alias(t) for n, t in zip(names, to or names, strict=True)]
