@@ -8,6 +8,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -466,7 +467,8 @@ def test_bpe(spark, texts):
     path = queries.tokenizer_path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
     rng = random.Random(6)
-    noise = ["".join(rng.choice("abeiorst'1é ") for _ in range(200)) for _ in range(50)]
+    noise = ["".join(rng.choice("abeiorstlvmd'1é !́²") for _ in range(200)) for _ in range(100)]
+    noise += ["'s's 'ready !'s 're've 'L 'll'LL it'", "x'", "''s"]
     all_ = [*texts.values(), *STRANGE, *noise, None]
     df = spark.createDataFrame([(i, t, "c") for i, t in enumerate(all_)], "doc_id long, text string, decoded string")
     got = {r.doc_id: r for r in bpe.encode(df, path).collect()}
@@ -479,6 +481,19 @@ def test_bpe(spark, texts):
     assert bpe.encode(df.limit(0), path).count() == 0
 
 
+def test_bpe_every_code_point():
+    """Alone, twice and between letters."""
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path("word_bpe_49k.json")
+    library, codec = Tokenizer.from_file(path), bpe.codec(path)
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{c}a {c}{c} " for c in points[i : i + 4000]) for i in range(0, len(points), 4000)]
+    got = codec.encode(pa.array(texts))
+    for i, want in enumerate(library.encode_batch(texts, add_special_tokens=False)):
+        assert got.ids[got.cut[i] : got.cut[i + 1]].tolist() == want.ids, i
+
+
 def test_automaton_on_random_merges():
     """Against plain merging, over random merge lists of a small alphabet (runs of one letter too)."""
     rng = random.Random(8)
@@ -489,10 +504,11 @@ def test_automaton_on_random_merges():
             if len(u + v) < 8 and u + v not in vocab:
                 merges.append((u, v))
                 vocab[u + v] = len(vocab)
-        a = bpe.Automaton(vocab, merges)
-        for _ in range(40):
-            word = [rng.choice("ab") for _ in range(rng.randrange(1, 14))]
-            got = a.encode_word("".join(word))
+        a, labels = bpe.Automaton(vocab, merges, ["a", "b"]), {i: label for label, i in vocab.items()}
+        words = [[rng.choice("ab") for _ in range(rng.randrange(1, 14))] for _ in range(40)]
+        ids, cut = a.encode(np.array([vocab[c] for w in words for c in w]), np.cumsum([0, *map(len, words)]))
+        for word, lo, hi in zip(words, cut[:-1], cut[1:], strict=True):
+            got = ids[lo:hi].tolist()
             for u, v in merges:
                 out, k = [], 0
                 while k < len(word):
@@ -503,7 +519,7 @@ def test_automaton_on_random_merges():
                         out.append(word[k])
                         k += 1
                 word = out
-            assert [a.labels[i] for i in got] == word, (merges, word)
+            assert [labels[i] for i in got] == word, (merges, word)
 
 
 # --- pipeline -------------------------------------------------------------------------------
