@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import BLANKS, ascii_lower, durable
+from ledgerlake.llm.common import BLANKS, ascii_lower, durable, named
 
 #: Up to this many shared keys (16 bytes each) the keys are broadcast, beyond it they are shuffled.
 BROADCAST_KEYS = 500_000
@@ -40,7 +40,7 @@ def shared_lines(docs: DataFrame, *, text: str = "text", min_docs: int = 10, min
     out.
     """
     own = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "kept")]
-    body = F.coalesce(F.col(text), F.lit(""))
+    body = F.coalesce(*named([text]), F.lit(""))
     keys = F.transform(F.split(ascii_lower(body), "\n"), lambda x: F.trim(x, F.lit(BLANKS)))
     long_enough = F.char_length("k") >= min_chars
 
@@ -53,7 +53,7 @@ def shared_lines(docs: DataFrame, *, text: str = "text", min_docs: int = 10, min
     hits = lines.join(F.broadcast(shared) if few else shared, ["a", "b"], "left_semi")
     dropped = hits.groupBy("t1", "t2").agg(F.collect_set("pos").alias("dropped"))
 
-    whole = docs.select(F.struct(*own).alias("row"), *_wide_hash(body, "t1", "t2")).join(dropped, ["t1", "t2"], "left")
+    whole = docs.select(F.struct(*named(own)).alias("row"), *_wide_hash(body, "t1", "t2")).join(dropped, ["t1", "t2"], "left")
     body = F.coalesce(F.col("row")[text], F.lit(""))
     split = F.split(body, "\n")
     stay = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), "dropped")
@@ -63,12 +63,12 @@ def shared_lines(docs: DataFrame, *, text: str = "text", min_docs: int = 10, min
 
 def digests(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", **limits: int) -> DataFrame:
     """(doc_id, n_lines, n_dropped, kept_sha256) for every row."""
-    out = shared_lines(docs.select(id_col, text), text=text, **limits)
-    return out.select(id_col, "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+    out = shared_lines(docs.select(*named([id_col, text])), text=text, **limits)
+    return out.select(*named([id_col]), "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
 def deduplicated(docs: DataFrame, *, text: str = "text", **limits: int) -> DataFrame:
     """``docs``, all of its columns, with the kept lines as its text; where nothing is dropped the text stays as it was, null too."""
-    out = shared_lines(docs.select(F.struct(*docs.columns).alias("doc"), F.col(text).alias("text")), **limits)
+    out = shared_lines(docs.select(F.struct(*named(docs.columns)).alias("doc"), *named([text], ["text"])), **limits)
     new = F.when(F.col("n_dropped") > 0, F.col("kept")).otherwise(F.col("doc")[text])
     return out.select(*((new if c == text else F.col("doc")[c]).alias(c) for c in docs.columns))

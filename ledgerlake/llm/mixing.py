@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import WORD, durable
+from ledgerlake.llm.common import WORD, durable, named
 
 #: Documents of a source that one task orders, on average.
 SHARD_ROWS = 20_000
@@ -77,17 +77,19 @@ def sainte_lague(parties: DataFrame, *, within: list[str], key: Column, votes: s
     return contested.groupBy(*names, "_sure").agg(won.alias("_won")).select(*names, (F.col("_sure") + F.col("_won")).alias("quota"))
 
 
-def plan(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (1, 2, 3), max_repeat: int = 3, block_words: int = BLOCK_WORDS, shard_rows: int = SHARD_ROWS, seed: str = "mix-1") -> DataFrame:
-    """(doc_id, size, source, source_size, target, passes, cut) for every row of ``docs``.
+def plan(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (1, 2, 3), max_repeat: int = 3, block_words: int = BLOCK_WORDS, shard_rows: int = SHARD_ROWS, seed: str = "mix-1", tag: Column | None = None) -> DataFrame:
+    """(doc_id, size, source, source_size, target, passes, cut, tag) for every row of ``docs``.
 
     A document is taken whole ``passes`` times, and besides in the runs of words
     of ``cut`` (from, words), of which there are none, one or two.  It never
     gives more than ``max_repeat`` times its size.  Null texts have size 0, a
     null source is a source of its own.  The seeded order is md5(seed, id), then
-    size: rows that tie in both are interchangeable, so reruns agree, also with
-    repeated rows.  No rows in, no rows out.
+    size, then ``tag`` (a number of the row's content, for callers that need it):
+    rows that tie in all are interchangeable, so reruns agree, also with
+    repeated rows.  No rows in, no rows out.  Sources are ordered in one task,
+    a few numbers each: millions of them are no trouble, one a document would be.
     """
-    sized = docs.select(F.col(id_col).alias("id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
+    sized = docs.select(*named([id_col, source], ["id", "source"]), word_count(*named([text])).alias("size"), (F.lit(0).cast("long") if tag is None else tag).alias("tag"))
     sized = durable(sized.withColumn("draw", F.md5(F.concat_ws("|", F.lit(seed), F.col("id").cast("string")).cast("binary"))))
     rows = sized.count()
     shards = max(1, -(-rows // shard_rows))
@@ -112,7 +114,7 @@ def plan(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", source:
     )
     shares = durable(shares)
 
-    line = Window.partitionBy("source", "shard").orderBy("draw", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    line = Window.partitionBy("source", "shard").orderBy("draw", "size", "tag").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = sized.withColumn("end", F.sum("size").over(line)).withColumn("begin", F.col("end") - F.col("size"))
     both = placed.join(shares, F.col("source").eqNullSafe(F.col("s")) & (F.col("shard") == F.col("h")))
 
@@ -123,27 +125,31 @@ def plan(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", source:
         return F.struct((since - F.col("begin")).cast("long").alias("since"), F.greatest(F.least(F.col("end"), hi) - since, F.lit(0)).cast("long").alias("words"))
 
     cut = F.filter(F.array(overlap(F.col("start"), F.least(stop, F.col("words"))), overlap(F.lit(0), stop - F.col("words"))), lambda c: c["words"] > 0)
-    return both.select(F.col("id").alias(id_col), "size", "source", "source_size", F.col("target").cast("double").alias("target"), "passes", cut.alias("cut"))
+    return both.select(F.col("id").alias(id_col), "size", "source", "source_size", F.col("target").cast("double").alias("target"), "passes", cut.alias("cut"), "tag")
 
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
     """(doc_id, size, source_size, target, taken) for every row of ``docs``: taken counts the words that the mix takes, repeats included."""
     part = F.aggregate("cut", F.lit(0).cast("long"), lambda n, c: n + c["words"])
-    return plan(docs, id_col=id_col, **options).select(id_col, "size", "source_size", "target", (F.col("passes") * F.col("size") + part).cast("long").alias("taken"))
+    return plan(docs, id_col=id_col, **options).select(*named([id_col]), "size", "source_size", "target", (F.col("passes") * F.col("size") + part).cast("long").alias("taken"))
 
 
 def mixed(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The mix itself, in the columns of ``docs``: a row for each whole pass over a document and one for each run of its words.
 
-    Documents are told apart by id and size; ``docs`` should have one row an
-    id.  Runs are joined by single spaces.  Documents without words add none.
+    Runs are joined by single spaces.  Documents without words add none.  Rows
+    with equal content are interchangeable: each kind of row is met once and
+    given as often as the takes of all its copies say.
     """
-    takes = plan(docs, id_col=id_col, text=text, **options)
+    tag = F.xxhash64(*named(docs.columns))
+    takes = plan(docs, id_col=id_col, text=text, tag=tag, **options).where("size > 0")
     whole = F.transform(F.sequence(F.lit(1), F.col("passes").cast("int")), lambda i: F.struct(F.lit(-1).cast("long").alias("since"), F.lit(0).cast("long").alias("words")))
-    takes = takes.select(F.col(id_col).alias("i"), F.col("size").alias("n"), F.explode(F.concat(F.when(F.col("passes") > 0, whole).otherwise(F.filter("cut", lambda c: F.lit(False))), "cut")).alias("take")).where("n > 0")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("j"), word_count(F.col(text)).alias("m"))
-    both = rows.join(takes, F.col("i").eqNullSafe(F.col("j")) & (F.col("n") == F.col("m")))
+    takes = takes.select(*named([id_col], ["i"]), "tag", F.explode(F.concat(F.when(F.col("passes") > 0, whole).otherwise(F.filter("cut", lambda c: F.lit(False))), "cut")).alias("take"))
+    takes = takes.groupBy("i", "tag", "take").agg(F.count("*").alias("times"))
+    rows = docs.select(F.struct(*named(docs.columns)).alias("row"), *named([id_col], ["j"]), tag.alias("h")).dropDuplicates(["h", "j"])
+    both = rows.join(takes, F.col("i").eqNullSafe(F.col("j")) & (F.col("tag") == F.col("h")))
     body = F.col("row")[text]
     run = F.array_join(F.slice(F.regexp_extract_all(body, F.lit(f"({WORD})"), 1), (F.col("take.since") + 1).cast("int"), F.col("take.words").cast("int")), " ")
     new = F.when(F.col("take.since") < 0, body).otherwise(run)
-    return both.select(*((new if c == text else F.col("row")[c]).alias(c) for c in docs.columns))
+    out = both.select(*((new if c == text else F.col("row")[c]).alias(c) for c in docs.columns), F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("__time"))
+    return out.toDF(*docs.columns, "__time").select(*named(docs.columns))

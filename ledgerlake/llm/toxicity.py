@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import durable, slices
+from ledgerlake.llm.common import durable, named, slices
 
 #: Interchangeable identity terms, by kind; lower case, one word each.
 IDENTITY_TERMS = (
@@ -109,16 +109,16 @@ def _solve(x: np.ndarray, y: np.ndarray, change: np.ndarray, sparsity: float, fa
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text: str = "text", label: str = "toxic", max_labelled: int = MAX_LABELLED, features: int = FEATURES, groups: tuple[tuple[str, ...], ...] = IDENTITY_TERMS, sparsity: float = SPARSITY, fairness: float = FAIRNESS) -> Model:
     """Fit on the labelled rows that are not held out; of more than ``max_labelled``, those with the smallest hash of their id.
 
-    Rows without an id or a label are left out, of several labels of one id the
-    larger counts.  Where a class is missing the model is the smoothed share of
+    Rows without an id or a label are left out, of several labels of one id, or of
+    one text, the larger counts.  Where a class is missing the model is the smoothed share of
     the other one.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("y")).where(F.col("id").isNotNull() & F.col("y").isNotNull() & ~held_out(F.col("id")))
     known = known.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(max_labelled)
     # At most max_labelled pairs of numbers: under a megabyte at the default.
-    sample = docs.select(F.col(id_col).alias("id"), F.col(text).alias("t")).join(F.broadcast(known), "id").select("y", "t")
-    # Copies of a text bear witness once.
-    sample = sample.dropDuplicates(["t"])
+    sample = docs.select(*named([id_col, text], ["id", "t"])).join(F.broadcast(known), "id").select("y", "t")
+    # Copies of a text bear witness once, with the larger label where they differ.
+    sample = sample.groupBy("t").agg(F.max("y").alias("y")).select("y", "t")
     sample = durable(sample.repartition(max(8, docs.sparkSession.sparkContext.defaultParallelism)))
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +184,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text: str =
         for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([model.score(t) for t in batch.column(1).to_pylist()], pa.float64())], names=["id", "score"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("t"))
+    rows = docs.select(*named([id_col, text], ["id", "t"]))
     out = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, score double")
     return out.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
