@@ -44,7 +44,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import named, slices
+from ledgerlake.llm.common import ASCII_SPACE, bytes_of, named, runs_of, slices, values_of
 
 NEVER = 1 << 60
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -57,7 +57,6 @@ TABLED = 0x300
 WIDE_SPACE = [c.encode() for c in "\x85\xa0                　"]
 _SPACE2 = np.array([int.from_bytes(c) for c in WIDE_SPACE if len(c) == 2])
 _SPACE3 = np.array([int.from_bytes(c) for c in WIDE_SPACE if len(c) == 3])
-_ASCII_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 LETTER, DIGIT, OTHER, UNSAFE = range(4)
 
 
@@ -267,25 +266,14 @@ class Automaton:
 # --- texts ----------------------------------------------------------------------------------
 
 
-def _bytes_of(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a string or binary array, and where each value starts (one more than values)."""
-    cut = np.frombuffer(strings.buffers()[1], np.int32)[strings.offset : strings.offset + len(strings) + 1].astype(np.int64)
-    data = strings.buffers()[2]
-    return (np.frombuffer(data, np.uint8)[cut[0] : cut[-1]] if data is not None else np.zeros(0, np.uint8)), cut - cut[0]
-
-
-def _values(data: np.ndarray, cut: np.ndarray, kind: pa.DataType) -> pa.Array:
-    return pa.Array.from_buffers(kind, len(cut) - 1, [None, pa.py_buffer(cut.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
-
-
 def _lists(cut: np.ndarray, values: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(cut, pa.int32()), values)
 
 
 def chunks_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """The runs between white space of all ``texts``, and where each text's runs start."""
-    data, cut = _bytes_of(texts.fill_null("").cast(pa.string()))
-    space = _ASCII_SPACE[data]
+    data, cut = bytes_of(texts.fill_null("").cast(pa.string()))
+    space = ASCII_SPACE[data]
     lead = np.flatnonzero(data[:-1] == 0xC2)
     lead = lead[np.isin((data[lead].astype(np.int64) << 8) | data[lead + 1], _SPACE2)]
     space[lead] = space[lead + 1] = True
@@ -293,13 +281,7 @@ def chunks_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     lead = lead[np.isin((data[lead].astype(np.int64) << 16) | (data[lead + 1].astype(np.int64) << 8) | data[lead + 2], _SPACE3)]
     for k in range(3):
         space[lead + k] = True
-    fresh = np.ones(len(data), bool)
-    fresh[1:] = space[:-1]
-    fresh[cut[:-1][cut[:-1] < len(data)]] = True
-    keep = ~space
-    starts = np.flatnonzero(fresh & keep)
-    kept = np.concatenate(([0], np.cumsum(keep)))
-    return _values(data[keep], np.append(kept[starts], kept[-1]), pa.string()), np.searchsorted(starts, cut)
+    return runs_of(data, cut, space, pa.string())
 
 
 class Encoded(NamedTuple):
@@ -362,7 +344,7 @@ class Codec:
 
     def _words(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Words of chunks all of whose characters are in the tables: their bytes, where each word starts, and where each chunk's words start."""
-        data, cut = _bytes_of(chunks)
+        data, cut = bytes_of(chunks)
         chars = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
         begin = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))[cut]
         low, kind = self.lower[chars], self.kind[chars]
@@ -391,7 +373,7 @@ class Codec:
         return out, np.append(to[starts], len(out)), np.searchsorted(starts, begin)
 
     def _encode_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        data, cut = _bytes_of(words)
+        data, cut = bytes_of(words)
         n, size = len(words), np.diff(cut)
         symbols = np.full(len(data) + n, 256, np.int64)
         symbols[np.arange(len(data)) + np.repeat(np.arange(n), size)] = data
@@ -417,7 +399,7 @@ class Codec:
 
     def _encode_chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of different chunks, and where each chunk's ids start."""
-        data, cut = _bytes_of(chunks)
+        data, cut = bytes_of(chunks)
         # UTF-8 under U+0300 has lead bytes up to 0xCB; of those characters few are not in the tables.
         odd = np.logical_or.reduceat(data >= 0xCC, cut[:-1])
         for text in [*self.special, *(chr(c) for c in np.flatnonzero(self.kind == UNSAFE) if c > 0x20)]:
@@ -425,7 +407,7 @@ class Codec:
         plain = chunks.filter(pa.array(~odd))
         if len(plain):
             pieces, at, of = self._words(plain)
-            words = _values(pieces, at, pa.binary()).dictionary_encode()
+            words = values_of(pieces, at, pa.binary()).dictionary_encode()
             ids, starts = self._encode_words(words.dictionary)
             taken = _lists(starts, pa.array(ids)).take(words.indices)
             ids, starts = taken.flatten().to_numpy(), np.asarray(taken.offsets)[of]

@@ -74,3 +74,31 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 500, size: int = 8 <<
 def named(names: list[str], to: list[str] | None = None) -> list[Column]:
     """Columns by their whole names, dots and back-ticks included, as ``to``."""
     return [F.col("`" + n.replace("`", "``") + "`").alias(t) for n, t in zip(names, to or names, strict=True)]
+
+
+# --- texts as Arrow buffers -----------------------------------------------------------------
+
+ASCII_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+def bytes_of(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a string or binary array, and where each value starts (one more than values)."""
+    cut = np.frombuffer(strings.buffers()[1], np.int32)[strings.offset : strings.offset + len(strings) + 1].astype(np.int64)
+    data = strings.buffers()[2]
+    return (np.frombuffer(data, np.uint8)[cut[0] : cut[-1]] if data is not None else np.zeros(0, np.uint8)), cut - cut[0]
+
+
+def values_of(data: np.ndarray, cut: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """The array that ``bytes_of`` takes apart."""
+    return pa.Array.from_buffers(kind, len(cut) - 1, [None, pa.py_buffer(cut.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def runs_of(data: np.ndarray, cut: np.ndarray, space: np.ndarray, kind: pa.DataType) -> tuple[pa.Array, np.ndarray]:
+    """The runs of bytes between those marked in ``space``, and where each text's runs start."""
+    fresh = np.ones(len(data), bool)
+    fresh[1:] = space[:-1]
+    fresh[cut[:-1][cut[:-1] < len(data)]] = True
+    keep = ~space
+    starts = np.flatnonzero(fresh & keep)
+    kept = np.concatenate(([0], np.cumsum(keep)))
+    return values_of(data[keep], np.append(kept[starts], kept[-1]), kind), np.searchsorted(starts, cut)

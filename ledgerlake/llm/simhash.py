@@ -21,8 +21,8 @@ of blocks is searched by itself, so a crowded key loses nothing.
 A task returns a minimum spanning forest of each tree's links, at most one link
 fewer than the tree has members.  It connects what all the links connect, at
 the given radius and at every smaller one.  Where links have to pass a check of
-their own that is not enough: ``cross_links`` returns every link between the
-parts that are not connected yet.
+their own that is not enough: ``cross_links`` returns every link between given
+parts.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import durable, shuffle_partitions, slices
+from ledgerlake.llm.common import ASCII_SPACE, bytes_of, durable, named, runs_of, shuffle_partitions, slices
 from ledgerlake.llm.graph import components
 
 SEED = 42
@@ -45,6 +45,10 @@ SHARD_CAP = 4_096
 #: Pairs that a search holds at once.
 FRONTIER = 1 << 18
 _LOW = np.uint64(0x0101010101010101)
+_LOW52 = np.uint64((1 << 52) - 1)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
 
 # --- fingerprints ---------------------------------------------------------------------------
@@ -61,50 +65,86 @@ def shingle_hashes(text: str | None, words: int) -> np.ndarray:
     joined = b" ".join(w)
     ends = np.cumsum(np.array([len(k) + 1 for k in w])) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
-    return np.array([x(joined[i:j], SEED) for i, j in zip(starts[: 1 - words].tolist(), ends[words - 1 :].tolist(), strict=True)], np.uint64)
+    return np.array([x(joined[i:j], SEED) for i, j in zip(starts[: len(w) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)], np.uint64)
 
 
-def majority_bits(h: np.ndarray) -> int:
-    """The 64 bits, each 1 where over half of ``h`` have it.  Bytes of all counters are summed together, 255 rows at a time."""
-    n, out = len(h), 0
-    if not n:
-        return 0
-    at = np.arange(0, n, 255)
+def shingle_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different shingles of each text (at most 4,096 texts), as sorted hashes of 52 bits, and where each text's start.
+
+    Words and shingles as in ``shingle_hashes``; a shingle's hash is put together
+    from those of its words, of which each one of the batch is hashed once.
+    """
+    data, cut = bytes_of(texts.fill_null("").cast(pa.string()))
+    runs, of = runs_of(_LOWER[data], cut, ASCII_SPACE[data], pa.binary())
+    runs = runs.dictionary_encode()
+    own = np.array([xxhash.xxh64_intdigest(w, SEED) for w in runs.dictionary.to_pylist()], np.uint64)
+    own = own[runs.indices.to_numpy()] if len(runs) else own
+    n = np.diff(of)
+    count = np.where(n > 0, np.maximum(n - words + 1, 1), 0)
+    text = np.repeat(np.arange(len(n)), count)
+    at = np.arange(len(text)) - np.repeat(np.cumsum(count) - count - of[:-1], count)
+    h = np.zeros(len(text), np.uint64)
+    for k in range(words):
+        inside = at + k < of[text + 1]
+        h = np.where(inside, h * _ODD + own[np.minimum(at + k, len(own) - 1)], h) if len(own) else h
+    h = np.sort((text.astype(np.uint64) << np.uint64(52)) | (mix(h, 1) >> np.uint64(12)))
+    h = h[np.concatenate(([True], h[1:] != h[:-1]))] if len(h) else h
+    return h & _LOW52, np.append(np.searchsorted(h, np.arange(len(n), dtype=np.uint64) << np.uint64(52)), len(h))
+
+
+def majority_bits(h: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """Of the hashes of each text (``cut`` as above) the 64 bits that over half of them have; none: zero.
+
+    Bytes of all counters are summed together, at most 255 hashes at a time.
+    """
+    n = np.diff(cut)
+    full = np.flatnonzero(n)
+    out = np.zeros(len(n), np.uint64)
+    if not len(full):
+        return out
+    parts = -(-n[full] // 255)
+    first = np.cumsum(parts) - parts
+    at = np.repeat(cut[:-1][full] - 255 * first, parts) + 255 * np.arange(parts.sum())
+    counts = np.empty((len(full), 8, 8), np.int64)
     for bit in range(8):
-        part = np.add.reduceat((h >> np.uint64(bit)) & _LOW, at)
-        counts = part.view(np.uint8).reshape(-1, 8).sum(0, dtype=np.int64)
-        for byte in np.flatnonzero(2 * counts > n):
-            out |= 1 << (8 * int(byte) + bit)
+        part = np.add.reduceat((h >> np.uint64(bit)) & _LOW, at).view(np.uint8).reshape(-1, 8)
+        counts[:, :, bit] = np.add.reduceat(part, first, axis=0, dtype=np.int64)
+    out[full] = np.packbits(2 * counts > n[full][:, None, None], axis=2, bitorder="little").reshape(-1, 8).view(np.uint64)[:, 0]
     return out
 
 
 def mix(h: np.ndarray, k: int) -> np.ndarray:
-    """The k-th further hash of each hash (a 64-bit finalizer); h itself for k = 0."""
-    if not k:
-        return h
+    """The k-th further hash of each hash (a 64-bit finalizer)."""
     h = h + np.uint64((0x9E3779B97F4A7C15 * k) & 0xFFFFFFFFFFFFFFFF)
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(31))
 
 
-def fingerprints(docs: DataFrame, *, id_col: str, text: str, words: int, lanes: int = 1, once: bool = False) -> DataFrame:
-    """(id, f0 .. f{lanes-1}) for every row: 64 bits a lane, as signed longs.  No words: zero.  ``once``: of repeated shingles one counts."""
+def fingerprints(docs: DataFrame, *, id_col: str, text: str, words: int) -> DataFrame:
+    """(id, f0) for every row: 64 bits of all shingles, repeats included, as a signed long.  No words: zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            got = []
-            for t in batch.column(1).to_pylist():
-                h = shingle_hashes(t, words)
-                if once:
-                    h = np.unique(h)
-                got.append([majority_bits(mix(h, k)) for k in range(lanes)])
-            bits = np.array(got, np.uint64).reshape(-1, lanes).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(bits[:, k]) for k in range(lanes))], names=["id", *(f"f{k}" for k in range(lanes))])
+        for batch in slices(batches, text=1):
+            h = [shingle_hashes(t, words) for t in batch.column(1).to_pylist()]
+            bits = majority_bits(np.concatenate(h), np.cumsum([0, *map(len, h)]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits.view(np.int64))], names=["id", "f0"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("t"))
-    kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, " + ", ".join(f"f{k} long" for k in range(lanes)))
+    rows = docs.select(*named([id_col, text], ["id", "t"]))
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, f0 long")
+
+
+def set_fingerprints(docs: DataFrame, *, id_col: str, text: str, words: int, lanes: int) -> DataFrame:
+    """(id, f0 .. f{lanes-1}) for every row: 64 bits a lane of the set of its shingles, a repeated one counted once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 2_000, text=1):
+            h, cut = shingle_sets(batch.column(1), words)
+            bits = [majority_bits(mix(h, 2 + k), cut).view(np.int64) for k in range(lanes)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, bits)], names=["id", *(f"f{k}" for k in range(lanes))])
+
+    rows = docs.select(*named([id_col, text], ["id", "t"]))
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, " + ", ".join(f"f{k} long" for k in range(lanes)))
 
 
 # --- shards ---------------------------------------------------------------------------------
@@ -128,7 +168,7 @@ def miss_chance(width: int, count: int, *, agree: float, radius: int, bits: int)
     return miss
 
 
-def sampled_keys(n: int, *, agree: float, recall: float, radius: int, bits: int, crowd: int = 32) -> list[list[int]]:
+def sampled_keys(n: int, *, agree: float, recall: float, radius: int, bits: int, crowd: int = 64) -> list[list[int]]:
     """Keys of so many bits that about ``crowd`` of ``n`` random fingerprints share one, and as few keys as
     let fingerprints whose bits agree with chance ``agree`` meet with chance ``recall``."""
     width = max(8, math.ceil(math.log2(max(n, 1) / crowd)))
@@ -391,6 +431,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
 # --- near-duplicates by shingle similarity --------------------------------------------------
 
 LANES = 4
+#: Up to this many candidate texts (24 bytes each) are broadcast to the texts, beyond it they are shuffled.
+BROADCAST_TEXTS = 500_000
 
 
 def bit_agreement(similarity: float) -> float:
@@ -400,16 +442,15 @@ def bit_agreement(similarity: float) -> float:
 
 def _jaccard(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[str | None, np.ndarray] = (None, np.zeros(0, np.uint64))
-        for batch in slices(batches):
-            out = []
-            for s, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if s != last[0]:
-                    last = (s, np.unique(shingle_hashes(s, words)))
-                b = np.unique(shingle_hashes(t, words))
-                both = len(np.intersect1d(last[1], b, assume_unique=True))
-                out.append(both / (len(last[1]) + len(b) - both) if both else 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], names=["a", "b", "similarity"])
+        for batch in slices(slices(batches, 1_000, text=2), 1_000, text=3):
+            (x, at), (y, bt) = (shingle_sets(batch.column(k), words) for k in (2, 3))
+            # Both sides' sets of a row together: what stands there twice is shared.
+            row = [np.repeat(np.arange(batch.num_rows, dtype=np.uint64), np.diff(cut)) << np.uint64(52) for cut in (at, bt)]
+            both = np.sort(np.concatenate((x | row[0], y | row[1])))
+            twice = both[1:][both[1:] == both[:-1]] >> np.uint64(52)
+            shared = np.bincount(twice.astype(np.int64), minlength=batch.num_rows)
+            total = np.diff(at) + np.diff(bt) - shared
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared / np.maximum(total, 1))], names=["a", "b", "similarity"])
 
     return run
 
@@ -423,9 +464,9 @@ def similar_groups(docs: DataFrame, *, text: str = "text", words: int = 5, simil
     shingle that a text repeats once.  ``recall`` is the chance that two texts of just this
     similarity meet, whatever the number of texts; nearer ones meet more surely.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
+    body = F.coalesce(*named([text]), F.lit(""))
     hashed = docs.select(F.struct(F.xxhash64(body).alias("t1"), F.xxhash64(F.lit(7), body).alias("t2")).alias("k"), body.alias("t"))
-    rows = fingerprints(hashed, id_col="k", text="t", words=words, lanes=LANES, once=True)
+    rows = set_fingerprints(hashed, id_col="k", text="t", words=words, lanes=LANES)
     lanes = [f"f{k}" for k in range(LANES)]
     distinct = rows.groupBy(F.col("id.t1").alias("t1"), F.col("id.t2").alias("t2")).agg(*(F.first(c).alias(c) for c in lanes))
     # Numbered once and kept, so the numbers stay.
@@ -434,21 +475,44 @@ def similar_groups(docs: DataFrame, *, text: str = "text", words: int = 5, simil
     radius = math.ceil(bits * (1 - agree) + 3.5 * math.sqrt(bits * agree * (1 - agree)))
     keys = sampled_keys(prints.count(), agree=agree, recall=recall, radius=radius, bits=bits)
 
-    def passed(pairs: DataFrame) -> DataFrame:
-        # Only the texts of candidates are fetched, one of each.
-        asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(prints.select("node", "t1", "t2"), "node")
-        texts = hashed.select("k.t1", "k.t2", "t").join(asked, ["t1", "t2"]).groupBy("node").agg(F.first("t").alias("t"))
+    def checked(pairs: DataFrame) -> DataFrame:
+        """(a, b, ok); only the texts of candidates are fetched, one of each."""
+        asked = durable(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(prints.select("node", "t1", "t2"), "node"))
+        few = asked.limit(BROADCAST_TEXTS + 1).count() <= BROADCAST_TEXTS
+        texts = hashed.select("k.t1", "k.t2", "t").join(F.broadcast(asked) if few else asked, ["t1", "t2"]).groupBy("node").agg(F.first("t").alias("t"))
         texts = durable(texts)
-        sides = pairs.join(texts.select(F.col("node").alias("a"), F.col("t").alias("s")), "a").join(texts.select(F.col("node").alias("b"), "t"), "b").select("a", "b", "s", "t")
-        return durable(sides.mapInArrow(_jaccard(words), "a long, b long, similarity double").where(F.col("similarity") >= similarity).select("a", "b"))
-
-    # Most of a group hangs together by the links of the spanning forests that pass the check.  Similarity does not
-    # follow the differing bits exactly, so all other links between what does not are checked as well.
-    links = passed(durable(near_links(prints.select("node", *lanes), keys, radius, lanes=LANES).select("a", "b").distinct()))
-    parts = prints.join(components(links), "node", "left").select("node", F.coalesce("root", "node").alias("part"), *lanes)
-    links = links.unionByName(passed(durable(cross_links(durable(parts), keys, radius, lanes=LANES))))
-    roots = components(links)
-    return prints.select("t1", "t2", "node").join(roots, "node", "left").select("t1", "t2", F.coalesce("root", "node").alias("root"))
+        sides = pairs.select("a", "b").join(texts.select(F.col("node").alias("a"), F.col("t").alias("s")), "a").join(texts.select(F.col("node").alias("b"), "t"), "b").select("a", "b", "s", "t")
+        return durable(sides.mapInArrow(_jaccard(words), "a long, b long, similarity double").select("a", "b", (F.col("similarity") >= similarity).alias("ok")))
+
+    def apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+        """``pairs`` with the parts pa and pb of their ends, where these differ; what is in no part is one by itself."""
+        for side in ("a", "b"):
+            at = parts.select(F.col("node").alias(side), F.col("root").alias(f"p{side}"))
+            pairs = pairs.join(at, side, "left").withColumn(f"p{side}", F.coalesce(f"p{side}", side))
+        return pairs.where("pa <> pb")
+
+    found = near_links(prints.select("node", *lanes), keys, radius, lanes=LANES)
+    found = durable(found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("d").alias("d")))
+    # First each text's nearest link; most of a group hangs together by those.
+    ends = found.select(F.col("a").alias("u"), F.struct("d", "a", "b").alias("link")).unionByName(found.select(F.col("b").alias("u"), F.struct("d", "a", "b").alias("link")))
+    tested = checked(ends.groupBy("u").agg(F.min("link").alias("link")).select("link.a", "link.b").distinct())
+    parts = components(tested.where("ok"))
+    # Then the other links between what is not connected yet.
+    rest = durable(apart(found.select("a", "b").join(tested, ["a", "b"], "left_anti"), parts).select("a", "b"))
+    if not rest.isEmpty():
+        tested = tested.unionByName(checked(rest))
+        parts = components(tested.where("ok"))
+    # The trees' links span what is within the radius, but similarity does not follow the differing bits exactly: where
+    # such a link did not pass, all pairs across the parts on its two sides are looked at.
+    open_ = apart(tested.where("NOT ok"), parts).select(F.explode(F.array("pa", "pb")).alias("part")).distinct()
+    open_ = durable(open_)
+    if not open_.isEmpty():
+        members = prints.select("node", *lanes).join(parts, "node", "left").select("node", F.coalesce("root", "node").alias("part"), *lanes).join(open_, "part")
+        across = cross_links(durable(members.select("node", "part", *lanes)), keys, radius, lanes=LANES)
+        across = durable(across.distinct().join(tested, ["a", "b"], "left_anti"))
+        if not across.isEmpty():
+            parts = components(tested.where("ok").select("a", "b").unionByName(checked(across).where("ok").select("a", "b")))
+    return prints.select("t1", "t2", "node").join(parts, "node", "left").select("t1", "t2", F.coalesce("root", "node").alias("root"))
 
 
 def one_of_each_group(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -457,8 +521,8 @@ def one_of_each_group(docs: DataFrame, *, id_col: str = "doc_id", text: str = "t
     Equal texts are always one group, null and empty ones too.  Of rows that
     share text and id, one stays, by a hash of the row.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.xxhash64(body).alias("t1"), F.xxhash64(F.lit(7), body).alias("t2"), F.xxhash64(*docs.columns).alias("h"))
+    body = F.coalesce(*named([text]), F.lit(""))
+    rows = docs.select(F.struct(*named(docs.columns)).alias("row"), *named([id_col], ["id"]), F.xxhash64(body).alias("t1"), F.xxhash64(F.lit(7), body).alias("t2"), F.xxhash64(*named(docs.columns)).alias("h"))
     groups = durable(similar_groups(docs, text=text, words=words, similarity=similarity))
     first = rows.groupBy("t1", "t2").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("m"))
     first = first.join(groups, ["t1", "t2"]).groupBy("root").agg(F.min(F.struct("m", "t1", "t2")).alias("best"))
