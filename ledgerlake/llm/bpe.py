@@ -49,7 +49,9 @@ from ledgerlake.llm.common import ASCII_SPACE, bytes_of, named, runs_of, slices,
 NEVER = 1 << 60
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 #: Text that a worker encodes at a time; a longer text is taken by itself.
-SLICE_ROWS, SLICE_BYTES = 4_000, 8 << 20
+SLICE_ROWS, SLICE_BYTES = 4_000, 4 << 20
+#: Symbols that the automaton steps through together; a longer word is taken by itself.
+BLOCK = 1 << 19
 #: Characters that the pre-split tables cover.
 TABLED = 0x300
 
@@ -212,10 +214,19 @@ class Automaton:
 
     def encode(self, symbols: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The tokens of all words, and where each word's tokens start (one more than words); ``starts`` cuts ``symbols`` likewise."""
+        parts, lo = [(np.zeros(0, np.int32), np.zeros(1, np.int64))], 0
+        while lo < len(starts) - 1:
+            hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + BLOCK, "right")) - 1)
+            parts.append(self._encode_block(symbols[starts[lo] : starts[hi]], (starts[lo : hi + 1] - starts[lo]).astype(np.int32)))
+            lo = hi
+        ends = np.cumsum([0, *(len(ids) for ids, _ in parts)])
+        return np.concatenate([ids for ids, _ in parts]), np.concatenate([[0], *(cut[1:] + end for (_, cut), end in zip(parts, ends[:-1], strict=True))])
+
+    def _encode_block(self, symbols: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         words, size = len(starts) - 1, np.diff(starts)
         first, stop = np.repeat(starts[:-1], size), np.repeat(starts[1:], size)
         # All tokens that stand anywhere in a word, by their length.
-        at, node = np.arange(len(symbols)), np.zeros(len(symbols), np.int32)
+        at, node = np.arange(len(symbols), dtype=np.int32), np.zeros(len(symbols), np.int32)
         begins, ends, tokens, depth = [], [], [], 0
         while len(at):
             node = self._step(node, symbols[at + depth])
@@ -236,7 +247,7 @@ class Automaton:
             place = place.astype(np.int16)
         order = np.argsort(place, kind="stable")
         begin, end, token, place = begin[order], end[order], token[order], place[order]
-        last, back = np.full(len(symbols) + 1, -1, np.int32), np.zeros(len(symbols) + 1, np.int64)
+        last, back = np.full(len(symbols) + 1, -1, np.int32), np.zeros(len(symbols) + 1, np.int32)
         cuts = np.concatenate(([0], np.flatnonzero(np.diff(place)) + 1, [len(place)]))
         for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             b, e, t = begin[lo:hi], end[lo:hi], token[lo:hi]
@@ -375,7 +386,7 @@ class Codec:
     def _encode_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         data, cut = bytes_of(words)
         n, size = len(words), np.diff(cut)
-        symbols = np.full(len(data) + n, 256, np.int64)
+        symbols = np.full(len(data) + n, 256, np.int16)
         symbols[np.arange(len(data)) + np.repeat(np.arange(n), size)] = data
         return self.automaton.encode(symbols, cut + np.arange(n + 1))
 
