@@ -4,6 +4,9 @@ Vectors are dealt to shards by a hash of their id.  Each shard's graph is built
 in one task and kept as flat arrays: the vectors, one matrix of neighbour
 positions for the bottom layer and a smaller one for each layer above it.
 Query blocks visit every shard's graph; the shard results are merged by score.
+No shard is skipped: where neighbours are spread over all directions, as in
+the given vectors, half of all shards would have to be asked to find nine in
+ten of them, and a coarse routing would lose the rest.
 
 Insertion and search run on whole batches: every row of a batch has its own
 beam, and one step expands the best open candidates of all beams at once.
@@ -22,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import durable
+from ledgerlake.llm.common import durable, named
 
-#: Vectors of a shard on average: what a task builds and holds.
-SHARD_ROWS = 4_096
-QUERY_BLOCK = 512
+#: Vectors of a shard on average, what a task builds and holds: as many as keep all tasks busy, between these bounds.
+#: A search costs little more in a large graph than in a small one, so few large shards are cheaper than many small ones.
+SHARD_ROWS = (4_096, 16_384)
+#: Queries that meet a shard in one go, and that a search holds at once.
+QUERY_BLOCK = 8_192
 LINKS = 16
 BEAM_BUILD = 80
 BEAM_SEARCH = 128
@@ -34,17 +39,35 @@ OPEN = 4  # candidates that each beam expands in a step
 BATCH = 256
 
 
-def _squared(v: np.ndarray, norms: np.ndarray, q: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Squared distances of each row of q to its row of ids (-1: infinity)."""
-    d = norms[ids] - 2 * np.einsum("bkd,bd->bk", v[ids], q) + np.einsum("bd,bd->b", q, q)[:, None]
-    return np.where(ids < 0, np.inf, d).astype(np.float32)
+def _squared(v: np.ndarray, q: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Squared distances of each row of q to its row of ids (-1: infinity), from differences, so that near ones stay apart."""
+    apart = v[ids]
+    apart -= q[:, None]
+    return np.where(ids < 0, np.float32(np.inf), np.einsum("bkd,bkd->bk", apart, apart))
+
+
+def _distance(nodes: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Euclidean distances in double; where squares would leave the range of doubles, of parts of the largest difference."""
+    with np.errstate(over="ignore", under="ignore"):
+        apart = nodes - q
+        d = np.sqrt((apart**2).sum(axis=1))
+    most = np.abs(apart).max(axis=1, initial=0)
+    odd = (most > 1e150) | ((most > 0) & (most < 1e-150))
+    if odd.any():
+        d[odd] = most[odd] * np.sqrt(((apart[odd] / most[odd, None]) ** 2).sum(axis=1))
+    return d
 
 
 class Graph:
     def __init__(self, vectors: np.ndarray, links: int = LINKS):
-        self.v = np.ascontiguousarray(vectors, np.float32)
-        self.norms = np.einsum("nd,nd->n", self.v, self.v)
-        self.links, self.entry = links, 0
+        # Single precision holds only what is left of the vectors about their mean, as a share of the largest part of it.
+        self.size = float(np.abs(vectors).max(initial=0)) or 1.0
+        part = vectors / self.size
+        self.centre = part.mean(axis=0)
+        part -= self.centre
+        self.spread = float(np.abs(part).max(initial=0)) or 1.0
+        self.v = np.ascontiguousarray(part / self.spread, np.float32)
+        self.links = links
         #: For each layer: a row for each of its nodes, and each node's row (-1: not in the layer).
         self.layers: list[np.ndarray] = []
         self.rows: list[np.ndarray] = []
@@ -78,12 +101,12 @@ class Graph:
                 continue
             # The others of this batch that enter the layer too.
             mates = np.broadcast_to(new[own], (len(own), len(own))).astype(np.int32)
-            apart = _squared(self.v, self.norms, q[own], mates)
+            apart = _squared(self.v, q[own], mates)
             np.fill_diagonal(apart, np.inf)
             near = np.argsort(apart, axis=1, kind="stable")[:, : self.links * 2]
             ids = np.concatenate((found[own], np.take_along_axis(mates, near, 1)), axis=1)
             dist = np.concatenate((d[own], np.take_along_axis(apart, near, 1)), axis=1)
-            picked = self._diverse(np.where(np.isinf(dist), -1, ids), dist, self.links)
+            picked = self._diverse(q[own], np.where(np.isinf(dist), -1, ids), dist, self.links)
             self.layers[layer][self.rows[layer][new[own]], : self.links] = picked
             self._link_back(layer, new[own], picked)
 
@@ -103,22 +126,22 @@ class Graph:
             ids = np.sort(ids, axis=1)[:, ::-1]  # -1 last
             ids[:, 1:][ids[:, 1:] == ids[:, :-1]] = -1  # linked both ways already
             full = (ids >= 0).sum(1) > width
-            dist = _squared(self.v, self.norms, self.v[target[part]], ids)
+            dist = _squared(self.v, self.v[target[part]], ids)
             order = np.argsort(dist, axis=1, kind="stable")
             ids, dist = np.take_along_axis(ids, order, 1), np.take_along_axis(dist, order, 1)
             out = np.full((len(part), width), -1, np.int32)
             w = min(width, ids.shape[1])
             out[:, :w] = ids[:, :w]
             if full.any():
-                out[full] = self._diverse(ids[full], dist[full], width)
+                out[full] = self._diverse(self.v[target[part[full]]], ids[full], dist[full], width)
             adj[rows[part]] = out
 
-    def _diverse(self, ids: np.ndarray, dist: np.ndarray, m: int) -> np.ndarray:
+    def _diverse(self, nodes: np.ndarray, ids: np.ndarray, dist: np.ndarray, m: int) -> np.ndarray:
         """m of ids a row: nearest first, those nearer to a picked one than to the node only where places are left."""
         order = np.argsort(dist, axis=1, kind="stable")[:, : 4 * m]
         ids, dist = np.take_along_axis(ids, order, 1), np.take_along_axis(dist, order, 1)
-        v = self.v[ids]
-        norms = self.norms[ids]
+        v = self.v[ids] - nodes[:, None]
+        norms = np.einsum("bkd,bkd->bk", v, v)
         between = norms[:, :, None] + norms[:, None, :] - 2 * np.matmul(v, v.transpose(0, 2, 1))
         n, c = ids.shape
         picked = np.zeros((n, c), bool)
@@ -140,7 +163,7 @@ class Graph:
         dist = np.full((b, width), np.inf, np.float32)
         start = start[:, :width]
         ids[:, : start.shape[1]] = start
-        dist[:, : start.shape[1]] = _squared(self.v, self.norms, q, start)
+        dist[:, : start.shape[1]] = _squared(self.v, q, start)
         order = np.argsort(dist, axis=1, kind="stable")
         ids, dist = np.take_along_axis(ids, order, 1), np.take_along_axis(dist, order, 1)
         closed = ids < 0
@@ -161,7 +184,7 @@ class Graph:
             next_[:, 1:][next_[:, 1:] == next_[:, :-1]] = -1
             next_ = np.where(seen[live[:, None], next_], -1, next_)
             seen[live[:, None], next_] = True
-            d = _squared(self.v, self.norms, q[live], next_)
+            d = _squared(self.v, q[live], next_)
             all_ids, all_d = np.concatenate((ids[live], next_), axis=1), np.concatenate((dist[live], d), axis=1)
             all_closed = np.concatenate((closed[live], next_ < 0), axis=1)
             order = np.argsort(all_d, axis=1, kind="stable")[:, :width]
@@ -171,11 +194,14 @@ class Graph:
 
     def search(self, q: np.ndarray, beam: int = BEAM_SEARCH) -> np.ndarray:
         """Positions of the nodes that each query's beam ends with (-1 past the last)."""
-        q = np.ascontiguousarray(q, np.float32)
-        at = np.zeros((len(q), 1), np.int32)
-        for layer in range(len(self.layers) - 1, 0, -1):
-            at = self._beam(q, at, layer, 16)[0]
-        return self._beam(q, at, 0, beam)[0]
+        near = []
+        for lo in range(0, len(q), BATCH):
+            part = np.ascontiguousarray(np.clip((q[lo : lo + BATCH] / self.size - self.centre) / self.spread, -1e15, 1e15), np.float32)
+            at = np.zeros((len(part), 1), np.int32)
+            for layer in range(len(self.layers) - 1, 0, -1):
+                at = self._beam(part, at, layer, 16)[0]
+            near.append(self._beam(part, at, 0, beam)[0])
+        return np.concatenate(near)
 
     def flat(self) -> dict[str, bytes | list[int]]:
         return {"widths": [x.shape[1] for x in self.layers], "sizes": [len(x) for x in self.layers], "neighbours": b"".join(x.tobytes() for x in self.layers), "members": b"".join(np.flatnonzero(r >= 0).astype(np.int32).tobytes() for r in self.rows)}
@@ -202,10 +228,6 @@ def _index_shard(pdf: pd.DataFrame) -> pd.DataFrame:
     """One row: a shard's graph.  A node is a distinct vector with its ids in order."""
     v = np.stack(pdf["v"].to_numpy()).astype(np.float64)
     ids = pdf["id"].to_numpy(np.int64)
-    order = np.lexsort((*v.T[::-1], ids))
-    v, ids = v[order], ids[order]
-    first = np.concatenate(([True], ids[1:] != ids[:-1]))  # one vector an id
-    v, ids = v[first], ids[first]
     nodes, back = np.unique(v, axis=0, return_inverse=True)
     # np.unique sorts; a seeded shuffle spreads neighbours over the batches.
     shuffle = np.random.default_rng(len(nodes)).permutation(len(nodes))
@@ -222,11 +244,16 @@ def _index_shard(pdf: pd.DataFrame) -> pd.DataFrame:
 INDEX = "shard long, dim int, ids array<long>, starts array<long>, vectors binary, widths array<int>, sizes array<int>, neighbours binary, members binary"
 
 
-def build_index(rows: DataFrame, *, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """One row a shard, from ``rows`` (id, v).  Vectors of another length are in shards of their own."""
-    rows = rows.withColumn("dim", F.size("v"))
-    shards = max(1, -(-rows.count() // shard_rows))
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)))
+def build_index(rows: DataFrame, *, shard_rows: int | None = None) -> DataFrame:
+    """One row a shard, from ``rows`` (id, v).  Vectors of another length are in shards of their own.
+
+    Of rows that share an id the smallest vector counts, whatever their number.
+    """
+    rows = rows.groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
+    n = rows.count()
+    if shard_rows is None:
+        shard_rows = min(max(SHARD_ROWS[0], -(-n // rows.sparkSession.sparkContext.defaultParallelism)), SHARD_ROWS[1])
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n // shard_rows)))))
     return dealt.select("shard", "dim", "id", "v").groupBy("shard", "dim").applyInPandas(_index_shard, INDEX)
 
 
@@ -241,7 +268,7 @@ def _search_shards(k: int, beam: int):
                 queries = np.array(x["qv"], np.float64)
                 for q_id, q, found in zip(x["q_ids"], queries, graph.search(queries, beam), strict=True):
                     found = found[found >= 0]
-                    score = np.sqrt(((nodes[found] - q) ** 2).sum(axis=1))
+                    score = _distance(nodes[found], q)
                     # A node's first k + 1 ids are enough: one of them may be the query's own.
                     n = np.minimum(starts[found + 1] - starts[found], k + 1)
                     at = np.repeat(starts[found], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -256,7 +283,7 @@ def _search_shards(k: int, beam: int):
     return run
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 10, id_col: str = "vec_id", vector: str = "embedding", shard_rows: int = SHARD_ROWS, beam: int = BEAM_SEARCH) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 10, id_col: str = "vec_id", vector: str = "embedding", shard_rows: int | None = None, beam: int = BEAM_SEARCH) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's ``k`` nearest vectors, its own id excepted.
 
     Score is the Euclidean distance in double precision, ties go to the smaller
@@ -267,7 +294,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 10, id_col: str
     """
 
     def clean(df: DataFrame) -> DataFrame:
-        df = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+        df = df.select(*named([id_col, vector], ["id", "v"])).select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"))
         return df.where(F.col("id").isNotNull() & usable(F.col("v")))
 
     index = durable(build_index(clean(vectors), shard_rows=shard_rows))

@@ -38,8 +38,7 @@ def texts(spark, sf):
 
 def test_every_query_runs(spark, sf):
     for name, q in queries.queries().items():
-        if name not in ("op7_media",):
-            assert q(spark, sf).count() > 0, name
+        assert q(spark, sf).count() > 0, name
 
 
 def test_oracles(spark, sf, duck):
@@ -67,6 +66,32 @@ def test_nearest(spark, sf):
     assert hits >= 0.9 * 10 * len(got)
 
 
+@pytest.mark.parametrize("kind", ["far from zero", "huge", "tight clusters", "one shard, many"])
+def test_nearest_hard(spark, kind):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(1500, 16))
+    if kind == "far from zero":
+        v += 1e6
+    elif kind == "huge":
+        v *= 1e200
+    elif kind == "tight clusters":
+        v = np.concatenate([rng.normal(size=16) * 1000 + 1e-3 * rng.normal(size=(150, 16)) for _ in range(10)])
+    else:
+        v[:600] = v[0]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    out = hnsw.nearest(df, df.where("vec_id % 50 = 0"), shard_rows=2000 if kind.startswith("one") else 500).collect()
+    got = collections.defaultdict(list)
+    for r in sorted(out, key=lambda r: (r.query_id, r.rank)):
+        got[r.query_id].append((r.vec_id, r.score))
+    hits = 0
+    for q in range(0, len(v), 50):
+        d = hnsw._distance(v, v[q])
+        want = [k for k in np.lexsort((np.arange(len(v)), d)).tolist() if k != q][:10]
+        hits += len(set(want) & {i for i, _ in got[q]})
+        assert all(s == pytest.approx(d[i], rel=1e-12) for i, s in got[q])
+    assert hits >= 0.9 * 10 * 30
+
+
 def test_nearest_odd(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (7, [1.0, 0.0, 0.0]), (None, [1.0, 1.0]), (8, [0.0, 1.0])]
     df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, shard int")
@@ -147,6 +172,15 @@ def test_toxicity_is_fair(spark):
     assert fair.score("one muslim here") < 0.5 < fair.score("one scumbag here")
 
 
+def test_toxicity_labels_of_one_text(spark):
+    """Equal texts with unlike labels: the larger label, whatever the order of the rows."""
+    rows = [(i, f"plain words number {'abcdefghij'[i % 10]}") for i in range(60)] + [(100 + i, "awful scumbag") for i in range(30)]
+    labels = [(i, 0) for i in range(60)] + [(100 + i, i % 2) for i in range(30)]
+    frames = [(spark.createDataFrame(r, "doc_id long, text string"), spark.createDataFrame(y, "doc_id long, toxic int")) for r, y in ((rows, labels), (rows[::-1], labels[::-1]))]
+    models = [toxicity.fit(d.repartition(3), y.repartition(2)) for d, y in frames]
+    assert models[0].weights == models[1].weights and models[0].bias == models[1].bias
+
+
 def test_toxicity_odd(spark, odd, none):
     labels = spark.createDataFrame([(1, 1), (1, None), (None, 1), (2, 0)], "doc_id long, toxic int")
     model = toxicity.fit(odd, labels)
@@ -252,6 +286,19 @@ def test_mixing_odd(spark, odd, none):
     assert all(by_doc[i] == n for i, n in taken.items())
 
 
+def test_mixed_repeated_rows(spark):
+    docs = spark.createDataFrame([(1, "w " * 64, "a")] * 2 + [(2, "v " * 10, "a"), (2, "u " * 10, "a"), (None, "n " * 50, "b"), (None, "n " * 50, "b")], DOCS).withColumnRenamed("source", "source")
+    want = {r.s: r.n for r in mixing.mix(docs).join(docs.select("doc_id", "source").distinct(), "doc_id", "left").groupBy("source_size").sum("taken").toDF("s", "n").collect()}
+    got = collections.Counter()
+    size = {"w": 148, "v": 148, "u": 148, "n": 100}
+    for r in mixing.mixed(docs).collect():
+        for w in r.text.split():
+            got[size[w]] += 1
+    assert dict(got) == {k: v for k, v in want.items() if v}
+    dotted = docs.withColumnRenamed("source", "so.urce")
+    assert mixing.mixed(dotted, source="so.urce").columns == dotted.columns
+
+
 def test_sainte_lague(spark):
     from pyspark.sql import functions as F
 
@@ -270,20 +317,26 @@ def test_sainte_lague(spark):
 
 
 def test_media(spark, sf):
-    vectors = table(spark, sf, "embeddings").limit(60)
+    vectors = table(spark, sf, "embeddings").limit(100)
     images = media.pictures_of(vectors)
-    extra = images.where("image_id % 20 = 0").selectExpr("image_id + 100000 AS image_id", "height", "width", "pixels")
-    broken = spark.createDataFrame([(-1, 5, 5, b"x"), (-2, 0, 0, b""), (-3, None, 3, None), (None, 1, 1, b"a"), (-4, 2, 2, b"abcd")], "image_id long, height int, width int, pixels binary")
+    extra = images.where("image_id LIKE '%0'").selectExpr("concat(image_id, 'x') AS image_id", "height", "width", "pixels")
+    broken = spark.createDataFrame([("k1", 5, 5, b"x"), ("k2", 0, 0, b""), ("k3", None, 3, None), (None, 1, 1, b"a"), ("k4", 2, 2, b"abcd")], "image_id string, height int, width int, pixels binary")
     group = {r.image_id: r.group_id for r in media.near_copies(images.unionByName(extra).unionByName(broken)).collect()}
-    copies = [i for i in group if i >= 0 and i % 2 and i < 100000]
-    assert copies and sum(group[i] == i - 1 for i in copies) >= 0.9 * len(copies)
-    assert all(group[i] == group[i - 100000] for i in group if i >= 100000) and all(group[k] == k for k in (-1, -2, -3, -4))
-    assert len(set(group.values())) >= 0.95 * (60 + 4)
+    copies = [i for i in group if i.endswith("e")]
+    # Cut, brighter, turned and smaller ones.
+    for kind in range(4):
+        some = [i for i in copies if int(i[:-1]) // 5 % 4 == kind]
+        assert some and sum(group[i] == i[:-1] for i in some) >= 0.8 * len(some), kind
+    assert sum(group[i] == i[:-1] for i in copies) >= 0.9 * len(copies)
+    assert all(group[i] == group[i[:-1]] for i in group if i.endswith("x")) and all(group[k] == k for k in ("k1", "k2", "k3", "k4"))
+    assert len(set(group.values())) >= 0.95 * (100 + 4)
     assert media.near_copies(images.limit(0)).count() == 0
+    far = vectors.limit(2).selectExpr("9223372036854775807 - vec_id AS vec_id", "embedding")
+    assert media.near_copies(media.pictures_of(far)).count() >= 2
 
 
 def test_media_crowded(spark, monkeypatch):
-    """A pattern that every image has: all pairs that enough corners link, against all pairs of descriptors."""
+    """A pattern that every image has: all pairs that enough corners link, against all pairs of images."""
     rng = np.random.default_rng(3)
     logo = np.kron(rng.integers(0, 256, (12, 12)), np.ones((5, 5)))
     pictures = []
@@ -291,27 +344,16 @@ def test_media_crowded(spark, monkeypatch):
         x = np.kron(rng.integers(110, 140, (24, 24)), np.ones((5, 5))).astype(float)
         x[30:90, 30:90] = logo
         pictures.append(media._box(x + rng.normal(0, 2, x.shape), 1).clip(0, 255).astype(np.uint8))
-    want = set()
-    found = [media.describe(x) for x in pictures]
-    for a, b in itertools.combinations(range(len(found)), 2):
-        (pa, da), (pb, db) = found[a], found[b]
-        votes = collections.defaultdict(set)
-        for i, j in zip(*np.nonzero(np.bitwise_count(da[:, None] ^ db[None]).sum(-1) <= media.NEAR), strict=True):
-            turn = int(pa[i, 3] - pb[j, 3]) % media.ANGLES
-            ratio = media.SCALES[int(pb[j, 2])] / media.SCALES[int(pa[i, 2])]
-            (xa, ya), (xb, yb) = (np.rint(p[:2] * 8) / 8 for p in (pa[i], pb[j]))
-            c, s = np.cos(turn * 2 * np.pi / media.ANGLES), np.sin(turn * 2 * np.pi / media.ANGLES)
-            dx, dy = xa - ratio * (c * xb - s * yb), ya - ratio * (s * xb + c * yb)
-            for gi, gj in itertools.product((0.0, 0.5), repeat=2):
-                votes[turn, round(np.log(ratio) * 8), gi, gj, np.floor(dx / media.CELL + gi), np.floor(dy / media.CELL + gj)].add((int(xa), int(ya)))
-        if any(len(v) >= media.VOTES for v in votes.values()):
-            want.add((a, b))
+    found = [(media._packed(at), bits) for at, bits in map(media.describe, pictures)]
+    want = {(a, b) for a, b in itertools.combinations(range(len(found)), 2) if media.alike(*found[a], *found[b])}
     degree = collections.Counter(k for link in want for k in link)
     assert len(want) > 90 * 20
-    monkeypatch.setattr(media, "SHARD_CAP", 64, raising=False)
+    monkeypatch.setattr(media, "SHARD_CAP", 64)
     images = spark.createDataFrame([(i, *x.shape, x.tobytes()) for i, x in enumerate(pictures)], "image_id long, height int, width int, pixels binary")
     got = {r.image_id: r.n_links for r in media.near_copies(images).collect()}
-    assert sum(got.values()) >= 0.99 * 2 * len(want) and all(got[i] <= degree[i] for i in got)
+    assert sum(got.values()) >= 0.99 * 2 * len(want)
+    # ``alike`` takes either picture first: that may decide a link at the limit.
+    assert sum(abs(got[i] - degree[i]) for i in got) <= 0.02 * 2 * len(want)
 
 
 # --- 8 --------------------------------------------------------------------------------------
