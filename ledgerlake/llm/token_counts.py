@@ -20,13 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import slices
+from ledgerlake.llm.common import durable, named, slices
 
 #: Entries of the broadcast table; with the pre-token lengths capped below it stays under 8 MB.
 HOT_ENTRIES = 65_536
 HOT_CHARS = 48
 #: What one task reports to the table, and what it holds while it counts.
 PER_TASK = 4_096
+#: Lists that one task merges.
+FAN = 64
 HELD = 200_000
 #: Entries of a worker's cache; it is emptied when full.
 CACHE_ENTRIES = 500_000
@@ -81,25 +83,45 @@ class Lengths(dict):
         return n
 
 
+def _top(held: Counter[str], n: int) -> pa.RecordBatch:
+    top = heapq.nsmallest(n, held.items(), key=lambda x: (-x[1], x[0]))
+    return pa.RecordBatch.from_pydict({"key": pa.array([k for k, _ in top], pa.string()), "n": pa.array([n for _, n in top], pa.int64())})
+
+
 def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: Counter[str] = Counter()
-    for batch in slices(batches):
+    for batch in slices(batches, text=0):
         for text in batch.column(0).to_pylist():
             held.update(pre_tokens(text or ""))
             if len(held) > HELD:
                 held = Counter(dict(heapq.nlargest(HELD // 4, held.items(), key=lambda x: x[1])))
-    top = heapq.nlargest(PER_TASK, ((k, n) for k, n in held.items() if len(k) <= HOT_CHARS), key=lambda x: x[1])
-    yield pa.RecordBatch.from_pydict({"key": pa.array([k for k, _ in top], pa.string()), "n": pa.array([n for _, n in top], pa.int64())})
+    yield _top(Counter({k: n for k, n in held.items() if len(k) <= HOT_CHARS}), PER_TASK)
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: Counter[str] = Counter()
+    for batch in batches:
+        for key, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            held[key] += n
+    yield _top(held, HOT_ENTRIES)
 
 
 def hot_table(docs: DataFrame, model_path: str, text: str = "text") -> dict[str, int]:
     """Token lengths of the frequent pre-tokens of all of ``docs``; at most HOT_ENTRIES of at most HOT_CHARS characters.
 
+    Each task lists its own most frequent pre-tokens; the lists are merged FAN at a
+    time, by the partitions they are in and not by their keys, until one is left.
     Which pre-tokens are in it changes the speed only, never a count.
     """
-    seen = docs.select(F.col(text).alias("t")).mapInArrow(_frequent, "key string, n long")
-    top = seen.groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(HOT_ENTRIES).select("key").collect()
-    keys = [r["key"] for r in top]
+    lists = docs.select(*named([text], ["t"])).mapInArrow(_frequent, "key string, n long")
+    while True:
+        lists = durable(lists)
+        parts = lists.rdd.getNumPartitions()
+        if parts <= FAN:
+            break
+        # Neighbouring partitions are read by one task: nothing is shuffled.
+        lists = lists.coalesce(-(-parts // FAN)).mapInArrow(_merged, "key string, n long")
+    keys = [r["key"] for r in lists.coalesce(1).mapInArrow(_merged, "key string, n long").collect()]
     return dict(zip(keys, map(len, load(model_path).encode(keys, num_threads=1)), strict=True)) if keys else {}
 
 
@@ -118,11 +140,11 @@ def count_tokens(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", te
             known = _caches[model_path] = Lengths(model_path, hot.value)
             known.source = hot.value
         of = known.__getitem__
-        for batch in slices(batches):
+        for batch in slices(batches, text=2):
             n = [sum(map(of, pre_tokens(t))) if t else 0 for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], names=["id", "n_bytes", "n_tokens"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), F.col(text).alias("t"))
+    rows = docs.select(*named([id_col], ["id"]), F.coalesce(F.octet_length(*named([text])), F.lit(0)).cast("long").alias("n_bytes"), *named([text], ["t"]))
     kind = rows.schema["id"].dataType.simpleString()
     out = rows.mapInArrow(count, f"id {kind}, n_bytes long, n_tokens long")
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
