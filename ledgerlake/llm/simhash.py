@@ -310,10 +310,12 @@ def in_shards(rows: DataFrame, keys: list[list[int]], cols: list[str], cap: int)
     """
     spark = rows.sparkSession
     keyed = rows.select(*cols, F.posexplode(F.array(*_key_columns(keys))).alias("k", "key"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    crowded = sizes.where(F.col("n") > cap).select("key", F.ceil(F.col("n") / cap).cast("long").alias("blocks"))
-    crowded = durable(crowded)
-    # A key over the cap has more than ``cap`` rows, so there is at most one in ``cap`` rows.
+    # Keys are counted by the bin of their hash first, so that a task reports few bins and not all of its keys.
+    bins = 1 << max(10, (16 * rows.count() * len(keys) // cap).bit_length())
+    binned = keyed.select("key", F.pmod("key", F.lit(bins)).alias("bin"))
+    full = durable(binned.groupBy("bin").agg(F.count("*").alias("n")).where(F.col("n") > cap).select("bin"))
+    crowded = durable(binned.join(full, "bin", "left_semi").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > cap).select("key", F.ceil(F.col("n") / cap).cast("long").alias("blocks")))
+    # A key over the cap has more than ``cap`` rows, so there is at most one in ``cap`` rows, and so are there few full bins.
     dealt = keyed.join(crowded, "key", "left").withColumn("i", F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64(cols[0]), "blocks")))
     pairs = F.when(F.col("blocks").isNull(), F.array(F.struct(F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y")))).otherwise(
         F.transform(F.sequence(F.lit(0).cast("long"), F.coalesce("blocks", F.lit(1)) - 1), lambda j: F.struct(F.least(F.col("i"), j).alias("x"), F.greatest(F.col("i"), j).alias("y")))
