@@ -33,6 +33,15 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows (of a few numbers each) up to which a counted table is broadcast.
+BROADCAST_ROWS = 500_000
+
+
+def bounded(few: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``few``, a kept table of some numbers a row, marked for broadcast if it has at most ``rows`` rows; else left to a shuffle."""
+    return F.broadcast(few) if few.limit(rows + 1).count() <= rows else few
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share.  Only a single machine may have none set: it gets a temporary one."""
     at = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)

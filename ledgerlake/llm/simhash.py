@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import ASCII_SPACE, bytes_of, durable, named, runs_of, shuffle_partitions, slices
+from ledgerlake.llm.common import ASCII_SPACE, bounded, bytes_of, durable, named, runs_of, shuffle_partitions, slices
 from ledgerlake.llm.graph import components
 
 SEED = 42
@@ -313,10 +313,10 @@ def in_shards(rows: DataFrame, keys: list[list[int]], cols: list[str], cap: int)
     # Keys are counted by the bin of their hash first, so that a task reports few bins and not all of its keys.
     bins = 1 << max(10, (16 * rows.count() * len(keys) // cap).bit_length())
     binned = keyed.select("key", F.pmod("key", F.lit(bins)).alias("bin"))
-    full = durable(binned.groupBy("bin").agg(F.count("*").alias("n")).where(F.col("n") > cap).select("bin"))
+    full = bounded(durable(binned.groupBy("bin").agg(F.count("*").alias("n")).where(F.col("n") > cap).select("bin")))
     crowded = durable(binned.join(full, "bin", "left_semi").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > cap).select("key", F.ceil(F.col("n") / cap).cast("long").alias("blocks")))
     # A key over the cap has more than ``cap`` rows, so there is at most one in ``cap`` rows, and so are there few full bins.
-    dealt = keyed.join(crowded, "key", "left").withColumn("i", F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64(cols[0]), "blocks")))
+    dealt = keyed.join(bounded(crowded), "key", "left").withColumn("i", F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64(cols[0]), "blocks")))
     pairs = F.when(F.col("blocks").isNull(), F.array(F.struct(F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y")))).otherwise(
         F.transform(F.sequence(F.lit(0).cast("long"), F.coalesce("blocks", F.lit(1)) - 1), lambda j: F.struct(F.least(F.col("i"), j).alias("x"), F.greatest(F.col("i"), j).alias("y")))
     )
@@ -433,8 +433,6 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
 # --- near-duplicates by shingle similarity --------------------------------------------------
 
 LANES = 4
-#: Up to this many candidate texts (24 bytes each) are broadcast to the texts, beyond it they are shuffled.
-BROADCAST_TEXTS = 500_000
 
 
 def bit_agreement(similarity: float) -> float:
@@ -480,8 +478,7 @@ def similar_groups(docs: DataFrame, *, text: str = "text", words: int = 5, simil
     def checked(pairs: DataFrame) -> DataFrame:
         """(a, b, ok); only the texts of candidates are fetched, one of each."""
         asked = durable(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(prints.select("node", "t1", "t2"), "node"))
-        few = asked.limit(BROADCAST_TEXTS + 1).count() <= BROADCAST_TEXTS
-        texts = hashed.select("k.t1", "k.t2", "t").join(F.broadcast(asked) if few else asked, ["t1", "t2"]).groupBy("node").agg(F.first("t").alias("t"))
+        texts = hashed.select("k.t1", "k.t2", "t").join(bounded(asked), ["t1", "t2"]).groupBy("node").agg(F.first("t").alias("t"))
         texts = durable(texts)
         sides = pairs.select("a", "b").join(texts.select(F.col("node").alias("a"), F.col("t").alias("s")), "a").join(texts.select(F.col("node").alias("b"), "t"), "b").select("a", "b", "s", "t")
         return durable(sides.mapInArrow(_jaccard(words), "a long, b long, similarity double").select("a", "b", (F.col("similarity") >= similarity).alias("ok")))
