@@ -6,7 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SERIAL_DAY_0 = "1899-12-30"
-#: Tried in this order: a guard and a format; the guard keeps the parser from reading anything else.
+#: Two-digit years from here on are of the 20th century.
+CENTURY_FROM = 70
+#: Fixed values, tried in this order: a guard and a format; the guard keeps the parser from reading anything else.
 SPEND_FORMATS = (
     (r"^\d{4}-\d{1,2}-\d{1,2}$", "y-M-d"),
     (r"^\d{8}$", "yyyyMMdd"),
@@ -26,10 +28,16 @@ DAY_FIRST_WITH_TIME = r"^(\d{1,2}/\d{1,2}/\d{4}) \d{1,2}:\d{2}(:\d{2})?$"
 ISO_WITH_TIME = r"^(\d{4}-\d{2}-\d{2})[T ]\d{2}:\d{2}.*$"
 
 
+def _of_century(d: Column) -> Column:
+    """A date from a two-digit year, which the parser takes for 2000 to 2099: from CENTURY_FROM on a hundred years earlier."""
+    return F.when(F.year(d) >= 2000 + CENTURY_FROM, F.add_months(d, -1200)).otherwise(d)
+
+
 def _formats(text: Column, formats=SPEND_FORMATS) -> Column:
     # Month names in the case the parser wants: first letter upper.
     text = F.initcap(text)
-    return F.coalesce(*(F.when(text.rlike(guard), F.try_to_timestamp(text, F.lit(form)).cast("date")) for guard, form in formats))
+    read = lambda form: F.try_to_timestamp(text, F.lit(form)).cast("date")
+    return F.coalesce(*(F.when(text.rlike(guard), _of_century(read(form)) if form.endswith("yy") and not form.endswith("yyyy") else read(form)) for guard, form in formats))
 
 
 def from_serial(n: Column, low: int, high: int, day_0: str = SERIAL_DAY_0) -> Column:
@@ -41,7 +49,7 @@ def from_serial(n: Column, low: int, high: int, day_0: str = SERIAL_DAY_0) -> Co
 def parse_date_spend(s: Column) -> Column:
     """Payment date.  Impossible dates are NULL, they don't roll forward."""
     t = F.trim(F.regexp_replace(s, r"^[\s ​﻿]+|[\s ​﻿]+$", ""))
-    month_year = F.when(t.rlike(r"^[A-Za-z]{3}-\d{2}$"), F.try_to_timestamp(F.concat(F.lit("01-"), F.initcap(t)), F.lit("dd-MMM-yy")).cast("date"))
+    month_year = F.when(t.rlike(r"^[A-Za-z]{3}-\d{2}$"), _of_century(F.try_to_timestamp(F.concat(F.lit("01-"), F.initcap(t)), F.lit("dd-MMM-yy")).cast("date")))
     day_first = F.regexp_extract(t, DAY_FIRST_WITH_TIME, 1)
     iso = F.regexp_extract(t, ISO_WITH_TIME, 1)
     serial = F.when(t.rlike(r"^\d+(\.\d+)?$"), from_serial(t, 40000, 60000))
@@ -67,9 +75,9 @@ def parse_date_register(s: Column) -> Column:
         return F.date_add(first, d - 1)
 
     part = lambda pattern, k: F.nullif(F.regexp_extract(t, pattern, k), F.lit("")).cast("int")
-    dmy, ymd = r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})$", r"^(\d{4})[/-](\d{1,2})[/-](\d{1,2})$"
+    dmy, ymd = r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})$", r"^(\d{4})[/-](\d{1,2})[/-](\d{1,2})(?:[T ]\d{1,2}:\d{1,2}:\d{1,2})?$"
     short = r"^(\d{1,2})/(\d{1,2})/(\d{2})$"
-    numeric = F.coalesce(rolled(part(dmy, 3), part(dmy, 2), part(dmy, 1)), rolled(part(ymd, 1), part(ymd, 2), part(ymd, 3)), rolled(part(short, 3) + 2000, part(short, 2), part(short, 1)))
+    numeric = F.coalesce(rolled(part(dmy, 3), part(dmy, 2), part(dmy, 1)), rolled(part(ymd, 1), part(ymd, 2), part(ymd, 3)), rolled(part(short, 3) + F.when(part(short, 3) >= CENTURY_FROM, 1900).otherwise(2000), part(short, 2), part(short, 1)))
     out = F.coalesce(serial, numeric, _formats(t, SPEND_FORMATS[8:]))
     return F.when(F.year(out).between(1900, 2100), out)
 

@@ -37,8 +37,8 @@ def parse_amount_authority(s: Column) -> Column:
 
 def parse_amount_register(s: Column) -> Column:
     """First monetary token of a register value; NULL where there is none or it is beyond belief."""
-    plain = F.regexp_replace(s, r"(?i)\b([0-9]+)(st|nd|rd|th)\b", "")
-    plain = F.regexp_replace(F.regexp_replace(plain, r"\([^)]*\)", " "), r"(?i)\s*(p\.?a\.?|per annum).*$", "")
+    plain = F.regexp_replace(s, r"(?i)\b([0-9]+)(st|nd|rd|th)\b", "$1")
+    plain = F.regexp_replace(F.regexp_replace(plain, r"\([^)]*\)", " "), r"(?i)\b(p\.?a\.?|per\s*annum|per\s*year)\b.*", "")
     token = F.regexp_extract(F.replace(plain, F.lit("£"), F.lit("")), r"-?[0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]+)?|-?[0-9]+(?:\.[0-9]+)?", 0)
     value = F.regexp_replace(token, ",", "").try_cast("decimal(38,4)")
     return F.when(F.abs(value) <= MAX_REGISTER_VALUE, F.round(value, 2).try_cast("decimal(18,2)"))

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DAYS_A_MONTH = 30.4
+#: Names that stand for no authority.
+NO_AUTHORITY = ("No current strategic authority", "No current combined authority", "")
 
 
 def candidates(entries: DataFrame, links: DataFrame, config: DataFrame, geo: DataFrame, as_of: Column, horizon_months: int, nation: str | None = None) -> DataFrame:
@@ -31,11 +33,14 @@ def _km(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
     return 6371.0 * 2 * np.arctan2(np.sqrt(a), np.sqrt(1 - a))
 
 
-def _clusters(near: np.ndarray, minimum: int) -> list[tuple[int, ...]]:
-    """Seeded groups: a seed's partners, of which the one with the most misfits goes (the first on ties) until all fit; each member set once."""
+def _clusters(near: np.ndarray, minimum: int, close: np.ndarray | None = None) -> list[tuple[int, ...]]:
+    """Seeded groups: a seed's partners, of which the one with the most misfits goes (the first on ties) until all fit; each member set once.
+
+    ``close``: the partners that a seed may gather; it says nothing about how they fit each other.
+    """
     out: dict[tuple[int, ...], None] = {}
     for seed in range(len(near)):
-        members = np.flatnonzero(near[seed])
+        members = np.flatnonzero(near[seed] if close is None else near[seed] & close[seed])
         while len(members) > 1:
             misfits = (~near[np.ix_(members, members)]).sum(1)
             worst = int(np.argmax(misfits))
@@ -50,6 +55,10 @@ def _clusters(near: np.ndarray, minimum: int) -> list[tuple[int, ...]]:
 def clusters(rows: DataFrame, ubiquity: DataFrame, *, radius_km: float = 60, window_months: float = 6, minimum: int = 2, mode: str = "proximity", similarity: float = 0.6) -> DataFrame:
     """W9 + U4: clusters of each product, by score, without those that are subsets of or too like a better one.
 
+    The date window is about a seed and its partners; that all members are near
+    each other (or in one authority) is what the group is pruned for.  By
+    authority, areas without one are left out.
+
     The areas of one product are bounded by the number of areas, so a product
     is a small group; products are what Spark shuffles and spreads.
     """
@@ -57,14 +66,14 @@ def clusters(rows: DataFrame, ubiquity: DataFrame, *, radius_km: float = 60, win
     def of_product(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["end_date", "lad_code"]).reset_index(drop=True)
         day = pd.to_datetime(pdf["end_date"]).to_numpy().astype("datetime64[D]").astype(np.int64)
-        near = np.abs(day[:, None] - day) <= window_months * DAYS_A_MONTH
+        close = np.abs(day[:, None] - day) <= window_months * DAYS_A_MONTH
         if mode == "authority":
             same = pdf["combined_authority"].to_numpy()
-            near &= same[:, None] == same
+            near = same[:, None] == same
         else:
-            near &= _km(pdf["lat"].to_numpy(float), pdf["lon"].to_numpy(float)) <= radius_km
+            near = _km(pdf["lat"].to_numpy(float), pdf["lon"].to_numpy(float)) <= radius_km
         found = []
-        for m in _clusters(near, minimum):
+        for m in _clusters(near, minimum, close):
             at = list(m)
             span, value = int(day[at].max() - day[at].min()), float(pdf["value"].to_numpy()[at].sum())
             points = len(at) / (1 + span / DAYS_A_MONTH) / math.log(2.718281828 + int(pdf["ubiquity"].iloc[0])) * math.log(1 + max(0.0, value))
@@ -77,6 +86,8 @@ def clusters(rows: DataFrame, ubiquity: DataFrame, *, radius_km: float = 60, win
         names = pdf["lad_code"].to_numpy()
         return pd.DataFrame([(pdf["product_id"].iloc[0], ",".join(sorted(names[list(k[1])])), len(k[1]), k[2], k[3], k[0]) for k in kept], columns=["product_id", "members", "n", "span_days", "value", "score"])
 
+    if mode == "authority":
+        rows = rows.where(F.coalesce(~F.col("combined_authority").isin(*NO_AUTHORITY), F.lit(False)))
     joined = rows.join(ubiquity.select("product_id", F.col("councils").alias("ubiquity")), "product_id").withColumn("lat", F.col("lat").cast("double")).withColumn("lon", F.col("lon").cast("double"))
     return joined.groupBy("product_id").applyInPandas(of_product, "product_id long, members string, n long, span_days long, value double, score double")
 

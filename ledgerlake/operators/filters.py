@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlake.functions import dates
+from ledgerlake.operators.match import small
 
 
 def live() -> Column:
@@ -112,7 +113,7 @@ def entity_scope(rows: DataFrame, catalogue: DataFrame) -> DataFrame:
     c = catalogue.select(F.col("source_id").alias("_id"), F.transform(F.split(F.lower("scope_values"), r"\|"), lambda v: F.trim(v)).alias("_values"), F.lower("name_contains").alias("_part"))
     who = F.lower(F.trim("entity"))
     fits = F.when(F.col("_values").isNotNull(), F.array_contains("_values", who)).when(F.col("_part").isNotNull(), who.contains(F.col("_part"))).otherwise(F.lit(True))
-    return rows.join(F.broadcast(c), F.col("source_id") == F.col("_id")).where(F.coalesce(fits, F.lit(False))).drop("_id", "_values", "_part")
+    return rows.join(small(c), F.col("source_id") == F.col("_id")).where(F.coalesce(fits, F.lit(False))).drop("_id", "_values", "_part")
 
 
 #: Texts that stand where a register's supplier should.

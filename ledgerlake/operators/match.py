@@ -49,14 +49,14 @@ def match_supplier(names: DataFrame, patterns: DataFrame, *, col: str = "supplie
     """(col, supplier_canon) for every distinct name.
 
     First guard that fits decides; else the first word-boundary pattern by id
-    (a regular expression), else the first substring by id.  Modes: payments
-    (guards, accents folded), register (no guards, 'redacted' matches nothing,
-    rules confirmed invalid are skipped), authority (accents kept), reclassify
-    (patterns are literal text).  An empty canonical name is NULL.
+    (a regular expression), else the first substring by id.  Rules confirmed
+    invalid are skipped.  Modes: payments (guards, accents folded), register (no
+    guards, 'redacted' matches nothing), authority (accents kept, invalid rules
+    stay), reclassify (patterns are literal text).  An empty canonical name is NULL.
     """
     key = normal(F.col(col), accents=mode != "register" and mode != "authority")
     distinct = names.select(col).where(F.col(col).isNotNull()).distinct().withColumn("_key", key)
-    rules = patterns.where("coalesce(confirmed_invalid, 0) = 0") if mode == "register" else patterns
+    rules = patterns if mode == "authority" else patterns.where("coalesce(confirmed_invalid, 0) = 0")
     rules = rules.select(F.col("id").alias("_id"), F.lower("pattern").alias("_p"), F.col("canonical_name").alias("_canon"), (F.col("match_type") == "word_boundary").alias("_word"))
     literal = F.concat(F.lit(r"\b\Q"), F.col("_p"), F.lit(r"\E\b"))
     word = F.rlike("_key", literal if mode == "reclassify" else F.concat(F.lit(r"\b(?:"), F.col("_p"), F.lit(r")\b")))

@@ -15,18 +15,24 @@ FILLED = ("value_amount", "cpv_division", "region", "tender_end_date", "official
 FIRST = ("published_date", "buyer_name", "source", "value_currency")
 
 
+#: Statuses that a tender may have; any other is active.
+STATUSES = ("active", "planned", "cancelled", "complete")
+
+
 def flatten_releases(releases: DataFrame, source: str = "releases") -> DataFrame:
     """A release's flat notice.  Rows without ocid or buyer drop; dates are cut to the day."""
     tag = lambda *names: F.arrays_overlap("tag", F.array(*map(F.lit, names)))
     stage = F.when(tag("award", "awardUpdate"), "award").when(tag("tender", "tenderAmendment"), "tender").when(tag("planning"), "planning").otherwise("active")
     award = F.get("awards", 0)
+    tender = F.lower("tender.status")
+    status = F.when(stage == "award", F.when(award["status"] == "cancelled", "cancelled").otherwise("complete")).when(tender.isin(*STATUSES), tender).otherwise("active")
     names = F.array_distinct(F.filter(F.flatten(F.transform("awards", lambda a: F.coalesce(F.transform(a["suppliers"], lambda s: s["name"]), F.array().cast("array<string>")))), lambda n: n.isNotNull() & (n != "")))
     places = F.filter(F.flatten(F.transform("tender.items", lambda i: F.coalesce(F.transform(i["deliveryAddresses"], lambda d: d["region"]), F.array().cast("array<string>")))), lambda r: r.isNotNull() & (r != ""))
     url = F.get(F.transform(F.filter("tender.documents", lambda d: d["documentType"].isin("tenderNotice", "awardNotice", "contractNotice") & d["url"].isNotNull()), lambda d: d["url"]), 0)
     return releases.where("ocid IS NOT NULL AND buyer.name IS NOT NULL AND buyer.name <> ''").select(
         "ocid", F.left("date", F.lit(10)).alias("release_date"), strip_tags(F.col("tender.title"), 500).alias("title"), F.col("buyer.name").alias("buyer_name"),
-        F.coalesce(F.when(stage == "award", award["status"]), F.col("tender.status")).alias("status"), stage.alias("stage"),
-        F.coalesce(award["value"]["amount"], F.col("tender.value.amount")).cast("decimal(15,2)").alias("value_amount"), F.coalesce(award["value"]["currency"], F.col("tender.value.currency"), F.lit("GBP")).alias("value_currency"),
+        status.alias("status"), stage.alias("stage"),
+        F.coalesce(F.nullif(award["value"]["amount"], F.lit(0.0)), F.nullif(F.col("tender.value.amount"), F.lit(0.0))).cast("decimal(15,2)").alias("value_amount"), F.coalesce(award["value"]["currency"], F.col("tender.value.currency"), F.lit("GBP")).alias("value_currency"),
         cpv_division(F.col("tender.classification.id")).alias("cpv_division"), F.get(places, 0).alias("region"), F.left("date", F.lit(10)).try_cast("date").alias("published_date"),
         F.left("tender.tenderPeriod.endDate", F.lit(10)).try_cast("date").alias("tender_end_date"), url.alias("official_url"), F.lit(source).alias("source"),
         F.nullif(F.array_join(names, SEPARATOR), F.lit("")).alias("supplier_names"), strip_tags(F.col("tender.description"), 1000).alias("description"),
@@ -40,10 +46,10 @@ COMPILED_STATUS = {"planned": "planned", "planning": "planned", "active": "activ
 def flatten_compiled(releases: DataFrame, region: str, source: str = "compiled") -> DataFrame:
     """As N1 for compiled releases: stage from contracts or awards present, value also from contract sums, suppliers also from parties."""
     base = flatten_releases(releases, source)
-    plus = releases.select(F.col("ocid").alias("_o"), F.col("date").alias("_d"), (F.size(F.coalesce("contracts", F.array())) > 0).alias("_c"), (F.size(F.coalesce("awards", F.array())) > 0).alias("_a"), F.aggregate(F.transform("contracts", lambda c: F.coalesce(c["value"]["amount"], F.lit(0.0))), F.lit(0.0), lambda a, x: a + x).alias("_v"), F.array_join(F.array_distinct(F.transform(F.filter("parties", lambda p: F.array_contains(p["roles"], "supplier")), lambda p: p["name"])), SEPARATOR).alias("_s"))
+    plus = releases.select(F.lower("tender.status").alias("_t"), F.col("ocid").alias("_o"), F.col("date").alias("_d"), (F.size(F.coalesce("contracts", F.array())) > 0).alias("_c"), (F.size(F.coalesce("awards", F.array())) > 0).alias("_a"), F.aggregate(F.transform("contracts", lambda c: F.coalesce(c["value"]["amount"], F.lit(0.0))), F.lit(0.0), lambda a, x: a + x).alias("_v"), F.array_join(F.array_distinct(F.transform(F.filter("parties", lambda p: F.array_contains(p["roles"], "supplier")), lambda p: p["name"])), SEPARATOR).alias("_s"))
     status = F.create_map(*(F.lit(x) for kv in COMPILED_STATUS.items() for x in kv))
     out = base.join(plus, (F.col("ocid") == F.col("_o")) & (F.col("release_date") == F.left("_d", F.lit(10))))
-    return out.select(*(c for c in base.columns if c not in ("stage", "status", "value_amount", "supplier_names", "region")), F.when(F.col("_c") | F.col("_a"), "award").otherwise("tender").alias("stage"), F.coalesce(F.try_element_at(status, F.col("status")), F.col("status")).alias("status"), F.coalesce("value_amount", F.nullif(F.col("_v"), F.lit(0.0)).cast("decimal(15,2)")).alias("value_amount"), F.coalesce("supplier_names", F.nullif(F.col("_s"), F.lit(""))).alias("supplier_names"), F.coalesce("region", F.lit(region)).alias("region"))
+    return out.select(*(c for c in base.columns if c not in ("stage", "status", "value_amount", "supplier_names", "region")), F.when(F.col("_c") | F.col("_a"), "award").otherwise("tender").alias("stage"), F.coalesce(F.try_element_at(status, F.col("_t")), F.col("status")).alias("status"), F.coalesce("value_amount", F.nullif(F.col("_v"), F.lit(0.0)).cast("decimal(15,2)")).alias("value_amount"), F.coalesce("supplier_names", F.nullif(F.col("_s"), F.lit(""))).alias("supplier_names"), F.coalesce("region", F.lit(region)).alias("region"))
 
 
 def upsert(old: DataFrame | None, new: DataFrame, *, key: str = "ocid", sequence: str = "seq") -> DataFrame:

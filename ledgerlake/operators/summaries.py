@@ -60,17 +60,24 @@ def council_summary(spend: DataFrame, shares: Shares) -> DataFrame:
     return both.groupBy("lad_code").agg(F.sum("total").cast("double").alias("total_spend"), F.sum("payments").alias("payment_count"))
 
 
-def supplier_nation_fy(spend: DataFrame, config: DataFrame) -> DataFrame:
-    """A4: per supplier, financial year and nation, with '' for all nations; distinct councils are counted anew for ''.
+def supplier_nation_fy(spend: DataFrame, config: DataFrame, shares: Shares) -> DataFrame:
+    """A4 + A6: per supplier, financial year and nation, with '' for all nations; distinct councils are counted anew for ''.
 
     Devolved governments are left out.  Nation rows need an area code, '' rows don't.
+    Joint bodies' payments are added to the nations of their areas by share, not
+    to the rows of all nations; they count as a council only where a nation has no other.
     """
     rows = filters.without_devolved(spend.where(filters.live() & filters.named()), config)
     rows = rows.withColumn("fy", filters.fy_label("period")).withColumn("nation", F.left("lad_code", F.lit(1)))
     sets = rows.groupingSets([["supplier_canon", "fy", "nation"], ["supplier_canon", "fy"]], "supplier_canon", "fy", "nation")
     out = sets.agg(F.grouping("nation").alias("_all"), F.count_distinct("council").alias("council_count"), F.count("*").alias("payment_count"), money(F.sum("amount")).alias("total_spend"))
     out = out.where((F.col("_all") == 1) | (F.col("nation") != ""))
-    return out.withColumn("nation", F.when(F.col("_all") == 1, "").otherwise(F.col("nation"))).drop("_all")
+    out = out.withColumn("nation", F.when(F.col("_all") == 1, "").otherwise(F.col("nation"))).drop("_all")
+    joint = spend.where(filters.live() & filters.named() & F.col("council").isin(*shares)).groupBy("council", "supplier_canon", filters.fy_label("period").alias("fy")).agg(F.count("*").alias("payments"), F.sum("amount").cast("decimal(18,2)").alias("total"))
+    shared = _joint(joint, shares, ["supplier_canon", "fy"]).groupBy("supplier_canon", "fy", F.left("lad_code", F.lit(1)).alias("nation"))
+    shared = shared.agg(F.lit(None).cast("long").alias("council_count"), F.sum("payments").alias("payment_count"), F.sum("total").cast("double").alias("total_spend"))
+    both = out.unionByName(shared).groupBy("supplier_canon", "fy", "nation")
+    return both.agg(F.coalesce(F.max("council_count"), F.lit(1).cast("long")).alias("council_count"), F.sum("payment_count").alias("payment_count"), F.sum("total_spend").alias("total_spend"))
 
 
 def display_rows(spend: DataFrame, shares: Shares, areas: DataFrame) -> DataFrame:

@@ -46,7 +46,7 @@ GUARD_CASE = "WHEN contains(n, 'red') AND contains(n, 'bolt') THEN NULL WHEN con
 BLUE = "WHEN contains(n, 'blue') THEN 'Azure Supplies'"
 
 
-@query(f"WITH p AS (SELECT DISTINCT p_name AS supplier_raw, lower(trim(p_name)) AS n FROM part) SELECT supplier_raw, {MATCH_CASE.format(guards=GUARD_CASE, blue=BLUE)} AS supplier_canon FROM p")
+@query(f"WITH p AS (SELECT DISTINCT p_name AS supplier_raw, lower(trim(p_name)) AS n FROM part) SELECT supplier_raw, {MATCH_CASE.format(guards=GUARD_CASE, blue='')} AS supplier_canon FROM p")
 def r01_match_supplier(i: Inputs):
     return M.match_supplier(names(i), patterns(i), guards=GUARDS)
 
@@ -56,6 +56,18 @@ def r03_match_register(i: Inputs):
     return M.match_supplier(names(i), patterns(i), mode="register")
 
 
+#: Authority files: the rules confirmed invalid still count.
+@query(f"WITH p AS (SELECT DISTINCT p_name AS supplier_raw, lower(trim(p_name)) AS n FROM part) SELECT supplier_raw, {MATCH_CASE.format(guards=GUARD_CASE, blue=BLUE)} AS supplier_canon FROM p")
+def r03_match_authority(i: Inputs):
+    return M.match_supplier(names(i), patterns(i), guards=GUARDS, mode="authority")
+
+
+#: Reclassifying: patterns are literal text, so the pattern 'gears?' fits no name.
+@query(f"WITH p AS (SELECT DISTINCT p_name AS supplier_raw, lower(trim(p_name)) AS n FROM part) SELECT supplier_raw, {MATCH_CASE.format(guards='WHEN false THEN NULL', blue='').replace('gears?', 'gears[?]')} AS supplier_canon FROM p")
+def r03_match_reclassify(i: Inputs):
+    return M.match_supplier(names(i), patterns(i), mode="reclassify")
+
+
 @query(duck("spend", "SELECT supplier_canon, count(*) AS n FROM spend WHERE NOT contains(lower(supplier_canon), '00005') GROUP BY 1"))
 def r04_drop_invalid_suppliers(i: Inputs):
     bad = i.spark.createDataFrame([(1, "00005", "x", "substring", 1)], "id int, pattern string, canonical_name string, match_type string, confirmed_invalid int")

@@ -56,10 +56,12 @@ def a03_council_fy(i: Inputs):
 
 @query(duck("spend", f"""
 WITH r AS (SELECT s.*, {FY_P} AS fy, substr(s.lad_code, 1, 1) AS pre FROM spend s {DEVOLVED} WHERE {LIVE} AND {NAMED})
-SELECT supplier_canon, fy, pre AS nation, count(DISTINCT council) AS council_count, count(*) AS payment_count, {SUM} AS total_spend FROM r WHERE pre <> '' GROUP BY 1, 2, 3
+SELECT supplier_canon, fy, nation, coalesce(max(councils), 1) AS council_count, CAST(sum(payments) AS BIGINT) AS payment_count, sum(total) AS total_spend FROM (
+  SELECT supplier_canon, fy, pre AS nation, count(DISTINCT council) AS councils, count(*) AS payments, {SUM} AS total FROM r WHERE pre <> '' GROUP BY 1, 2, 3
+  UNION ALL SELECT supplier_canon, {FY_P}, 'E', NULL, 2 * round(count(*) * 0.5), CAST(2 * CAST(sum(amount) AS DECIMAL(18,2)) * 0.5 AS DOUBLE) FROM spend WHERE {LIVE} AND {NAMED} AND council = '{JOINT}' GROUP BY 1, 2) u GROUP BY 1, 2, 3
 UNION ALL SELECT supplier_canon, fy, '', count(DISTINCT council), count(*), {SUM} FROM r GROUP BY 1, 2"""))
 def a04_supplier_nation_fy(i: Inputs):
-    return S.supplier_nation_fy(i.spend, i.config)
+    return S.supplier_nation_fy(i.spend, i.config, SHARES)
 
 
 @query(duck("spend", _joint_sql(False, False)))

@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerlake.operators.match import small
+
 #: First bytes of archives and of old office files, which are skipped.
 BINARY_HEADS = (b"PK\x03\x04", b"\xd0\xcf\x11\xe0")
 FIELDS = ("supplier", "amount", "date", "service", "category")
@@ -101,7 +103,7 @@ def map_columns(headers: DataFrame, spec: DataFrame) -> DataFrame:
     h = headers.select("file", F.posexplode("header").alias("pos", "cell")).withColumn("cell", normal_header(F.col("cell"))).where("cell <> ''")
     s = spec.select("field", F.lower("text").alias("_t"), "mode")
     test = F.when(F.col("mode") == "exact", F.col("cell") == F.col("_t")).when(F.col("mode") == "substr", F.col("cell").contains(F.col("_t"))).otherwise(F.col("cell").startswith(F.col("_t")))
-    return h.join(F.broadcast(s), test).groupBy("file", "field").agg(F.max("pos").alias("pos"))
+    return h.join(small(s), test).groupBy("file", "field").agg(F.max("pos").alias("pos"))
 
 
 def pick_columns(data: DataFrame, positions: DataFrame) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -14,20 +15,42 @@ def replace_scope(target: DataFrame, new: DataFrame, keys: list[str]) -> DataFra
     return target.join(scopes, keys, "left_anti").unionByName(new)
 
 
-def publish(df: DataFrame, path: str) -> str:
+POINTER = "seq long, version string"
+
+
+def publish(df: DataFrame, path: str, keep: int = 3) -> str:
     """Write a new version beside the old ones and name it in ``path``/CURRENT; readers see the old or the new one, whole.
 
-    The pointer is written through the session's file system, so any store works.
+    CURRENT is only ever added to, one small file a version, and the file with the
+    highest number holds: a job lost at any point leaves the last version in
+    place.  One writer at a time.  Versions older than the last ``keep`` are
+    removed afterwards.  All goes through the session's file system, so any store works.
     """
-    version = f"{path}/v-{uuid.uuid4().hex}"
-    df.write.mode("errorifexists").parquet(version)
     spark = df.sparkSession
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").json(f"{path}/CURRENT")
+    known = _pointers(spark, path)
+    seq, version = max((r["seq"] for r in known), default=0) + 1, f"{path}/v-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(version)
+    spark.createDataFrame([(seq, version)], POINTER).coalesce(1).write.mode("append").json(f"{path}/CURRENT")
+    for old in sorted(known, key=lambda r: r["seq"])[: max(0, len(known) + 1 - keep)]:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(old["version"])
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
     return version
 
 
-def published(spark, path: str) -> DataFrame:
-    return spark.read.parquet(spark.read.json(f"{path}/CURRENT").first()["version"])
+def _pointers(spark: SparkSession, path: str) -> list:
+    """A row a version, none where nothing has been published yet."""
+    try:
+        return spark.read.schema(POINTER).json(f"{path}/CURRENT").where("version IS NOT NULL").collect()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+
+
+def published(spark: SparkSession, path: str) -> DataFrame | None:
+    """The last published version; None where there is none yet."""
+    known = _pointers(spark, path)
+    return spark.read.parquet(max(known, key=lambda r: r["seq"])["version"]) if known else None
 
 
 def write_tsv(df: DataFrame, path: str) -> None:

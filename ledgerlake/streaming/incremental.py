@@ -32,12 +32,6 @@ def sync_notices(spark: SparkSession, incoming: str, schema: str, store: str, ch
 
     def batch(new: DataFrame, _: int) -> None:
         rows = enrich(new) if enrich else new
-        try:
-            old = published(spark, store)
-        except Exception as e:  # the first batch: there is no table yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            old = None
-        publish(upsert(old, rows), store)
+        publish(upsert(published(spark, store), rows), store)
 
     return spark.readStream.schema(schema).format(format).load(incoming).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

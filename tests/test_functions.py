@@ -72,3 +72,17 @@ def test_urgency(spark):
 def test_crc_and_distance(spark):
     r = spark.createDataFrame([("a", None)], "x string, y int").select(geo.row_crc(F.col("x"), F.col("y")).alias("c"), geo.haversine_km(F.lit(51.5), F.lit(0.0), F.lit(48.86), F.lit(2.35)).alias("km")).first()
     assert r.c == zlib.crc32(b"a\x1f~N~") and r.km == pytest.approx(337.5, abs=3)
+
+
+def test_years_of_two_digits_and_times(spark):
+    got = spark.range(1).select(
+        dates.parse_date_spend(F.lit("01/02/85")).alias("a"), dates.parse_date_spend(F.lit("5-Mar-99")).alias("b"), dates.parse_date_spend(F.lit("5-Mar-24")).alias("c"), dates.parse_date_spend(F.lit("Mar-71")).alias("d"),
+        dates.parse_date_register(F.lit("2026-03-03T00:00:00")).alias("e"), dates.parse_date_register(F.lit("2026-03-03 10:20:30")).alias("f"), dates.parse_date_register(F.lit("01/02/85")).alias("g"), dates.parse_date_register(F.lit("31/04/24")).alias("h"),
+    ).first()
+    assert tuple(map(str, got)) == ("1985-02-01", "1999-03-05", "2024-03-05", "1971-03-01", "2026-03-03", "2026-03-03", "1985-02-01", "2024-05-01")
+
+
+def test_register_amounts_in_words(spark):
+    cases = {"Paid £500": 500, "Payment of £3,000": 3000, "£20 p.a. from 2024": 20, "£30 per year, £40 later": 30, "£50 pa": 50, "Space at £60": 60}
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    assert {r.t: float(r.v) for r in df.select("t", money.parse_amount_register(F.col("t")).alias("v")).collect()} == cases

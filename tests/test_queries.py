@@ -1,6 +1,7 @@
 """Every registered query against its oracle SQL on the smallest tables."""
 
 import datetime as dt
+import math
 import random
 
 import pytest
@@ -42,7 +43,7 @@ def test_joint_split_keeps_the_total(spark, sf):
 
 def test_nation_rows_are_within_all_nations(spark, sf):
     i = Inputs(spark, sf)
-    s = S.supplier_nation_fy(i.spend, i.config)
+    s = S.supplier_nation_fy(i.spend, i.config, {})
     a, n = s.where("nation = ''"), s.where("nation <> ''").groupBy("supplier_canon", "fy").agg(F.sum("payment_count").alias("m"), F.max("council_count").alias("c"))
     assert a.join(n, ["supplier_canon", "fy"]).where("payment_count < m OR council_count < c").count() == 0
 
@@ -136,6 +137,42 @@ def test_clusters_fit(spark, sf):
     assert __spark_entry__.queries()["w09_clusters"](spark, "/root/testdata/sf0.01").where("n < 2").count() == 0
 
 
+@pytest.mark.parametrize("mode", ["proximity", "authority"])
+def test_clusters_against_a_loop(spark, mode):
+    rng = random.Random(6)
+    names = ["A", "B", "", None, "No current strategic authority"]
+    rows = [(p, f"l{k:02}", dt.date(2024, 1, 1) + dt.timedelta(days=rng.randrange(500)), float(rng.randrange(1, 9)) * 1e5, 50 + rng.random(), -1 + rng.random(), rng.choice(names)) for p in range(3) for k in range(16)]
+    got = clusters.clusters(spark.createDataFrame(rows, "product_id long, lad_code string, end_date date, value double, lat double, lon double, combined_authority string"), spark.createDataFrame([(p, p + 1) for p in range(3)], "product_id long, councils int"), mode=mode).collect()
+
+    def km(a, b):
+        x, y = math.radians(a[4]), math.radians(b[4])
+        h = math.sin((y - x) / 2) ** 2 + math.cos(x) * math.cos(y) * math.sin(math.radians(b[5] - a[5]) / 2) ** 2
+        return 6371.0 * 2 * math.atan2(math.sqrt(h), math.sqrt(1 - h))
+
+    fits = (lambda a, b: a[6] == b[6]) if mode == "authority" else (lambda a, b: km(a, b) <= 60)
+    want = []
+    for p in range(3):
+        areas = sorted((r for r in rows if r[0] == p and (mode != "authority" or r[6] in ("A", "B"))), key=lambda r: (r[2], r[1]))
+        found = {}
+        for seed in areas:
+            group = [r for r in areas if fits(seed, r) and abs((r[2] - seed[2]).days) <= 6 * 30.4]
+            while len(group) > 1:
+                bad = [sum(not fits(a, b) for b in group if b is not a) for a in group]
+                if not max(bad):
+                    break
+                del group[bad.index(max(bad))]
+            if len(group) >= 2:
+                days, value = [r[2] for r in group], sum(r[3] for r in group)
+                span = (max(days) - min(days)).days
+                found.setdefault(frozenset(r[1] for r in group), (round(len(group) / (1 + span / 30.4) / math.log(2.718281828 + p + 1) * math.log(1 + value), 2), span, value))
+        kept = []
+        for m, (points, span, value) in sorted(found.items(), key=lambda x: -x[1][0]):
+            if not any(m <= k or len(m & k) / len(m | k) >= 0.6 for k in kept):
+                kept.append(m)
+                want.append((p, ",".join(sorted(m)), len(m), span, value, points))
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) > 3 and (mode == "authority" or any(r[3] > 6 * 30.4 for r in want))
+
+
 def test_trace_back(spark):
     stored = spark.createDataFrame([(1, 7, "Acme Ltd", 10.00), (2, 7, "Nobody", 10.00), (3, 7, "ACME", 10.06)], "id long, source_id long, supplier_raw string, amount double")
     source = spark.createDataFrame([(7, 5, "acme", 10.01), (7, 4, "Acme Limited", 10.0), (7, 3, "Acme", 10.05)], "source_id long, row_no int, supplier string, amount double")

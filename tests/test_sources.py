@@ -4,6 +4,8 @@ import datetime as dt
 import gzip
 import json
 
+import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from ledgerlake.operators.filters import period_of_shared_files
@@ -61,7 +63,7 @@ def test_ocds(spark, tmp_path):
     (tmp_path / "r.json").write_text("\n".join(map(json.dumps, RELEASES)))
     got = {r.ocid: r for r in ocds.read_ocds(spark, str(tmp_path / "r.json")).collect()}
     assert set(got) == {"o1", "o2"} and got["o1"].stage == "tender" and got["o1"].title == "T" and got["o1"].cpv_division == "72" and got["o1"].region == "UKC" and got["o1"].tender_end_date == dt.date(2024, 4, 1) and got["o1"].official_url == "u"
-    assert got["o2"].stage == "award" and got["o2"].supplier_names == "S1 | S2" and float(got["o2"].value_amount) == 7
+    assert got["o1"].status == "active" and got["o2"].status == "complete" and got["o2"].stage == "award" and got["o2"].supplier_names == "S1 | S2" and float(got["o2"].value_amount) == 7
     with gzip.open(tmp_path / "c.jsonl.gz", "wt") as f:
         f.write(json.dumps({"ocid": "c1", "date": "2024-01-01", "buyer": {"name": "B"}, "tender": {"title": "x", "status": "withdrawn"}, "contracts": [{"value": {"amount": 3}}, {"value": {"amount": 4}}], "parties": [{"name": "P", "roles": ["supplier"]}, {"name": "Q", "roles": ["buyer"]}]}))
     r = ocds.read_ocds(spark, str(tmp_path / "c.jsonl.gz"), "compiled", "Wales").first()
@@ -73,6 +75,19 @@ def test_publish_and_queue(spark, tmp_path):
     sinks.publish(spark.range(3).toDF("x"), at)
     sinks.publish(sinks.published(spark, at).where("x > 0"), at)
     assert sinks.published(spark, at).count() == 2
+    assert sinks.published(spark, at + "/none") is None
+    # A job lost before, or while, the pointer is written leaves the last version in place; later ones follow on.
+    real = DataFrameWriter.json
+    try:
+        DataFrameWriter.json = lambda *_, **__: (_ for _ in ()).throw(RuntimeError("lost"))
+        with pytest.raises(RuntimeError):
+            sinks.publish(spark.range(9).toDF("x"), at)
+    finally:
+        DataFrameWriter.json = real
+    assert sinks.published(spark, at).count() == 2
+    for n in range(4, 9):
+        sinks.publish(spark.range(n).toDF("x"), at)
+        assert sinks.published(spark, at).count() == n
     sinks.write_tsv(spark.range(2).toDF("x"), str(tmp_path / "q"))
     assert spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "q")).count() == 2
     got = sinks.shard(spark.range(100).withColumn("dead", F.col("id") % 10 == 0), ["id"], per=18, dead="dead").orderBy("id").collect()
