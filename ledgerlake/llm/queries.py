@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,9 +48,18 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def pii_key(spark: SparkSession) -> str:
+    """The session's ``ledgerlake.pii.key``; without one a key is drawn for this session, so that nobody can undo the pseudonyms."""
+    key = spark.conf.get("ledgerlake.pii.key", None)
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set("ledgerlake.pii.key", key)
+    return key
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.pseudonymise(docs, spark.conf.get("ledgerlake.pii.key", "set ledgerlake.pii.key in production"))
+    return pii.pseudonymise(docs, pii_key(spark))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
