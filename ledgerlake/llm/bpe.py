@@ -49,9 +49,9 @@ from ledgerlake.llm.common import ASCII_SPACE, bytes_of, named, runs_of, slices,
 NEVER = 1 << 60
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 #: Text that a worker encodes at a time; a longer text is taken by itself.
-SLICE_ROWS, SLICE_BYTES = 4_000, 4 << 20
+SLICE_ROWS, SLICE_BYTES = 4_000, 2 << 20
 #: Symbols that the automaton steps through together; a longer word is taken by itself.
-BLOCK = 1 << 19
+BLOCK = 1 << 18
 #: Characters that the pre-split tables cover.
 TABLED = 0x300
 

@@ -21,8 +21,8 @@ of blocks is searched by itself, so a crowded key loses nothing.
 A task returns a minimum spanning forest of each tree's links, at most one link
 fewer than the tree has members.  It connects what all the links connect, at
 the given radius and at every smaller one.  Where links have to pass a check of
-their own that is not enough: ``cross_links`` returns every link between given
-parts.
+their own that is not enough: ``similar_groups`` then compares all texts that
+hang together by them.
 """
 
 from __future__ import annotations
@@ -360,33 +360,6 @@ def near_links(prints: DataFrame, keys: list[list[int]], radius: int, *, lanes:
     return rows.mapInArrow(run, "a long, b long, d int")
 
 
-def cross_links(prints: DataFrame, keys: list[list[int]], radius: int, *, lanes: int = 1) -> DataFrame:
-    """All links (a, b) within ``radius`` between ``prints`` (node long, part long, f0 ..) of different parts, once each."""
-    masks = key_masks(keys, lanes)
-    rows = in_shards(prints, keys, ["node", "part", *(f"f{k}" for k in range(lanes))], SHARD_CAP)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches):
-            group, side, k, node, part = (table.column(c).to_numpy() for c in range(5))
-            points = np.stack([table.column(5 + c).to_numpy() for c in range(lanes)], axis=1).view(np.uint64)
-            # All of one part: nothing to find.
-            start = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-            back = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(group))))
-            mixed = (np.minimum.reduceat(part, start) != np.maximum.reduceat(part, start))[back]
-            group, side, k, node, part, points = (x[mixed] for x in (group, side, k, node, part, points))
-            if not len(group):
-                continue
-            for a, b, _ in _found(points, group, side, radius):
-                cross = part[a] != part[b]
-                a, b = a[cross], b[cross]
-                once = first_shared(points[a] ^ points[b], k[a], masks)
-                a, b = node[a[once]], node[b[once]]
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-    return rows.mapInArrow(run, "a long, b long")
-
-
 def whole_groups(batches: Iterator[pa.RecordBatch], rows: int = 200_000) -> Iterator[pa.Table]:
     """Tables of about ``rows`` rows in which no run of the first column is cut."""
     held: list[pa.RecordBatch] = []
@@ -433,6 +406,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
 # --- near-duplicates by shingle similarity --------------------------------------------------
 
 LANES = 4
+#: Texts of a block that are compared at once, and hashes that a comparison holds as columns.
+BLOCK_TEXTS = 512
+COLUMNS = 8_192
 
 
 def bit_agreement(similarity: float) -> float:
@@ -455,12 +431,64 @@ def _jaccard(words: int):
     return run
 
 
+def shared_counts(h: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """How many hashes each two sets (as from ``shingle_sets``) share."""
+    row = np.repeat(np.arange(len(cut) - 1), np.diff(cut))
+    _, name, times = np.unique(h, return_inverse=True, return_counts=True)
+    # A hash that only one set has is shared by none.
+    many = times[name] > 1
+    row, name = row[many], (np.cumsum(times > 1) - 1)[name[many]]
+    out = np.zeros((len(cut) - 1,) * 2, np.float32)
+    order = np.argsort(name, kind="stable")
+    row, name = row[order], name[order]
+    for lo in range(0, int(name[-1]) + 1 if len(name) else 0, COLUMNS):
+        i, j = np.searchsorted(name, [lo, lo + COLUMNS])
+        has = np.zeros((len(cut) - 1, COLUMNS), np.float32)
+        has[row[i:j], name[i:j] - lo] = 1
+        out += has @ has.T
+    return out
+
+
+def _block_links(members: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Links (a, b) that span all pairs of ``members`` (node, t, part, crowd) of one crowd but different parts that are similar.
+
+    A crowd is dealt in blocks and each pair of blocks compared in one task, so
+    its pairs are looked at and not written: at most one link a member and block
+    pair comes out.  The time still grows with the square of a crowd.
+    """
+    spark = members.sparkSession
+    sizes = durable(members.groupBy("crowd").agg(F.ceil(F.count("*") / BLOCK_TEXTS).cast("long").alias("blocks")))
+    rows = members.join(bounded(sizes), "crowd").withColumn("i", F.pmod(F.xxhash64("node"), "blocks"))
+    rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select(F.xxhash64("crowd", F.least("i", "j"), F.greatest("i", "j")).alias("shard"), "node", "part", "t")
+    rows = rows.repartition(max(shuffle_partitions(spark), spark.sparkContext.defaultParallelism), "shard").sortWithinPartitions("shard")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(slices(batches, text=3), 2 * BLOCK_TEXTS):
+            shard = table.column(0).to_numpy()
+            cuts = np.concatenate(([0], np.flatnonzero(np.diff(shard)) + 1, [len(shard)]))
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                node, part = (table.column(k).to_numpy()[lo:hi] for k in (1, 2))
+                sets = [shingle_sets(table.column(3).slice(at, min(2_000, hi - at)).combine_chunks(), words) for at in range(lo, hi, 2_000)]
+                cut = np.concatenate(([0], *(c[1:] + sum(len(x[0]) for x in sets[:k]) for k, (_, c) in enumerate(sets))))
+                both = shared_counts(np.concatenate([h for h, _ in sets]), cut)
+                n = np.diff(cut).astype(np.float32)
+                like = both / np.maximum(n[:, None] + n - both, 1)
+                a, b = np.nonzero(np.triu((like >= similarity) & (part[:, None] != part), 1))
+                kept = spanning_forest(a, b, 1 - like[a, b], hi - lo)
+                if len(kept):
+                    yield pa.RecordBatch.from_arrays([pa.array(node[a[kept]]), pa.array(node[b[kept]])], names=["a", "b"])
+
+    return durable(rows.mapInArrow(run, "a long, b long"))
+
+
 def similar_groups(docs: DataFrame, *, text: str = "text", words: int = 5, similarity: float = 0.8, recall: float = 0.995) -> DataFrame:
     """(t1, t2, root) of every distinct text of ``docs``: its 128-bit hash, and its group's root.
 
-    Candidates are all BK-tree links of 256-bit fingerprints at a radius that texts
-    of this similarity exceed once in thousands, but those within a group already
-    found; an exact Jaccard check of their shingle sets follows.  Both take a
+    Candidates are the BK-tree links of 256-bit fingerprints at a radius that texts
+    of this similarity exceed once in thousands; an exact Jaccard check of their
+    shingle sets follows, and where it parts what such links hold together, one of
+    all pairs across the parts.  Both take a
     shingle that a text repeats once.  ``recall`` is the chance that two texts of just this
     similarity meet, whatever the number of texts; nearer ones meet more surely.
     """
@@ -475,11 +503,13 @@ def similar_groups(docs: DataFrame, *, text: str = "text", words: int = 5, simil
     radius = math.ceil(bits * (1 - agree) + 3.5 * math.sqrt(bits * agree * (1 - agree)))
     keys = sampled_keys(prints.count(), agree=agree, recall=recall, radius=radius, bits=bits)
 
+    def texts_of(asked: DataFrame) -> DataFrame:
+        """(node, t) for ``asked`` (node, t1, t2)."""
+        return hashed.select("k.t1", "k.t2", "t").join(bounded(asked.select("node", "t1", "t2")), ["t1", "t2"]).groupBy("node").agg(F.first("t").alias("t"))
+
     def checked(pairs: DataFrame) -> DataFrame:
         """(a, b, ok); only the texts of candidates are fetched, one of each."""
-        asked = durable(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(prints.select("node", "t1", "t2"), "node"))
-        texts = hashed.select("k.t1", "k.t2", "t").join(bounded(asked), ["t1", "t2"]).groupBy("node").agg(F.first("t").alias("t"))
-        texts = durable(texts)
+        texts = durable(texts_of(durable(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(prints.select("node", "t1", "t2"), "node"))))
         sides = pairs.select("a", "b").join(texts.select(F.col("node").alias("a"), F.col("t").alias("s")), "a").join(texts.select(F.col("node").alias("b"), "t"), "b").select("a", "b", "s", "t")
         return durable(sides.mapInArrow(_jaccard(words), "a long, b long, similarity double").select("a", "b", (F.col("similarity") >= similarity).alias("ok")))
 
@@ -502,15 +532,14 @@ def similar_groups(docs: DataFrame, *, text: str = "text", words: int = 5, simil
         tested = tested.unionByName(checked(rest))
         parts = components(tested.where("ok"))
     # The trees' links span what is within the radius, but similarity does not follow the differing bits exactly: where
-    # such a link did not pass, all pairs across the parts on its two sides are looked at.
-    open_ = apart(tested.where("NOT ok"), parts).select(F.explode(F.array("pa", "pb")).alias("part")).distinct()
-    open_ = durable(open_)
+    # such a link did not pass, all pairs across the parts on its two sides are compared, in blocks.
+    open_ = durable(apart(tested.where("NOT ok"), parts).select(F.explode(F.array("pa", "pb")).alias("part")).distinct())
     if not open_.isEmpty():
-        members = prints.select("node", *lanes).join(parts, "node", "left").select("node", F.coalesce("root", "node").alias("part"), *lanes).join(open_, "part")
-        across = cross_links(durable(members.select("node", "part", *lanes)), keys, radius, lanes=LANES)
-        across = durable(across.distinct().join(tested, ["a", "b"], "left_anti"))
-        if not across.isEmpty():
-            parts = components(tested.where("ok").select("a", "b").unionByName(checked(across).where("ok").select("a", "b")))
+        near = components(found).withColumnRenamed("root", "crowd")
+        members = prints.select("node", "t1", "t2").join(parts, "node", "left").select("node", "t1", "t2", F.coalesce("root", "node").alias("part"))
+        members = durable(members.join(open_, "part").join(near, "node").select("node", "part", "crowd", "t1", "t2"))
+        held = durable(texts_of(members).join(members.select("node", "part", "crowd"), "node"))
+        parts = components(tested.where("ok").select("a", "b").unionByName(_block_links(held, words, similarity)))
     return prints.select("t1", "t2", "node").join(parts, "node", "left").select("t1", "t2", F.coalesce("root", "node").alias("root"))
 
 
