@@ -32,10 +32,15 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
+import pickle
 import re
+import subprocess
+import sys
 from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from pathlib import Path
 from typing import NamedTuple
 
 import numpy as np
@@ -455,10 +460,15 @@ class Codec:
 _codecs: dict[str, Codec] = {}
 
 
+#: What a process of its own runs, so that the driver keeps the tables and not what compiling them took.
+COMPILE = "import pickle, sys; from ledgerlake.llm.bpe import Codec; sys.stdout.buffer.write(pickle.dumps(Codec.from_file(sys.argv[1])))"
+
+
 def codec(path: str) -> Codec:
-    """The compiled codec of a file; the driver compiles it once and broadcasts it."""
+    """The compiled codec of a file; it is compiled once, beside the driver, which broadcasts it."""
     if path not in _codecs:
-        _codecs[path] = Codec.from_file(path)
+        env = os.environ | {"PYTHONPATH": os.pathsep.join([str(Path(__file__).resolve().parents[2]), os.environ.get("PYTHONPATH", "")])}
+        _codecs[path] = pickle.loads(subprocess.run([sys.executable, "-c", COMPILE, path], env=env, check=True, stdout=subprocess.PIPE).stdout)
     return _codecs[path]
 
 
