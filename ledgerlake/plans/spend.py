@@ -202,10 +202,12 @@ def a40_fingerprint_diff(i: Inputs):
 
 
 @query(duck("spend", f"""
-WITH f AS (SELECT supplier_canon, count(*) AS payments, {SUM} AS total FROM spend s {DEVOLVED} WHERE {LIVE} AND {NAMED} AND {FY_P} = 1995 AND substr(s.lad_code, 1, 1) = 'E' GROUP BY 1)
+WITH f AS (SELECT supplier_canon, CAST(sum(payments) AS BIGINT) AS payments, sum(total) AS total FROM (
+  SELECT supplier_canon, count(*) AS payments, {SUM} AS total FROM spend s {DEVOLVED} WHERE {LIVE} AND {NAMED} AND {FY_P} = 1995 AND substr(s.lad_code, 1, 1) = 'E' GROUP BY 1
+  UNION ALL SELECT supplier_canon, 2 * round(count(*) * 0.5), CAST(2 * CAST(sum(amount) AS DECIMAL(18,2)) * 0.5 AS DOUBLE) FROM spend WHERE {LIVE} AND {NAMED} AND {FY_P} = 1995 AND council = '{JOINT}' GROUP BY 1) u GROUP BY 1)
 SELECT s_name AS supplier_canon, coalesce(payments, 0) AS payments, coalesce(total, 0) AS total FROM (SELECT DISTINCT s_name FROM supplier) n LEFT JOIN f ON s_name = supplier_canon"""))
 def a42_supplier_directory(i: Inputs):
-    figures = S.supplier_nation_fy(i.spend, i.config).where("fy = 1995 AND nation = 'E'").select("supplier_canon", F.col("payment_count").alias("payments"), F.col("total_spend").alias("total"))
+    figures = S.supplier_nation_fy(i.spend, i.config, SHARES).where("fy = 1995 AND nation = 'E'").select("supplier_canon", F.col("payment_count").alias("payments"), F.col("total_spend").alias("total"))
     return S.supplier_directory(i.supplier.select(F.col("s_name").alias("supplier_canon")).distinct(), figures)
 
 
