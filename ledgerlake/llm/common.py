@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import tempfile
 from collections.abc import Iterator
@@ -33,6 +34,16 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows (of a few numbers each) that a task takes of a table whose partitions follow its size.
+ROWS_A_TASK = 250_000
+
+
+def compact(df: DataFrame) -> DataFrame:
+    """``durable`` for a table of some numbers a row, in as many partitions as its counted rows need, so that steps over few rows are few tasks and files."""
+    kept = durable(df)
+    return kept.coalesce(max(1, math.ceil(kept.count() / ROWS_A_TASK)))
+
+
 #: Rows (of a few numbers each) up to which a counted table is broadcast.
 BROADCAST_ROWS = 500_000
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import durable
+from ledgerlake.llm.common import ROWS_A_TASK, durable
 
 
 def components(links: DataFrame, *, max_rounds: int = 60) -> DataFrame:
@@ -16,13 +18,16 @@ def components(links: DataFrame, *, max_rounds: int = 60) -> DataFrame:
     grows.  A round's table is kept in the checkpoint folder; only its size and
     checksum come to the driver.  A node's neighbours are never gathered: the
     minimum is aggregated and joined back, so a hub is one more row in a join
-    that Spark may split.  No links in, no rows out.
+    that Spark may split.  The number of tasks follows the counted links: a
+    table of at most ``ROWS_A_TASK`` is one partition, and a round over it has
+    no shuffle.  No links in, no rows out.
     """
     edges = durable(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     seen = _state(edges)
     for _ in range(max_rounds):
+        edges = edges.coalesce(max(1, math.ceil(seen[0] / ROWS_A_TASK)))
         # Large star: every neighbour above u goes to the smallest of u and its neighbours.
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = edges.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # Small star: u and its neighbours below go to the smallest of those.

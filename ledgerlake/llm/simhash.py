@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import ASCII_SPACE, bounded, bytes_of, durable, named, runs_of, shuffle_partitions, slices
+from ledgerlake.llm.common import ASCII_SPACE, bounded, bytes_of, compact, durable, named, runs_of, shuffle_partitions, slices
 from ledgerlake.llm.graph import components
 
 SEED = 42
@@ -457,7 +457,7 @@ def _block_links(members: DataFrame, words: int, similarity: float) -> DataFrame
     pair comes out.  The time still grows with the square of a crowd.
     """
     spark = members.sparkSession
-    sizes = durable(members.groupBy("crowd").agg(F.ceil(F.count("*") / BLOCK_TEXTS).cast("long").alias("blocks")))
+    sizes = compact(members.groupBy("crowd").agg(F.ceil(F.count("*") / BLOCK_TEXTS).cast("long").alias("blocks")))
     rows = members.join(bounded(sizes), "crowd").withColumn("i", F.pmod(F.xxhash64("node"), "blocks"))
     rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     rows = rows.select(F.xxhash64("crowd", F.least("i", "j"), F.greatest("i", "j")).alias("shard"), "node", "part", "t")
@@ -479,7 +479,7 @@ def _block_links(members: DataFrame, words: int, similarity: float) -> DataFrame
                 if len(kept):
                     yield pa.RecordBatch.from_arrays([pa.array(node[a[kept]]), pa.array(node[b[kept]])], names=["a", "b"])
 
-    return durable(rows.mapInArrow(run, "a long, b long"))
+    return compact(rows.mapInArrow(run, "a long, b long"))
 
 
 def similar_groups(docs: DataFrame, *, text: str = "text", words: int = 5, similarity: float = 0.8, recall: float = 0.995) -> DataFrame:
@@ -509,9 +509,9 @@ def similar_groups(docs: DataFrame, *, text: str = "text", words: int = 5, simil
 
     def checked(pairs: DataFrame) -> DataFrame:
         """(a, b, ok); only the texts of candidates are fetched, one of each."""
-        texts = durable(texts_of(durable(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(prints.select("node", "t1", "t2"), "node"))))
+        texts = durable(texts_of(compact(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(prints.select("node", "t1", "t2"), "node"))))
         sides = pairs.select("a", "b").join(texts.select(F.col("node").alias("a"), F.col("t").alias("s")), "a").join(texts.select(F.col("node").alias("b"), "t"), "b").select("a", "b", "s", "t")
-        return durable(sides.mapInArrow(_jaccard(words), "a long, b long, similarity double").select("a", "b", (F.col("similarity") >= similarity).alias("ok")))
+        return compact(sides.mapInArrow(_jaccard(words), "a long, b long, similarity double").select("a", "b", (F.col("similarity") >= similarity).alias("ok")))
 
     def apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
         """``pairs`` with the parts pa and pb of their ends, where these differ; what is in no part is one by itself."""
@@ -521,23 +521,23 @@ def similar_groups(docs: DataFrame, *, text: str = "text", words: int = 5, simil
         return pairs.where("pa <> pb")
 
     found = near_links(prints.select("node", *lanes), keys, radius, lanes=LANES)
-    found = durable(found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("d").alias("d")))
+    found = compact(found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("d").alias("d")))
     # First each text's nearest link; most of a group hangs together by those.
     ends = found.select(F.col("a").alias("u"), F.struct("d", "a", "b").alias("link")).unionByName(found.select(F.col("b").alias("u"), F.struct("d", "a", "b").alias("link")))
     tested = checked(ends.groupBy("u").agg(F.min("link").alias("link")).select("link.a", "link.b").distinct())
     parts = components(tested.where("ok"))
     # Then the other links between what is not connected yet.
-    rest = durable(apart(found.select("a", "b").join(tested, ["a", "b"], "left_anti"), parts).select("a", "b"))
+    rest = compact(apart(found.select("a", "b").join(tested, ["a", "b"], "left_anti"), parts).select("a", "b"))
     if not rest.isEmpty():
         tested = tested.unionByName(checked(rest))
         parts = components(tested.where("ok"))
     # The trees' links span what is within the radius, but similarity does not follow the differing bits exactly: where
     # such a link did not pass, all pairs across the parts on its two sides are compared, in blocks.
-    open_ = durable(apart(tested.where("NOT ok"), parts).select(F.explode(F.array("pa", "pb")).alias("part")).distinct())
+    open_ = compact(apart(tested.where("NOT ok"), parts).select(F.explode(F.array("pa", "pb")).alias("part")).distinct())
     if not open_.isEmpty():
         near = components(found).withColumnRenamed("root", "crowd")
         members = prints.select("node", "t1", "t2").join(parts, "node", "left").select("node", "t1", "t2", F.coalesce("root", "node").alias("part"))
-        members = durable(members.join(open_, "part").join(near, "node").select("node", "part", "crowd", "t1", "t2"))
+        members = compact(members.join(open_, "part").join(near, "node").select("node", "part", "crowd", "t1", "t2"))
         held = durable(texts_of(members).join(members.select("node", "part", "crowd"), "node"))
         parts = components(tested.where("ok").select("a", "b").unionByName(_block_links(held, words, similarity)))
     return prints.select("t1", "t2", "node").join(parts, "node", "left").select("t1", "t2", F.coalesce("root", "node").alias("root"))
