@@ -2,6 +2,6 @@
 
 
 def registries():
-    from ledgerlake.plans import inputs, rules, spend
+    from ledgerlake.plans import incoming, inputs, rules, spend
 
-    return [spend.R, rules.R, inputs.R]
+    return [spend.R, rules.R, inputs.R, incoming.R]
