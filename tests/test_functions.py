@@ -17,10 +17,10 @@ def value(spark, column_of, *values, kind="string"):
 
 def test_amounts(spark):
     D = Decimal
-    assert value(spark, lambda s: money.parse_amount_spend(s, repair=True), "888361 71", "£1,234.56", "-12", "0.00", "abc", None) == [D("888361.71"), D("1234.56"), D("-12.00"), None, None, None]
+    assert value(spark, lambda s: money.parse_amount_spend(s, repair=True), "704215 38", "£1,234.56", "-12", "0.00", "abc", None) == [D("704215.38"), D("1234.56"), D("-12.00"), None, None, None]
     assert value(spark, lambda s: money.parse_amount_spend(s, absolute=True), "-12.5") == [D("12.50")]
-    assert value(spark, money.parse_amount_authority, "29163.81-", "29163.81", "") == [None, D("29163.81"), None]
-    assert value(spark, money.parse_amount_register, "£1,722,000 (including SDLT) + £900,000 works cost", "£12,500 p.a.", "none", "99999999999999", "£3.5") == [D("1722000.00"), D("12500.00"), None, None, D("3.50")]
+    assert value(spark, money.parse_amount_authority, "51846.27-", "51846.27", "") == [None, D("51846.27"), None]
+    assert value(spark, money.parse_amount_register, "£2,450,000 (with fees) + £300,000 later work", "£12,500 p.a.", "none", "99999999999999", "£3.5") == [D("2450000.00"), D("12500.00"), None, None, D("3.50")]
 
 
 def test_payment_dates(spark):
