@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlake.llm import bpe, hnsw, line_dedup, media, mixing, pii, simhash, token_counts, toxicity, url_filter
+from ledgerlake.llm import bpe, decontam, hnsw, line_dedup, media, mixing, pii, simhash, token_counts, toxicity, url_filter
 from ledgerlake.llm.common import table
 
 
@@ -82,6 +82,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_nearest": op1_nearest,
@@ -94,6 +98,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": op8_simhash,
         "op9_token_counts": op9_token_counts,
         "op10_bpe": op10_bpe,
+        "op11_decontamination": op11_decontamination,
     }
 
 
@@ -177,5 +182,33 @@ FROM placed p JOIN runs r ON p.source IS NOT DISTINCT FROM r.source AND p.shard
 """
 
 
+#: Windows as lists of up to ten words from each word on.
+OP11_SQL = r"""
+WITH i AS (
+  SELECT row_number() OVER () AS rid, coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark
+), iw AS (
+  SELECT rid, item, least(len(words), 10) AS size, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM i
+), windows AS (
+  SELECT DISTINCT item, size, array_to_string(ten, ' ') AS said
+  FROM (SELECT item, size, list(word) OVER (PARTITION BY rid ORDER BY pos ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS ten FROM iw) x WHERE len(ten) = size
+), d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
+), dw AS (
+  SELECT rid, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM d
+), here AS (
+  SELECT rid, pos, list(word) OVER (PARTITION BY rid ORDER BY pos ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS ten FROM dw
+), found AS (
+  SELECT h.rid, h.pos, h.size, w.item FROM (SELECT rid, pos, size, array_to_string(ten[1:size], ' ') AS said FROM here, (SELECT DISTINCT size FROM windows) s WHERE len(ten) >= size) h
+  JOIN windows w ON h.size = w.size AND h.said = w.said
+), hit AS (
+  SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(generate_series(pos, pos + size - 1)) AS p FROM (SELECT DISTINCT rid, pos, size FROM found) x) y GROUP BY 1
+), named AS (
+  SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed FROM (SELECT DISTINCT rid, item FROM found) x GROUP BY 1
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (rid) LEFT JOIN named USING (rid)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": OP2_SQL, "op3_line_dedup": OP3_SQL, "op6_mixing": OP6_SQL}
+    return {"op2_url_filter": OP2_SQL, "op3_line_dedup": OP3_SQL, "op6_mixing": OP6_SQL, "op11_decontamination": OP11_SQL}
