@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlake.llm import bpe, decontam, hnsw, line_dedup, media, mixing, pii, simhash, token_counts, toxicity, url_filter
+from ledgerlake.llm import bpe, conversations, decontam, hnsw, line_dedup, media, mixing, pii, simhash, token_counts, toxicity, url_filter
 from ledgerlake.llm.common import table
 
 
@@ -86,6 +86,10 @@ def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.audited(conversations.damaged(table(spark, sf_dir, "conversations")), keep="keep")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_nearest": op1_nearest,
@@ -99,6 +103,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_token_counts": op9_token_counts,
         "op10_bpe": op10_bpe,
         "op11_decontamination": op11_decontamination,
+        "op12_conversations": op12_conversations,
     }
 
 
