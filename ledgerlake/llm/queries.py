@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlake.llm import bpe, conversations, decontam, hnsw, line_dedup, media, mixing, pii, simhash, token_counts, toxicity, url_filter
+from ledgerlake.llm import alignment, bpe, conversations, decontam, hnsw, line_dedup, media, mixing, pii, simhash, token_counts, toxicity, url_filter
 from ledgerlake.llm.common import table
 
 
@@ -90,6 +90,10 @@ def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.audited(conversations.damaged(table(spark, sf_dir, "conversations")), keep="keep")
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_nearest": op1_nearest,
@@ -104,6 +108,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_bpe": op10_bpe,
         "op11_decontamination": op11_decontamination,
         "op12_conversations": op12_conversations,
+        "op13_alignment": op13_alignment,
     }
 
 
