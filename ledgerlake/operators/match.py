@@ -1,8 +1,8 @@
 """Rule tables against names: supplier matching, rulings, exclusions, tech flags.
 
-Names are matched once each: the distinct names meet the broadcast rules (a
-rule table of a checked size), the winner is an aggregate, and the mapping is
-joined back.
+Names are matched once each: the distinct names meet the rules through an index
+of grams (``ruleindex``), the winner is an aggregate, and the mapping is joined
+back.
 """
 
 from __future__ import annotations
@@ -10,16 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.functions.text import strip_accents
-
-#: A rule table of more rows is not broadcast; the join is then left to Spark.
-BROADCAST_RULES = 50_000
-
-
-def small(rules: DataFrame) -> DataFrame:
-    """``rules`` with a broadcast hint where a bounded count proves them few."""
-    return F.broadcast(rules) if rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES else rules
-
+from ledgerlake.functions.text import strip_accents, truncate
+from ledgerlake.operators.ruleindex import meet, small
 
 def normal(name: Column, accents: bool = True) -> Column:
     return strip_accents(F.trim(name)) if accents else F.lower(F.trim(name))
@@ -52,18 +44,22 @@ def match_supplier(names: DataFrame, patterns: DataFrame, *, col: str = "supplie
     (a regular expression), else the first substring by id.  Rules confirmed
     invalid are skipped.  Modes: payments (guards, accents folded), register (no
     guards, 'redacted' matches nothing), authority (accents kept, invalid rules
-    stay), reclassify (patterns are literal text).  An empty canonical name is NULL.
+    stay), reclassify (patterns are literal text, no accents folded, 'redacted'
+    matches nothing), touched (as reclassify, but any rule that fits counts, with
+    its pattern as the result).  An empty canonical name is NULL.
     """
-    key = normal(F.col(col), accents=mode != "register" and mode != "authority")
+    literally = mode in ("reclassify", "touched")
+    key = normal(F.col(col), accents=mode == "payments")
     distinct = names.select(col).where(F.col(col).isNotNull()).distinct().withColumn("_key", key)
-    rules = patterns if mode == "authority" else patterns.where("coalesce(confirmed_invalid, 0) = 0")
-    rules = rules.select(F.col("id").alias("_id"), F.lower("pattern").alias("_p"), F.col("canonical_name").alias("_canon"), (F.col("match_type") == "word_boundary").alias("_word"))
+    rules = patterns if mode in ("authority", "touched") else patterns.where("coalesce(confirmed_invalid, 0) = 0")
+    rules = rules.select(F.col("id").alias("_id"), F.lower("pattern").alias("_p"), F.col("pattern" if mode == "touched" else "canonical_name").alias("_canon"), (F.col("match_type") == "word_boundary").alias("_word"))
     literal = F.concat(F.lit(r"\b\Q"), F.col("_p"), F.lit(r"\E\b"))
-    word = F.rlike("_key", literal if mode == "reclassify" else F.concat(F.lit(r"\b(?:"), F.col("_p"), F.lit(r")\b")))
+    word = F.rlike("_key", literal if literally else F.concat(F.lit(r"\b(?:"), F.col("_p"), F.lit(r")\b")))
     fits = F.when(F.col("_word"), word).otherwise(F.col("_key").contains(F.col("_p")))
-    hits = distinct.join(small(rules), fits).groupBy(col).agg(F.min_by("_canon", F.struct(F.when(F.col("_word"), 0).otherwise(1), F.col("_id"))).alias("_found"))
+    found = meet(distinct, "_key", rules, "_p", fits, None if literally else F.col("_word"))
+    hits = found.groupBy(col).agg(F.min_by("_canon", F.struct(F.when(F.col("_word"), 0).otherwise(1), F.col("_id"))).alias("_found"))
     out = distinct.join(hits, col, "left")
-    if mode == "register":
+    if mode == "register" or literally:
         out = out.withColumn("_found", F.when(~F.col("_key").contains("redacted"), F.col("_found")))
     if guards and mode in ("payments", "authority"):
         verdict = guard_verdict(F.col("_key"), guards)
@@ -75,31 +71,34 @@ def canonicalise(rows: DataFrame, patterns: DataFrame, *, col: str = "supplier_r
     return rows.join(match_supplier(rows, patterns, col=col, **options), col, "left")
 
 
-def _hit_rows(rows: DataFrame, cols: list[str], rules: DataFrame, test: Column) -> DataFrame:
-    """The distinct values of ``cols`` that some rule fits."""
-    return rows.select(*cols).distinct().join(small(rules), test, "left_semi")
+def _without(rows: DataFrame, cols: list[str], key: str, rules: DataFrame, pattern: str, test: Column | None = None) -> DataFrame:
+    """``rows`` but those whose values of ``cols`` some rule fits: its pattern is in ``key`` (lower-cased), and ``test`` holds."""
+    values = rows.select(*cols).distinct().withColumn("_key", F.lower(key))
+    fits = F.col("_key").contains(F.col(pattern))
+    hit = meet(values, "_key", rules, pattern, fits if test is None else fits & test).select(*(F.col(c).alias(f"_{c}") for c in cols)).distinct()
+    same = F.lit(True)
+    for c in cols:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return rows.join(hit, same, "left_anti")
 
 
 def drop_invalid_suppliers(rows: DataFrame, patterns: DataFrame) -> DataFrame:
     """Canonical names that contain a pattern confirmed invalid."""
     bad = patterns.where("confirmed_invalid = 1").select(F.lower("pattern").alias("_p"))
-    hit = _hit_rows(rows, ["supplier_canon"], bad, F.lower("supplier_canon").contains(F.col("_p")))
-    return rows.join(hit, "supplier_canon", "left_anti")
+    return _without(rows, ["supplier_canon"], "supplier_canon", bad, "_p")
 
 
 def drop_invalid_services(rows: DataFrame, words: DataFrame) -> DataFrame:
     """Services that contain an invalid keyword."""
     bad = words.where("ruling = 'invalid'").select(F.lower("keyword").alias("_k"))
-    hit = _hit_rows(rows, ["service"], bad, F.lower("service").contains(F.col("_k")))
-    return rows.join(hit, "service", "left_anti")
+    return _without(rows, ["service"], "service", bad, "_k")
 
 
 def apply_exclusions(rows: DataFrame, exclusions: DataFrame) -> DataFrame:
     """Supplier contains A and (service or category contains B)."""
-    cols = ["supplier_canon", "service", "category"]
     rule = exclusions.select(F.lower("supplier_pattern").alias("_a"), F.lower("service_keyword").alias("_b"))
-    test = F.lower("supplier_canon").contains(F.col("_a")) & (F.coalesce(F.lower("service").contains(F.col("_b")), F.lit(False)) | F.coalesce(F.lower("category").contains(F.col("_b")), F.lit(False)))
-    return rows.join(_hit_rows(rows, cols, rule, test), cols, "left_anti")
+    either = F.coalesce(F.lower("service").contains(F.col("_b")), F.lit(False)) | F.coalesce(F.lower("category").contains(F.col("_b")), F.lit(False))
+    return _without(rows, ["supplier_canon", "service", "category"], "supplier_canon", rule, "_a", either)
 
 
 def gate_mixed(rows: DataFrame, suppliers: list[str], it_words: list[str], *, strict: list[str] = (), operational: list[str] = ()) -> DataFrame:
@@ -136,6 +135,33 @@ def flag_tech(entries: DataFrame, *, non_tech: list[str], ambiguous: list[str],
     return entries.withColumn("is_tech", F.coalesce(ok, F.lit(False)).cast("int"))
 
 
+def changed_rules(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Rules that only one of the two tables has, as they stand there."""
+    cols = ["id", "pattern", "canonical_name", "match_type", "confirmed_invalid"]
+    before, after = old.select(*cols), new.select(*cols)
+    return before.exceptAll(after).unionByName(after.exceptAll(before))
+
+
+def reclassified(entries: DataFrame, old: DataFrame, new: DataFrame, non_tech: list[str]) -> DataFrame:
+    """Register entries after a change of the rule table, with new_canon, new_tech and change beside what they had.
+
+    An entry whose supplier no changed rule fits, in its old or its new form,
+    matches what it has always matched, so only names that some changed rule fits
+    are matched again; ``matched`` (the canonical name by the old rules, NULL for
+    none) has the others' verdict.  A matched entry is tech unless its title has a
+    non-tech word; one that isn't is known by its supplier's own name, cut to 300.
+    """
+    touched = match_supplier(entries, changed_rules(old, new), col="supplier", mode="touched").where("supplier_canon IS NOT NULL").select("supplier")
+    again = match_supplier(touched, new, col="supplier", mode="reclassify").select("supplier", F.col("supplier_canon").alias("_again"), F.lit(True).alias("_touched"))
+    out = entries.join(again, "supplier", "left")
+    canon = F.when(F.col("_touched"), F.col("_again")).otherwise(F.col("matched"))
+    title = F.coalesce(F.lower("contract_title"), F.lit(""))
+    barred = title.rlike("|".join(non_tech)) if non_tech else F.lit(False)
+    tech = canon.isNotNull() & ~barred
+    out = out.withColumns({"new_canon": F.when(tech, F.left(canon, F.lit(300))).otherwise(truncate(F.col("supplier"), 300, "")), "new_tech": tech.cast("int")})
+    return out.withColumn("change", change_of(F.col("supplier_canon"), F.col("is_tech"), F.col("new_canon"), F.col("new_tech"))).drop("_again", "_touched")
+
+
 def change_of(old_canon: Column, old_tech: Column, new_canon: Column, new_tech: Column) -> Column:
     """R11."""
     return F.when((old_tech == 0) & (new_tech == 1), "to tech").when((old_tech == 1) & (new_tech == 0), "from tech").when(~old_canon.eqNullSafe(new_canon), "canon only").otherwise("unchanged")

@@ -115,10 +115,32 @@ def r10_flag_tech(i: Inputs):
     return M.flag_tech(i.entries, **SIGNALS).select("id", "is_tech")
 
 
-@query(duck("entries", f"SELECT CASE WHEN is_tech = 0 AND f = 1 THEN 'to tech' WHEN is_tech = 1 AND f = 0 THEN 'from tech' ELSE 'unchanged' END AS change, count(*) AS n FROM (SELECT *, {TECH} AS f FROM (SELECT *, lower(contract_title) AS t FROM entries) e) x GROUP BY 1"))
+#: Rules before and after a change: one renamed, one dropped, one turned invalid, one new, one as it was.
+RULES_OLD = [(1, "#00000000", "Zero Works", "substring", 0), (2, "#00000001", "Old One", "substring", 0), (3, "#00000002", "Two", "substring", 0), (4, "#00000003", "Three", "substring", 0), (6, "#000000050", "Fifty", "word_boundary", 0)]
+RULES_NEW = [(1, "#00000000", "Zero Works", "substring", 0), (2, "#00000001", "New One", "substring", 0), (4, "#00000003", "Three", "substring", 1), (5, "#00000004", "Four", "substring", 0), (6, "#000000050", "Fifty", "word_boundary", 0)]
+RULES_SQL = """
+WITH m AS (SELECT *, substr(supplier_canon, 9, 9) AS k, contains(lower(contract_title), 'promo') AS barred FROM entries),
+o AS (SELECT *, CASE WHEN starts_with(k, '#00000000') THEN 'Zero Works' WHEN starts_with(k, '#00000001') THEN 'Old One' WHEN starts_with(k, '#00000002') THEN 'Two' WHEN starts_with(k, '#00000003') THEN 'Three' END AS was_canon,
+  CASE WHEN starts_with(k, '#00000000') THEN 'Zero Works' WHEN starts_with(k, '#00000001') THEN 'New One' WHEN starts_with(k, '#00000004') THEN 'Four' END AS canon FROM m),
+s AS (SELECT id, CASE WHEN was_canon IS NOT NULL AND NOT barred THEN 1 ELSE 0 END AS was_tech, CASE WHEN was_canon IS NOT NULL AND NOT barred THEN was_canon ELSE supplier_canon END AS old_canon,
+  CASE WHEN canon IS NOT NULL AND NOT barred THEN 1 ELSE 0 END AS new_tech, CASE WHEN canon IS NOT NULL AND NOT barred THEN canon ELSE supplier_canon END AS new_canon FROM o)
+SELECT id, new_canon, CAST(new_tech AS INT) AS new_tech, CASE WHEN was_tech = 0 AND new_tech = 1 THEN 'to tech' WHEN was_tech = 1 AND new_tech = 0 THEN 'from tech' WHEN old_canon <> new_canon THEN 'canon only' ELSE 'unchanged' END AS change FROM s
+"""
+
+
+def ruled(i: Inputs, rules: list[tuple]):
+    return i.spark.createDataFrame(rules, "id int, pattern string, canonical_name string, match_type string, confirmed_invalid int")
+
+
+@query(duck("entries", RULES_SQL))
 def r11_reclassify(i: Inputs):
-    new = M.flag_tech(i.entries.withColumn("was", F.col("is_tech")), **SIGNALS)
-    return new.groupBy(M.change_of(F.col("supplier_canon"), F.col("was"), F.col("supplier_canon"), F.col("is_tech")).alias("change")).agg(F.count("*").alias("n"))
+    """A word-boundary rule that begins with a sign fits nowhere (no word ends before it), so the last rule changes nothing."""
+    old, new = ruled(i, RULES_OLD), ruled(i, RULES_NEW)
+    entries = i.entries.withColumnRenamed("supplier_canon", "supplier")
+    was = M.match_supplier(entries, old, col="supplier", mode="reclassify").withColumnRenamed("supplier_canon", "matched")
+    tech = F.col("matched").isNotNull() & ~F.lower("contract_title").contains("promo")
+    held = entries.join(was, "supplier", "left").withColumns({"is_tech": tech.cast("int"), "supplier_canon": F.when(tech, F.col("matched")).otherwise(F.col("supplier"))})
+    return M.reclassified(held, old, new, ["promo"]).select("id", "new_canon", "new_tech", "change")
 
 
 TEXT = "lower(concat_ws(' ', title, description))"
