@@ -17,39 +17,101 @@ FIRST = ("published_date", "buyer_name", "source", "value_currency")
 
 #: Statuses that a tender may have; any other is active.
 STATUSES = ("active", "planned", "cancelled", "complete")
+#: Documents that are a notice's own page, in releases and in compiled releases.
+NOTICE_DOCUMENTS = ("tenderNotice", "awardNotice", "plannedProcurementNotice")
+COMPILED_DOCUMENTS = ("tenderNotice", "awardNotice", "contractNotice", "plannedProcurementNotice")
+#: Statuses of compiled releases.
+COMPILED_STATUS = {"active": "active", "planned": "planned", "planning": "planned", "complete": "complete", "cancelled": "cancelled", "unsuccessful": "cancelled", "withdrawn": "withdrawn"}
+
+
+def _some(array: str) -> Column:
+    return F.size(F.coalesce(F.col(array), F.array())) > 0
+
+
+def _given(amount: Column) -> Column:
+    """An amount that is there and not zero."""
+    return F.coalesce(amount != 0, F.lit(False))
+
+
+def _named(array: Column) -> Column:
+    """The distinct names of an array of structs, without empty ones; an empty array where there is none."""
+    return F.array_distinct(F.filter(F.transform(F.coalesce(array, F.array()), lambda s: s["name"]), lambda n: n.isNotNull() & (n != "")))
+
+
+def _awarded() -> Column:
+    each = F.transform(F.coalesce("awards", F.array()), lambda a: F.transform(F.coalesce(a["suppliers"], F.array()), lambda s: s["name"]))
+    return F.array_distinct(F.filter(F.flatten(each), lambda n: n.isNotNull() & (n != "")))
+
+
+def _notice_url(documents: Column, kinds: tuple[str, ...]) -> Column:
+    """The url, if any, of the first document of these kinds."""
+    return F.get(F.filter(documents, lambda d: F.coalesce(d["documentType"].isin(*kinds), F.lit(False))), 0)["url"]
+
+
+def _flat(releases: DataFrame, source: str, **own: Column) -> DataFrame:
+    """The columns that releases and compiled releases share, and those that they don't."""
+    places = F.transform(F.coalesce("tender.items", F.array()), lambda i: F.transform(F.coalesce(i["deliveryAddresses"], F.array()), lambda d: d["region"]))
+    place = F.get(F.filter(F.flatten(places), lambda r: r.isNotNull() & (r != "")), 0)
+    code = F.nullif(F.col("tender.classification.id"), F.lit(""))
+    own = {
+        "release_date": F.left("date", F.lit(10)), "buyer_name": F.col("buyer.name"), "cpv_division": cpv_division(code), "cpv_codes": code, "region": place,
+        "tender_end_date": F.left("tender.tenderPeriod.endDate", F.lit(10)).try_cast("date"), "source": F.lit(source),
+    } | own
+    own |= {"title": strip_tags(own["title"], 500), "description": strip_tags(own["description"], 1000), "value_amount": own["value_amount"].cast("decimal(15,2)"), "supplier_names": F.nullif(F.array_join(own["supplier_names"], SEPARATOR), F.lit(""))}
+    return releases.where("ocid <> '' AND buyer.name <> ''").select("ocid", *(c.alias(name) for name, c in own.items()))
 
 
 def flatten_releases(releases: DataFrame, source: str = "releases") -> DataFrame:
-    """A release's flat notice.  Rows without ocid or buyer drop; dates are cut to the day."""
-    tag = lambda *names: F.arrays_overlap("tag", F.array(*map(F.lit, names)))
+    """A release's flat notice.  Rows without ocid or buyer drop; dates are cut to the day.
+
+    The value is the first award's, if not zero, else the tender's; the currency
+    is the tender's, else the first award's.  The url is that of the first notice
+    document, of the tender, then of its planning.
+    """
+    tag = lambda *names: F.coalesce(F.arrays_overlap("tag", F.array(*map(F.lit, names))), F.lit(False))
     stage = F.when(tag("award", "awardUpdate"), "award").when(tag("tender", "tenderAmendment"), "tender").when(tag("planning"), "planning").otherwise("active")
-    award = F.get("awards", 0)
-    tender = F.lower("tender.status")
-    status = F.when(stage == "award", F.when(award["status"] == "cancelled", "cancelled").otherwise("complete")).when(tender.isin(*STATUSES), tender).otherwise("active")
-    names = F.array_distinct(F.filter(F.flatten(F.transform("awards", lambda a: F.coalesce(F.transform(a["suppliers"], lambda s: s["name"]), F.array().cast("array<string>")))), lambda n: n.isNotNull() & (n != "")))
-    places = F.filter(F.flatten(F.transform("tender.items", lambda i: F.coalesce(F.transform(i["deliveryAddresses"], lambda d: d["region"]), F.array().cast("array<string>")))), lambda r: r.isNotNull() & (r != ""))
-    url = F.get(F.transform(F.filter("tender.documents", lambda d: d["documentType"].isin("tenderNotice", "awardNotice", "contractNotice") & d["url"].isNotNull()), lambda d: d["url"]), 0)
-    return releases.where("ocid IS NOT NULL AND buyer.name IS NOT NULL AND buyer.name <> ''").select(
-        "ocid", F.left("date", F.lit(10)).alias("release_date"), strip_tags(F.col("tender.title"), 500).alias("title"), F.col("buyer.name").alias("buyer_name"),
-        status.alias("status"), stage.alias("stage"),
-        F.coalesce(F.nullif(award["value"]["amount"], F.lit(0.0)), F.nullif(F.col("tender.value.amount"), F.lit(0.0))).cast("decimal(15,2)").alias("value_amount"), F.coalesce(award["value"]["currency"], F.col("tender.value.currency"), F.lit("GBP")).alias("value_currency"),
-        cpv_division(F.col("tender.classification.id")).alias("cpv_division"), F.get(places, 0).alias("region"), F.left("date", F.lit(10)).try_cast("date").alias("published_date"),
-        F.left("tender.tenderPeriod.endDate", F.lit(10)).try_cast("date").alias("tender_end_date"), url.alias("official_url"), F.lit(source).alias("source"),
-        F.nullif(F.array_join(names, SEPARATOR), F.lit("")).alias("supplier_names"), strip_tags(F.col("tender.description"), 1000).alias("description"),
+    award, tender = F.get("awards", 0), F.lower("tender.status")
+    none = F.array().cast("array<struct<documentType:string,url:string,description:string>>")
+    documents = F.concat(F.coalesce("tender.documents", none), F.coalesce("planning.documents", none))
+    amount = award["value"]["amount"]
+    return _flat(
+        releases, source, stage=stage,
+        status=F.when(stage == "award", F.when(award["status"] == "cancelled", "cancelled").otherwise("complete")).when(tender.isin(*STATUSES), tender).otherwise("active"),
+        value_amount=F.when(_given(amount), amount).otherwise(F.nullif(F.col("tender.value.amount"), F.lit(0.0))),
+        value_currency=F.coalesce(F.col("tender.value.currency"), award["value"]["currency"], F.lit("GBP")),
+        supplier_names=_awarded(), published_date=F.left(F.coalesce("date", "tender.datePublished"), F.lit(10)).try_cast("date"), official_url=_notice_url(documents, NOTICE_DOCUMENTS),
+        title=F.coalesce(F.col("tender.title"), F.get("planning.documents", 0)["description"], F.lit("")), description=F.coalesce("tender.description", F.lit("")),
     )
 
 
-#: Statuses of compiled releases.
-COMPILED_STATUS = {"planned": "planned", "planning": "planned", "active": "active", "complete": "complete", "cancelled": "cancelled", "unsuccessful": "cancelled", "withdrawn": "cancelled"}
-
-
 def flatten_compiled(releases: DataFrame, region: str, source: str = "compiled") -> DataFrame:
-    """As N1 for compiled releases: stage from contracts or awards present, value also from contract sums, suppliers also from parties."""
-    base = flatten_releases(releases, source)
-    plus = releases.select(F.lower("tender.status").alias("_t"), F.col("ocid").alias("_o"), F.col("date").alias("_d"), (F.size(F.coalesce("contracts", F.array())) > 0).alias("_c"), (F.size(F.coalesce("awards", F.array())) > 0).alias("_a"), F.aggregate(F.transform("contracts", lambda c: F.coalesce(c["value"]["amount"], F.lit(0.0))), F.lit(0.0), lambda a, x: a + x).alias("_v"), F.array_join(F.array_distinct(F.transform(F.filter("parties", lambda p: F.array_contains(p["roles"], "supplier")), lambda p: p["name"])), SEPARATOR).alias("_s"))
-    status = F.create_map(*(F.lit(x) for kv in COMPILED_STATUS.items() for x in kv))
-    out = base.join(plus, (F.col("ocid") == F.col("_o")) & (F.col("release_date") == F.left("_d", F.lit(10))))
-    return out.select(*(c for c in base.columns if c not in ("stage", "status", "value_amount", "supplier_names", "region")), F.when(F.col("_c") | F.col("_a"), "award").otherwise("tender").alias("stage"), F.coalesce(F.try_element_at(status, F.col("_t")), F.col("status")).alias("status"), F.coalesce("value_amount", F.nullif(F.col("_v"), F.lit(0.0)).cast("decimal(15,2)")).alias("value_amount"), F.coalesce("supplier_names", F.nullif(F.col("_s"), F.lit(""))).alias("supplier_names"), F.coalesce("region", F.lit(region)).alias("region"))
+    """As N1 for compiled releases, whose tags say nothing.
+
+    The stage follows from contracts or awards being there; an unknown status is
+    what the stage implies.  Value and currency are the first award's, else the
+    tender's, else of the contracts (their sum, the last currency).  Suppliers
+    are the parties' where no award names any, the region is ``region`` where
+    none is named, the url is any first document's where no notice document has
+    one, title and description fall back to the first contract and the release.
+    """
+    raw, award = F.lower(F.coalesce("tender.status", F.lit(""))), F.get("awards", 0)
+    known = F.try_element_at(F.create_map(*(F.lit(x) for kv in COMPILED_STATUS.items() for x in kv)), raw)
+    stage = F.when(_some("contracts") | _some("awards"), "award").when(raw.isin("planned", "planning"), "planning").otherwise("tender")
+    amount, tender = award["value"]["amount"], F.col("tender.value.amount")
+    paid = F.transform(F.filter(F.coalesce("contracts", F.array()), lambda c: _given(c["value"]["amount"])), lambda c: c["value"])
+    total = F.when(F.size(paid) > 0, F.aggregate(paid, F.lit(0.0), lambda n, v: n + v["amount"]))
+    last = F.try_element_at(F.filter(F.transform(paid, lambda v: v["currency"]), lambda c: c.isNotNull()), F.lit(-1))
+    currency = F.when(_given(amount), award["value"]["currency"]).when(_given(tender), F.col("tender.value.currency")).otherwise(last)
+    supplied = F.filter(F.coalesce("parties", F.array()), lambda p: F.coalesce(F.array_contains(p["roles"], "supplier"), F.lit(False)))
+    page = F.nullif(_notice_url(F.col("tender.documents"), COMPILED_DOCUMENTS), F.lit(""))
+    out = _flat(
+        releases, source, stage=stage, status=F.coalesce(known, F.when(stage == "award", "complete").otherwise("active")),
+        value_amount=F.when(_given(amount), amount).when(_given(tender), tender).otherwise(total), value_currency=F.coalesce(currency, F.lit("GBP")),
+        supplier_names=F.when(F.size(_awarded()) > 0, _awarded()).otherwise(_named(supplied)), published_date=F.left("date", F.lit(10)).try_cast("date"),
+        official_url=F.coalesce(page, F.nullif(F.get("tender.documents", 0)["url"], F.lit(""))),
+        title=F.coalesce(F.col("tender.title"), F.get("contracts", 0)["title"], F.lit("")), description=F.coalesce("tender.description", "description", F.lit("")),
+    )
+    return out.withColumn("region", F.coalesce("region", F.lit(region)))
 
 
 def upsert(old: DataFrame | None, new: DataFrame, *, key: str = "ocid", sequence: str = "seq") -> DataFrame:
