@@ -106,18 +106,48 @@ def join_lists(files: DataFrame, key: str, value: str, order: str) -> DataFrame:
     return files.groupBy(key).agg(F.array_join(F.transform(pairs, lambda x: x[value]), " / ").alias(value))
 
 
+def loose_amount(text: Column) -> Column:
+    """What stands in a cell as an amount: digits, points and signs, the number that they start with, to the penny; 0 without one."""
+    found = F.regexp_extract(F.regexp_replace(text, r"[^0-9.\-]", ""), r"^-?\d*\.?\d*", 0)
+    return F.round(F.coalesce(found.try_cast("double"), F.lit(0.0)), 2)
+
+
+def alike(name: Column, other: Column) -> Column:
+    """Whether two names are equal, one holds the other, or the second starts with the first's six characters; blank names are like none."""
+    r, s = F.lower(F.trim(name)), F.lower(F.trim(other))
+    same = s.contains(r) | r.contains(s) | ((F.char_length(r) >= 6) & s.startswith(F.left(r, F.lit(6))))
+    return F.coalesce((r != "") & (s != "") & same, F.lit(False))
+
+
 def trace_back(stored: DataFrame, source: DataFrame) -> DataFrame:
-    """The first source row for each stored payment: same source, amount within two pence, and a name that is equal, contained or alike in six characters.
+    """``stored`` with row_no, the first row of its source that explains it, or NULL.
+
+    ``source``: source_id, row_no, supplier, amount and, for the second attempt,
+    cells (all of the row's texts).  First the named columns: amounts under two
+    pence apart and names alike.  For positive payments that they don't explain,
+    any cell with such an amount above zero in a row with any cell like the name.
 
-    Amounts meet by the penny: a source row stands in its own penny and both
-    neighbours' two, which holds every pair under 0.02 apart.
+    Amounts meet by the penny: a stored payment stands in its own penny and in the
+    two on either side, which holds every pair under 0.02 apart.
     """
     penny = lambda c: F.round(c * 100).cast("long")
-    s = source.select(F.col("source_id").alias("_src"), F.col("row_no").alias("_row"), F.lower(F.trim("supplier")).alias("_name"), F.col("amount").alias("_amt"), F.explode(F.transform(F.array(*map(F.lit, (-2, -1, 0, 1, 2))), lambda d: penny(F.col("amount")) + d)).alias("_penny"))
-    name = F.lower(F.trim("supplier_raw"))
-    alike = (name == F.col("_name")) | name.contains(F.col("_name")) | F.col("_name").contains(name) | (F.left(name, F.lit(6)) == F.left("_name", F.lit(6)))
-    hit = stored.join(s, (F.col("source_id") == F.col("_src")) & (penny(F.col("amount")) == F.col("_penny")) & (F.abs(F.col("amount") - F.col("_amt")) < F.lit(0.02)) & alike)
-    return stored.join(hit.groupBy("id").agg(F.min("_row").alias("row_no")), "id", "left")
+    amount = F.round(F.col("amount").cast("double"), 2)
+    wanted = stored.select(F.col("id").alias("_id"), F.col("source_id").alias("_src"), F.col("supplier_raw").alias("_raw"), amount.alias("_want"))
+    wanted = wanted.withColumn("_penny", F.explode(F.transform(F.array(*map(F.lit, (-2, -1, 0, 1, 2))), lambda d: penny(F.col("_want")) + d)))
+    near = lambda c: F.abs(c - F.col("_want")) < F.lit(0.02)
+
+    def first(rows: DataFrame, open_: DataFrame, test: Column) -> DataFrame:
+        met = open_.join(rows, (F.col("source_id") == F.col("_src")) & (F.col("_at") == F.col("_penny")) & near(F.col("_amount")) & test)
+        return met.groupBy("_id").agg(F.min("row_no").alias("row_no"))
+
+    by_name = source.select("source_id", "row_no", "supplier", amount.alias("_amount")).withColumn("_at", penny(F.col("_amount")))
+    found = first(by_name, wanted, alike(F.col("_raw"), F.col("supplier")))
+    if "cells" in source.columns:
+        values = F.array_distinct(F.filter(F.transform("cells", loose_amount), lambda v: v > 0))
+        cells = source.select("source_id", "row_no", "cells", F.explode(values).alias("_amount")).withColumn("_at", penny(F.col("_amount")))
+        left = wanted.where("_want > 0").join(found, "_id", "left_anti")
+        found = found.unionByName(first(cells, left, F.exists("cells", lambda c: alike(F.col("_raw"), c))))
+    return stored.join(found, F.col("id") == F.col("_id"), "left").select(*stored.columns, "row_no")
 
 
 def update_reference(current: DataFrame, new: DataFrame, key: str, year: str, values: list[str]) -> DataFrame:

@@ -177,3 +177,12 @@ def test_trace_back(spark):
     stored = spark.createDataFrame([(1, 7, "Acme Ltd", 10.00), (2, 7, "Nobody", 10.00), (3, 7, "ACME", 10.06)], "id long, source_id long, supplier_raw string, amount double")
     source = spark.createDataFrame([(7, 5, "acme", 10.01), (7, 4, "Acme Limited", 10.0), (7, 3, "Acme", 10.05)], "source_id long, row_no int, supplier string, amount double")
     assert {r.id: r.row_no for r in contracts.trace_back(stored, source).collect()} == {1: 4, 2: None, 3: 3}
+
+
+def test_trace_back_by_any_column(spark):
+    stored = spark.createDataFrame([(1, 7, "Acme Ltd", 10.00), (2, 7, "Borders", 20.00), (3, 7, "  ", 30.00), (4, 7, "Corvid", -5.0)], "id long, source_id long, supplier_raw string, amount double")
+    source = spark.createDataFrame(
+        [(7, 2, " ", 10.0, [" ", "10.00"]), (7, 3, "Acme Limited", 10.0, ["Acme Limited", "10.00"]), (7, 5, "x", 0.0, ["x", "", "BORDERS plc", "£20.01"]), (7, 6, "x", 0.0, ["x", "", "Borders", "20"]), (7, 7, "y", 0.0, ["Corvid", "-5.00"]), (8, 1, "Borders", 20.0, ["Borders", "20.0"])],
+        "source_id long, row_no int, supplier string, amount double, cells array<string>",
+    )
+    assert {r.id: r.row_no for r in contracts.trace_back(stored, source).collect()} == {1: 3, 2: 5, 3: None, 4: None}
