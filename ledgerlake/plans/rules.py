@@ -255,7 +255,7 @@ _TRACED = """
 WITH o AS (SELECT o_orderkey AS k, o_custkey AS src, CAST(o_orderkey * 7919 % 1000003 AS VARCHAR) || ' Payee ' || CAST(o_custkey AS VARCHAR) AS name, CAST(CAST(o_totalprice AS DECIMAL(14,2)) AS DOUBLE) AS amount FROM orders),
 s AS (SELECT src, k AS row_no, CASE k % 6 WHEN 1 THEN '' WHEN 2 THEN substr(name, 1, 8) || ' Holdings' WHEN 3 THEN 'n/a' WHEN 5 THEN 'n/a' ELSE lower(name) END AS supplier,
   CASE k % 6 WHEN 4 THEN CAST(CAST(amount + 0.01 AS DECIMAL(14,2)) AS DOUBLE) WHEN 5 THEN 0 ELSE amount END AS named_amount, CASE WHEN k % 6 = 5 THEN amount ELSE 0 END AS other_amount, CASE WHEN k % 6 IN (3, 5) THEN upper(name) ELSE 'memo' END AS other_name FROM o),
-p AS (SELECT o.k, o.name, o.amount, s.row_no, s.named_amount, s.other_amount, lower(o.name) AS r, trim(s.supplier) AS a, lower(s.other_name) AS b FROM o JOIN s USING (src)),
+p AS (SELECT o.k, o.name, o.amount, s.row_no, s.named_amount, s.other_amount, lower(o.name) AS r, lower(trim(s.supplier)) AS a, lower(s.other_name) AS b FROM o JOIN s USING (src)),
 h AS (SELECT *, a <> '' AND (contains(a, r) OR contains(r, a) OR starts_with(a, left(r, 6))) AS like_a, contains(b, r) OR contains(r, b) OR starts_with(b, left(r, 6)) AS like_b FROM p),
 one AS (SELECT k, min(row_no) AS row_no FROM h WHERE abs(named_amount - amount) < 0.02 AND like_a GROUP BY 1),
 two AS (SELECT k, min(row_no) AS row_no FROM h WHERE (named_amount > 0 AND abs(named_amount - amount) < 0.02 OR other_amount > 0 AND abs(other_amount - amount) < 0.02) AND (like_a OR like_b) AND k NOT IN (SELECT k FROM one) GROUP BY 1)
