@@ -9,7 +9,7 @@ from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from ledgerlake.operators.filters import period_of_shared_files
-from ledgerlake.sources import files, html, ocds, sinks
+from ledgerlake.sources import files, html, ocds, sinks, store
 from ledgerlake.streaming import incremental
 
 
@@ -67,7 +67,7 @@ def test_ocds(spark, tmp_path):
     with gzip.open(tmp_path / "c.jsonl.gz", "wt") as f:
         f.write(json.dumps({"ocid": "c1", "date": "2024-01-01", "buyer": {"name": "B"}, "tender": {"title": "x", "status": "withdrawn"}, "contracts": [{"value": {"amount": 3}}, {"value": {"amount": 4}}], "parties": [{"name": "P", "roles": ["supplier"]}, {"name": "Q", "roles": ["buyer"]}]}))
     r = ocds.read_ocds(spark, str(tmp_path / "c.jsonl.gz"), "compiled", "Wales").first()
-    assert (r.stage, r.status, float(r.value_amount), r.supplier_names, r.region) == ("award", "cancelled", 7.0, "P", "Wales")
+    assert (r.stage, r.status, float(r.value_amount), r.supplier_names, r.region) == ("award", "withdrawn", 7.0, "P", "Wales")
 
 
 def test_publish_and_queue(spark, tmp_path):
@@ -115,7 +115,7 @@ def test_incremental_sync(spark, tmp_path):
     for name, rows in (("a.json", [{"ocid": "x", "seq": 1, "status": "active", "value_amount": 5}, {"ocid": "y", "seq": 1, "status": "active"}]), ("b.json", [{"ocid": "x", "seq": 3, "status": "complete"}, {"ocid": "y", "seq": 0, "status": "old", "value_amount": 2}])):
         put(name, rows)
         incremental.sync_notices(spark, at[0], schema, at[1], at[2], enrich=mark).awaitTermination()
-    got = {r.ocid: (r.status, r.value_amount, r.title) for r in sinks.published(spark, at[1]).collect()}
+    got = {r.ocid: (r.status, r.value_amount, r.title) for r in store.read_table(spark, at[1]).collect()}
     assert seen == [2, 2] and got == {"x": ("complete", 5.0, "COMPLETE"), "y": ("active", 2.0, "ACTIVE")}
 
 
