@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from ledgerlake.operators import clusters as K
 from ledgerlake.operators import contracts as C
-from ledgerlake.operators import filters
+from ledgerlake.operators import filters, fulltext
 from ledgerlake.operators import match as M
 from ledgerlake.operators import notices as N
 from ledgerlake.operators import ordered as O
 from ledgerlake.plans.fixtures import AS_OF, NOTICES_AS_OF, Inputs, duck
 from ledgerlake.plans.registry import Registry
 from ledgerlake.plans.spend import LIVE, NAMED, SUM
+from ledgerlake.sources.scratch import scratch
 
 R = Registry()
 query = R.query
@@ -368,6 +369,37 @@ def f11_keyword_search(i: Inputs):
     return i.notices.where(filters.keywords("the th", ["title", "description"])).select("ocid")
 
 
+#: A text's words with single spaces around them, so that a phrase is a part of it.
+_SPACED = r"' ' || array_to_string(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+'), ' ') || ' '"
+
+
+def _index(i: Inputs, fields: list[str]):
+    path = scratch(i.spark, "fulltext")
+    fulltext.build_index(i.notices.select("ocid", *fields), "ocid", fields, path)
+    return fulltext.open_index(i.spark, path)
+
+
+@query(duck("notices", f"""
+SELECT ocid, contains(t, ' the ') OR contains(d, ' the ') OR contains(b, ' the ') AS word, contains(t, ' th') OR contains(d, ' th') OR contains(b, ' th') AS prefix,
+  contains(t, ' of the ') OR contains(d, ' of the ') OR contains(b, ' of the ') AS phrase
+FROM (SELECT ocid, {_SPACED.format("title")} AS t, {_SPACED.format("description")} AS d, {_SPACED.format("buyer_name")} AS b FROM notices) x
+WHERE contains(t || d || b, ' th') OR contains(t || d || b, ' the ')"""))
+def f11_fulltext(i: Inputs):
+    """Words, prefixes and phrases of title, buyer and description."""
+    index = _index(i, ["title", "buyer_name", "description"])
+    flag = lambda df, name: df.withColumn(name, F.lit(True))
+    out = fulltext.prefix(index, "th")
+    for name, found in (("word", fulltext.word(index, "the")), ("phrase", fulltext.phrase(index, ["of", "the"]))):
+        out = out.join(flag(found, name), "id", "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    return out.select(F.col("id").alias("ocid"), "word", F.lit(True).alias("prefix"), "phrase")
+
+
+@query(duck("notices", f"SELECT ocid FROM (SELECT ocid, {_SPACED.format('supplier_names')} AS s FROM notices) x WHERE contains(s, ' supplier 1 ') OR contains(s, ' supplier 12 ') OR contains(s, ' not awarded ')"))
+def f11_supplier_variants(i: Inputs):
+    """A supplier's names as published, any of them as a phrase."""
+    return fulltext.any_phrase(_index(i, ["supplier_names"]), [["supplier", "1"], ["Supplier", "12"], ["Not", "awarded"]]).select(F.col("id").alias("ocid"))
+
+
 @query(duck("notices", f"SELECT count(*) AS notices, count(*) FILTER (WHERE {OPEN}) AS open, count(*) FILTER (WHERE status IN ('planned', 'planning')) AS pipeline, count(*) FILTER (WHERE {OPEN} AND tender_end_date <= {DAY} + 14) AS closing_soon, coalesce(CAST(sum(value_amount) FILTER (WHERE {OPEN}) AS DOUBLE), 0) AS open_value FROM notices"))
 def a34_tender_kpis(i: Inputs):
     return N.tender_kpis(i.notices, _day())
