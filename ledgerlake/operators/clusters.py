@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlake.functions.geo import haversine_km
+
+EARTH_KM = 6371.0
 DAYS_A_MONTH = 30.4
 #: Names that stand for no authority.
 NO_AUTHORITY = ("No current strategic authority", "No current combined authority", "")
@@ -27,28 +31,18 @@ def score(n: Column, span_days: Column, ubiquity: Column, value: Column) -> Colu
     return n / (1 + span_days / DAYS_A_MONTH) / F.log(F.lit(2.718281828) + ubiquity) * F.log(1 + F.greatest(F.lit(0.0), value))
 
 
-def _km(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
-    lat, lon = np.radians(lat), np.radians(lon)
-    a = np.sin((lat[:, None] - lat) / 2) ** 2 + np.cos(lat[:, None]) * np.cos(lat) * np.sin((lon[:, None] - lon) / 2) ** 2
-    return 6371.0 * 2 * np.arctan2(np.sqrt(a), np.sqrt(1 - a))
-
-
-def _clusters(near: np.ndarray, minimum: int, close: np.ndarray | None = None) -> list[tuple[int, ...]]:
-    """Seeded groups: a seed's partners, of which the one with the most misfits goes (the first on ties) until all fit; each member set once.
-
-    ``close``: the partners that a seed may gather; it says nothing about how they fit each other.
-    """
+def _groups(partners: list[list[int]], fits: Callable[[int, int], bool], minimum: int) -> list[tuple[int, ...]]:
+    """Seeded groups: a seed's partners, of which the one with the most misfits goes (the first on ties) until all fit; each member set once."""
     out: dict[tuple[int, ...], None] = {}
-    for seed in range(len(near)):
-        members = np.flatnonzero(near[seed] if close is None else near[seed] & close[seed])
-        while len(members) > 1:
-            misfits = (~near[np.ix_(members, members)]).sum(1)
-            worst = int(np.argmax(misfits))
-            if not misfits[worst]:
-                break
-            members = np.delete(members, worst)
+    for members in partners:
+        misfits = [sum(not fits(a, b) for b in members) for a in members]
+        while len(members) > 1 and max(misfits):
+            worst = misfits.index(max(misfits))
+            gone = members[worst]
+            members, misfits = members[:worst] + members[worst + 1 :], misfits[:worst] + misfits[worst + 1 :]
+            misfits = [n - (not fits(a, gone)) for a, n in zip(members, misfits, strict=True)]
         if len(members) >= minimum:
-            out[tuple(members.tolist())] = None
+            out[tuple(members)] = None
     return list(out)
 
 
@@ -59,21 +53,28 @@ def clusters(rows: DataFrame, ubiquity: DataFrame, *, radius_km: float = 60, win
     each other (or in one authority) is what the group is pruned for.  By
     authority, areas without one are left out.
 
-    The areas of one product are bounded by the number of areas, so a product
-    is a small group; products are what Spark shuffles and spreads.
+    Near areas come from ``near_pairs``, by grid cells, so what a product's task
+    holds is its areas and the links between neighbours, no matrix.
     """
+    window = window_months * DAYS_A_MONTH
 
-    def of_product(pdf: pd.DataFrame) -> pd.DataFrame:
+    def of_product(pdf: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["end_date", "lad_code"]).reset_index(drop=True)
         day = pd.to_datetime(pdf["end_date"]).to_numpy().astype("datetime64[D]").astype(np.int64)
-        close = np.abs(day[:, None] - day) <= window_months * DAYS_A_MONTH
+        place = {lad: k for k, lad in enumerate(pdf["lad_code"])}
+        near: list[set[int]] = [{k} for k in range(len(pdf))]
         if mode == "authority":
-            same = pdf["combined_authority"].to_numpy()
-            near = same[:, None] == same
+            # Members of an authority all fit each other: no links are needed.
+            whole = pdf.groupby("combined_authority").indices
+            partners, fits = [whole[a].tolist() for a in pdf["combined_authority"]], lambda a, b: True
         else:
-            near = _km(pdf["lat"].to_numpy(float), pdf["lon"].to_numpy(float)) <= radius_km
+            for a, b in zip(pairs["lad_a"], pairs["lad_b"], strict=True):
+                near[place[a]].add(place[b])
+                near[place[b]].add(place[a])
+            partners, fits = [sorted(n) for n in near], lambda a, b: b in near[a]
+        partners = [[m for m in members if abs(day[m] - day[k]) <= window] for k, members in enumerate(partners)]
         found = []
-        for m in _clusters(near, minimum, close):
+        for m in _groups(partners, fits, minimum):
             at = list(m)
             span, value = int(day[at].max() - day[at].min()), float(pdf["value"].to_numpy()[at].sum())
             points = len(at) / (1 + span / DAYS_A_MONTH) / math.log(2.718281828 + int(pdf["ubiquity"].iloc[0])) * math.log(1 + max(0.0, value))
@@ -89,13 +90,44 @@ def clusters(rows: DataFrame, ubiquity: DataFrame, *, radius_km: float = 60, win
     if mode == "authority":
         rows = rows.where(F.coalesce(~F.col("combined_authority").isin(*NO_AUTHORITY), F.lit(False)))
     joined = rows.join(ubiquity.select("product_id", F.col("councils").alias("ubiquity")), "product_id").withColumn("lat", F.col("lat").cast("double")).withColumn("lon", F.col("lon").cast("double"))
-    return joined.groupBy("product_id").applyInPandas(of_product, "product_id long, members string, n long, span_days long, value double, score double")
+    # Two members are each within the window of their seed, so within twice of it of each other.
+    pairs = near_pairs(joined.where(F.lit(mode != "authority")), radius_km, 2 * window_months).select(F.col("product_id").alias("pair_product"), "lad_a", "lad_b")
+    both = joined.groupBy("product_id").cogroup(pairs.groupBy("pair_product"))
+    return both.applyInPandas(of_product, "product_id long, members string, n long, span_days long, value double, score double")
+
+
+def _cells(lat: Column, lon: Column, radius_km: float) -> tuple[Column, Callable[[Column, Column], Column], Callable[[Column], Column]]:
+    """A grid whose cells are no smaller than the radius: the band of a latitude, the cell of a longitude in a band, and a band's number of cells.
+
+    Bands are as high as the radius.  A band's cells are as wide as the radius is
+    where the band, or a neighbour of it, comes closest to a pole.
+    """
+    high = min(180.0, math.degrees(radius_km / EARTH_KM) * 1.000001)
+    band = F.floor((lat + 90) / high).cast("long")
+
+    def cells(b: Column) -> Column:
+        edge = F.greatest(F.abs((b - 1) * high - 90), F.abs((b + 2) * high - 90))
+        wide = F.degrees(F.asin(F.least(F.lit(1.0), F.lit(math.sin(min(radius_km / EARTH_KM, math.pi / 2))) / F.cos(F.radians(F.least(edge, F.lit(89.9))))))) * 1.000001
+        return F.when(edge >= 89.9, F.lit(1)).otherwise(F.greatest(F.lit(1), F.floor(360 / wide))).cast("long")
+
+    return band, lambda b, x: F.pmod(F.floor((x + 180) / (360 / cells(b))), cells(b)).cast("long"), cells
 
 
 def near_pairs(rows: DataFrame, radius_km: float, window_months: float) -> DataFrame:
-    """The pairs that clusters are made of: areas of one product within radius and window."""
-    from ledgerlake.functions.geo import haversine_km
+    """J10 of areas: those of one product within radius and window, (product_id, lad_a, lad_b, km).
 
-    b = rows.select("product_id", F.col("lad_code").alias("lad_b"), F.col("end_date").alias("end_b"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"))
-    km = haversine_km(F.col("lat").cast("double"), F.col("lon").cast("double"), F.col("lat_b").cast("double"), F.col("lon_b").cast("double"))
-    return rows.join(b, "product_id").where((F.col("lad_code") < F.col("lad_b")) & (km <= radius_km) & (F.abs(F.datediff("end_date", "end_b")) <= window_months * DAYS_A_MONTH)).select("product_id", F.col("lad_code").alias("lad_a"), "lad_b", F.round(km, 4).alias("km"))
+    Each area stands in its own cell of place and time, and looks for others in
+    the cells around it (nine of place, three of time): only neighbours meet.
+    """
+    days = window_months * DAYS_A_MONTH
+    span = max(1, math.ceil(days))
+    lat, lon = F.col("lat").cast("double"), F.col("lon").cast("double")
+    band, cell, cells = _cells(lat, lon, radius_km)
+    r = rows.select("product_id", "lad_code", "end_date", lat.alias("lat"), lon.alias("lon"), band.alias("_y"), F.floor(F.unix_date("end_date") / span).alias("_t"))
+    around = lambda c: F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.col(c) + d))
+    own = r.select(F.col("product_id").alias("_p"), F.col("lad_code").alias("lad_b"), F.col("end_date").alias("end_b"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"), F.col("_y").alias("_yb"), cell(F.col("_y"), F.col("lon")).alias("_xb"), F.col("_t").alias("_tb"))
+    asks = r.withColumn("_y", around("_y")).withColumn("_t", around("_t")).withColumn("_n", cells(F.col("_y"))).withColumn("_x", cell(F.col("_y"), F.col("lon")))
+    asks = asks.withColumn("_x", F.explode(F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.pmod(F.col("_x") + d, F.col("_n"))))))
+    km = haversine_km(F.col("lat"), F.col("lon"), F.col("lat_b"), F.col("lon_b"))
+    met = asks.join(own, (F.col("product_id") == F.col("_p")) & (F.col("_y") == F.col("_yb")) & (F.col("_x") == F.col("_xb")) & (F.col("_t") == F.col("_tb")) & (F.col("lad_code") < F.col("lad_b")))
+    return met.where((km <= radius_km) & (F.abs(F.datediff("end_date", "end_b")) <= days)).select("product_id", F.col("lad_code").alias("lad_a"), "lad_b", F.round(km, 4).alias("km"))

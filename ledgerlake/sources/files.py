@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlake.operators.match import small
+from ledgerlake.operators.ordered import numbered
 
 #: First bytes of archives and of old office files, which are skipped.
 BINARY_HEADS = (b"PK\x03\x04", b"\xd0\xcf\x11\xe0")
@@ -123,7 +124,7 @@ def read_spend_files(spark: SparkSession, catalogue: DataFrame) -> DataFrame:
     """
     paths = [r["url"] for r in catalogue.select("url").distinct().collect()]
     text = decode_files(spark.read.format("binaryFile").load(paths).select("path", "content"))
-    rows = cells(lines(text)).withColumn("_row", F.row_number().over(Window.partitionBy("file").orderBy("line_no")) - 1)
+    rows = numbered(cells(lines(text)), "file", "line_no", "_row")
     plain = lambda c: F.regexp_replace(c, r"^file:/*", "/")
     r = rows.withColumn("_url", plain(F.col("file"))).join(catalogue.withColumn("_url", plain(F.col("url"))), "_url").where(F.col("_row") >= F.col("skip_rows"))
     at = lambda f: F.when(F.col(f"col_{f}") >= 0, F.get("cells", F.col(f"col_{f}"))).alias(f)

@@ -124,6 +124,37 @@ def test_day_month_against_a_loop(spark):
     for r in ordered.resolve_day_month(spark.createDataFrame(rows, "file int, line int, date_text string")).collect():
         got.setdefault(r.file, {})[r.line] = r.date
     assert got == {f: loop(f) for f in range(12)}
+    # The same with each file in many blocks, some without a telling row.
+    for lines in (1, 3, 7):
+        got = {}
+        for r in ordered.resolve_day_month(spark.createDataFrame(rows, "file int, line int, date_text string"), block_lines=lines).collect():
+            got.setdefault(r.file, {})[r.line] = r.date
+        assert got == {f: loop(f) for f in range(12)}, lines
+
+
+def test_lines_are_numbered_in_blocks(spark):
+    rows = [(f, n) for f in "ab" for n in random.Random(f).sample(range(500), 60)]
+    got = {(r.file, r.line): r.n for r in ordered.numbered(spark.createDataFrame(rows, "file string, line int"), "file", "line", "n", block_lines=40).collect()}
+    assert got == {(f, n): k for f in "ab" for k, n in enumerate(sorted(n for g, n in rows if g == f))}
+
+
+@pytest.mark.parametrize("radius", [60, 700, 9000])
+def test_near_pairs_all_over_the_globe(spark, radius):
+    """Poles, the date line and the end of a window: the same as from all pairs, and only neighbours meet."""
+    rng = random.Random(radius)
+    spots = [(rng.choice([rng.uniform(-90, 90), 89.95, -90.0, 51 + rng.random()]), rng.choice([rng.uniform(-180, 180), 179.99, -179.99, -1 + rng.random()])) for _ in range(150)]
+    rows = [(p % 2, f"l{p:03}", dt.date(2024, 1, 1) + dt.timedelta(days=rng.choice([0, 182, 183, 365, rng.randrange(900)])), lat, lon) for p, (lat, lon) in enumerate(spots)]
+
+    def km(a, b):
+        x, y = math.radians(a[3]), math.radians(b[3])
+        h = math.sin((y - x) / 2) ** 2 + math.cos(x) * math.cos(y) * math.sin(math.radians(b[4] - a[4]) / 2) ** 2
+        return 6371.0 * 2 * math.atan2(math.sqrt(h), math.sqrt(1 - h))
+
+    want = sorted((a[0], a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and km(a, b) <= radius and abs((a[2] - b[2]).days) <= 6 * 30.4)
+    out = clusters.near_pairs(spark.createDataFrame(rows, "product_id int, lad_code string, end_date date, lat double, lon double"), radius, 6)
+    assert sorted((r.product_id, r.lad_a, r.lad_b) for r in out.collect()) == want and len(want) > 20
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and "_xb" in plan
 
 
 def test_clusters_fit(spark, sf):
@@ -132,7 +163,7 @@ def test_clusters_fit(spark, sf):
     rng = np.random.default_rng(4)
     near = rng.random((14, 14)) < 0.6
     near = near | near.T | np.eye(14, dtype=bool)
-    for members in clusters._clusters(near, 2):
+    for members in clusters._groups([np.flatnonzero(row).tolist() for row in near], lambda a, b: bool(near[a, b]), 2):
         assert all(near[a, b] for a in members for b in members)
     assert __spark_entry__.queries()["w09_clusters"](spark, "/root/testdata/sf0.01").where("n < 2").count() == 0
 
