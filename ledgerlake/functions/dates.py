@@ -57,12 +57,27 @@ def parse_date_spend(s: Column) -> Column:
 
 
 def parse_date_styled(s: Column, style: Column, period: Column) -> Column:
-    """With a per-source ``style``: month_first, epoch2000 (serials from 2000-01-01), day_month (year from the period), else the default."""
-    t = F.trim(s)
-    month_first = F.when(t.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), F.try_to_timestamp(t, F.lit("M/d/y")).cast("date"))
-    epoch = from_serial(t.try_cast("double") + 36525, 7000 + 36525, 12000 + 36525)
-    dated = F.when(t.rlike(r"^\d{1,2}-[A-Za-z]{3}$"), F.try_to_timestamp(F.concat(F.initcap(t), F.lit("-"), F.left(period, F.lit(4))), F.lit("d-MMM-y")).cast("date"))
-    return F.when(style == "month_first", F.coalesce(month_first, parse_date_spend(s))).when(style == "epoch2000", F.coalesce(epoch, parse_date_spend(s))).when(style == "day_month", F.coalesce(dated, parse_date_spend(s))).otherwise(parse_date_spend(s))
+    """With a per-source ``style``, else (and for what it doesn't fit) as ``parse_date_spend``.
+
+    month_first; epoch2000 (serials from 2000-01-01); day_month (year from the
+    period); slash_iso (a day as y/m/d, whatever follows); year_bump (a date in
+    the period's month of the year before is the period's).
+    """
+
+    def styled(t: Column, plain: Column) -> Column:
+        month_first = F.when(t.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), F.try_to_timestamp(t, F.lit("M/d/y")).cast("date"))
+        epoch = from_serial(t.try_cast("double") + 36525, 7000 + 36525, 12000 + 36525)
+        dated = F.when(t.rlike(r"^\d{1,2}-[A-Za-z]{3}$"), F.try_to_timestamp(F.concat(F.initcap(t), F.lit("-"), F.left(period, F.lit(4))), F.lit("d-MMM-y")).cast("date"))
+        head = F.regexp_extract(t, r"^(\d{4}/\d{2}/\d{2})", 1)
+        slashed = F.when(head != "", F.try_to_timestamp(head, F.lit("yyyy/MM/dd")).cast("date"))
+        late = (F.date_format(plain, "MM") == F.substring(period, 6, 2)) & (F.year(plain) + 1 == F.left(period, F.lit(4)).cast("int"))
+        bumped = F.when(late, F.try_to_timestamp(F.concat(F.left(period, F.lit(4)), F.date_format(plain, "-MM-dd")), F.lit("yyyy-MM-dd")).cast("date"))
+        own = F.when(style == "month_first", month_first).when(style == "epoch2000", epoch).when(style == "day_month", dated).when(style == "slash_iso", slashed).when(style == "year_bump", bumped)
+        return F.coalesce(own, plain)
+
+    # Text and plain date are used many times over: lambdas evaluate them once.
+    once = lambda c, f: F.get(F.transform(F.array(c), f), 0)
+    return once(F.trim(s), lambda t: once(parse_date_spend(t), lambda plain: styled(t, plain)))
 
 
 def parse_date_register(s: Column) -> Column:

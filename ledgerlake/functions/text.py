@@ -52,23 +52,19 @@ def normalise_name(df: DataFrame, names: DataFrame, col: str) -> DataFrame:
 
 
 def region_label(s: Column) -> Column:
-    """Spelling variants of region names."""
-    low = F.lower(F.trim(s))
-    return (
-        F.when(low.isin("east", "east anglia", "eastern"), "East of England")
-        .when(low.isin("yorkshire", "yorkshire & humber", "yorkshire and humber", "yorkshire & the humber"), "Yorkshire and The Humber")
-        .when(low.isin("greater london"), "London")
-        .otherwise(F.trim(s))
-    )
+    """A region's name, trimmed; one region is spelled in one way."""
+    t = F.trim(s)
+    return F.when(F.lower(t) == "yorkshire and the humber", "Yorkshire and the Humber").otherwise(t)
 
 
 def lineage_year(name: Column) -> Column:
     return F.nullif(F.regexp_extract(name, r"\b(20\d\d)\b", 1), F.lit("")).cast("int")
 
 
-def lineage_status(name: Column) -> Column:
-    """'proposed' where the name says so or is undecided, else 'live'."""
-    return F.when(name.rlike(r"(?i)tbd|proposed"), "proposed").otherwise("live")
+def lineage_status(name: Column, has_code: Column) -> Column:
+    """'tbd' or 'proposed' where the name says so; else 'live' for a body with an area code, 'proposed' for one without."""
+    low = F.lower(name)
+    return F.when(low.contains("tbd"), "tbd").when(low.contains("proposed"), "proposed").when(F.coalesce(has_code, F.lit(False)), "live").otherwise("proposed")
 
 
 def urgency(end: Column, as_of: Column) -> Column:

@@ -101,6 +101,13 @@ def expired(entries: DataFrame, as_of: Column, months: int = 3) -> DataFrame:
     return entries.where((F.col("is_tech") == 1) & (F.col("end_date") >= F.add_months(as_of, -months)) & (F.col("end_date") < as_of))
 
 
+def awarded(after: str | None = None, before: str | None = None) -> Column:
+    """F16: contracts that start on or after, and on or before, these days; with either, one without a start drops."""
+    out = F.lit(True)
+    out = out & (F.col("start_date") >= F.lit(after).cast("date")) if after else out
+    return out & (F.col("start_date") <= F.lit(before).cast("date")) if before else out
+
+
 def fy_label(by: str) -> Column:
     return dates.fy_from_period(F.col(by)) if by == "period" else dates.fy_from_date(F.col(by))
 
@@ -126,11 +133,11 @@ def plausible_name(name: Column) -> Column:
     return F.coalesce((F.char_length(low) >= 2) & ~low.isin(*NOT_NAMES), F.lit(False))
 
 
-def notice_filter(*, status: str | None = None, cpv: str | None = None, buyer: str | None = None, classified: bool | None = None) -> Column:
-    """any of status, CPV division, buyer name part, classified or not."""
+def notice_filter(*, status: str | None = None, stage: str | None = None, cpv: str | None = None, source: str | None = None, buyer: str | None = None, classified: bool | None = None) -> Column:
+    """any of status, stage, CPV division, source, buyer name part, classified or not."""
     out = F.lit(True)
-    out = out & (F.col("status") == status) if status else out
-    out = out & (F.col("cpv_division") == cpv) if cpv else out
+    for column, value in (("status", status), ("stage", stage), ("cpv_division", cpv), ("source", source)):
+        out = out & (F.col(column) == value) if value else out
     out = out & F.lower("buyer_name").contains(buyer.lower()) if buyer else out
     return out & (F.col("layer").isNotNull() == F.lit(classified)) if classified is not None else out
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlake.functions.text import cpv_division, strip_tags
+from ledgerlake.functions.text import TECH_CPV, cpv_division, strip_accents, strip_tags
 from ledgerlake.operators.filters import tender_state
+from ledgerlake.operators.ruleindex import small
 
 SEPARATOR = " | "
 #: Columns that take the newest value, the newest that isn't missing, and the first that isn't missing.
@@ -114,28 +115,38 @@ def flatten_compiled(releases: DataFrame, region: str, source: str = "compiled")
     return out.withColumn("region", F.coalesce("region", F.lit(region)))
 
 
-def upsert(old: DataFrame | None, new: DataFrame, *, key: str = "ocid", sequence: str = "seq") -> DataFrame:
+#: Where ``upsert`` keeps the sequences of values that are not a row's newest.
+SEQUENCES = "value_sequences"
+
+
+def upsert(old: DataFrame | None, new: DataFrame, *, key: str = "ocid", sequence: str = "seq", track: bool = False) -> DataFrame:
     """One row a key from all versions: some columns newest, some newest non-null, some first non-null.
 
     An aggregate by key, so a repeated or late version changes nothing that a
     later sequence has set.  Columns outside the three lists count as newest.
+    A value may be older than its row's newest version; with ``track`` its own
+    sequence is kept beside it (SEQUENCES), which a table needs that is upserted
+    again, so that versions find their place in whatever order they come.
     """
     rows = new if old is None else old.unionByName(new, allowMissingColumns=True)
-    seq = F.col(sequence)
+    seq, known = F.col(sequence), SEQUENCES in rows.columns
+    others = [c for c in rows.columns if c not in (key, sequence, SEQUENCES)]
+
+    def of(c: str) -> Column:
+        """The sequence of a value that is there."""
+        own = F.coalesce(F.try_element_at(F.col(SEQUENCES), F.lit(c)), seq) if known else seq
+        return F.when(F.col(c).isNotNull(), own)
 
     def newest(c: str) -> Column:
         # A struct is never null, so a null value of the newest version stands.
         return F.max_by(F.struct(F.col(c).alias("v")), seq)["v"].alias(c)
 
-    def filled(c: str) -> Column:
-        return F.max_by(F.col(c), F.when(F.col(c).isNotNull(), seq)).alias(c)
-
-    def first(c: str) -> Column:
-        return F.min_by(F.col(c), F.when(F.col(c).isNotNull(), seq)).alias(c)
-
-    others = [c for c in rows.columns if c not in (key, sequence)]
-    aggs = [first(c) if c in FIRST else filled(c) if c in FILLED else newest(c) for c in others]
-    return rows.groupBy(key).agg(F.max(seq).alias(sequence), *aggs).select(*rows.columns)
+    aggs = [F.min_by(F.col(c), of(c)).alias(c) if c in FIRST else F.max_by(F.col(c), of(c)).alias(c) if c in FILLED else newest(c) for c in others]
+    kept = [c for c in others if c in FIRST or c in FILLED]
+    if track and kept:
+        aggs.append(F.create_map(*(x for c in kept for x in (F.lit(c), (F.min if c in FIRST else F.max)(of(c))))).alias(SEQUENCES))
+    out = rows.groupBy(key).agg(F.max(seq).alias(sequence), *aggs)
+    return out.select(*(c for c in rows.columns if c != SEQUENCES), *([SEQUENCES] if track and kept else []))
 
 
 def export_rows(notices: DataFrame) -> DataFrame:
@@ -208,6 +219,41 @@ def counts(notices: DataFrame, by: str, n: int) -> DataFrame:
     return notices.groupBy(by).agg(F.count("*").alias("notices")).orderBy(F.desc("notices"), by).limit(n)
 
 
+#: Words of a body's name that don't tell it from another.
+BODY_WORDS = ("the", "of", "council", "city", "borough", "county", "district", "metropolitan", "london", "royal", "unitary", "authority", "corporation")
+
+
+def body_key(name: Column) -> Column:
+    """A body's name without case, accents, signs and BODY_WORDS, its words in order; '' where nothing is left."""
+    plain = F.regexp_replace(F.replace(strip_accents(name), F.lit("&"), F.lit(" and ")), r"[^a-z0-9]+", " ")
+    return F.array_join(F.filter(F.split(F.trim(plain), " "), lambda w: ~w.isin(*BODY_WORDS)), " ")
+
+
+def resolve_areas(notices: DataFrame, config: DataFrame, aliases: DataFrame) -> DataFrame:
+    """``notices`` with buyer_lad_code, the area that the buyer's name stands for.
+
+    A name's key (``body_key``) may be that of an alias (alias, lad_code), else that of
+    an organisation; a key that stands for several areas, or none, leaves NULL.
+    Distinct names are resolved, then joined back.
+    """
+
+    def codes(rows: DataFrame, name: str, to: str) -> DataFrame:
+        keyed = rows.where("lad_code <> ''").select(body_key(F.col(name)).alias("_key"), "lad_code").where("_key <> ''")
+        return keyed.groupBy("_key").agg(F.min("lad_code").alias("_low"), F.max("lad_code").alias("_high")).select("_key", F.struct(F.when(F.col("_low") == F.col("_high"), F.col("_low")).alias("code")).alias(to))
+
+    names = notices.select("buyer_name").where("buyer_name IS NOT NULL").distinct().withColumn("_key", body_key(F.col("buyer_name")))
+    found = names.join(small(codes(aliases, "alias", "_alias")), "_key", "left").join(small(codes(config, "council", "_own")), "_key", "left")
+    # An alias that is ambiguous is not made up for by a like-named organisation.
+    code = F.when(F.col("_alias").isNotNull(), F.col("_alias.code")).otherwise(F.col("_own.code"))
+    return notices.join(found.select("buyer_name", code.alias("buyer_lad_code")), "buyer_name", "left")
+
+
+def area_profile(notices: DataFrame) -> DataFrame:
+    """Per buyer's area its technology notices: how many, their value, the first and the last day."""
+    rows = notices.where(F.col("buyer_lad_code").isNotNull() & F.col("cpv_division").isin(*TECH_CPV))
+    return rows.groupBy("buyer_lad_code").agg(F.count("*").alias("notices"), F.sum("value_amount").cast("double").alias("value"), F.min("published_date").alias("earliest"), F.max("published_date").alias("latest"))
+
+
 def top_per_group(rows: DataFrame, group: list[str], order: list[Column], n: int) -> DataFrame:
     """The first n rows of each group; ``order`` has to end in a unique key."""
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("rank") <= n)

@@ -95,7 +95,7 @@ def overdue(cadences: DataFrame, as_of: Column, lag: int = 2) -> DataFrame:
 
 
 def stale_registers(registers: DataFrame, as_of: Column) -> DataFrame:
-    """Active registers never fetched, or not within the days that their note allows (monthly 45, quarterly 120, yearly 400, else 120)."""
+    """Active registers never fetched, or not within the days that their note allows (monthly 45, quarterly 120, annual 400, else 120)."""
     note = F.lower(F.coalesce("note", F.lit("")))
-    days = F.when(note.contains("month"), 45).when(note.contains("quarter"), 120).when(note.contains("annual") | note.contains("year"), 400).otherwise(120)
+    days = F.when(note.contains("month"), 45).when(note.contains("quarter"), 120).when(note.contains("annual"), 400).otherwise(120)
     return registers.where("active = 1").where(F.col("last_fetched").isNull() | (F.datediff(as_of, "last_fetched") > days))

@@ -2,6 +2,6 @@
 
 
 def registries():
-    from ledgerlake.plans import incoming, inputs, rules, spend
+    from ledgerlake.plans import incoming, inputs, rules, scalars, spend
 
-    return [spend.R, rules.R, inputs.R, incoming.R]
+    return [spend.R, rules.R, inputs.R, incoming.R, scalars.R]

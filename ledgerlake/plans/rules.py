@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ledgerlake.functions.text import TECH_CPV
 from ledgerlake.operators import clusters as K
 from ledgerlake.operators import contracts as C
 from ledgerlake.operators import filters, fulltext
@@ -149,7 +150,7 @@ CLASS_CASE = r"CASE WHEN regexp_matches(t, '\bidiot\b|\bclown\b') THEN 'L1/S1' W
 
 
 def classified(i: Inputs):
-    tech = F.col("cpv_division").isin("30", "32", "48", "64", "72", "73")
+    tech = F.col("cpv_division").isin(*TECH_CPV)
     out = i.notices.withColumn("_c", M.first_rule(F.concat_ws(" ", "title", "description"), CLASSES, tech))
     return out.withColumn("layer", F.col("_c.layer")).withColumn("sublayer", F.col("_c.sublayer")).drop("_c")
 
@@ -290,7 +291,7 @@ def a22_register_summary(i: Inputs):
 
 @query(duck("entries", "SELECT count(DISTINCT council) AS councils, count(*) AS contracts, count(*) FILTER (WHERE is_tech = 1) AS tech, CAST(sum(value_amount) FILTER (WHERE is_tech = 1) AS DOUBLE) AS tech_value, count(DISTINCT supplier_canon) FILTER (WHERE is_tech = 1) AS tech_suppliers FROM entries WHERE start_date BETWEEN DATE '1993-01-01' AND DATE '1997-12-31'"))
 def a23_register_kpis(i: Inputs):
-    return C.register_kpis(i.entries.where("start_date BETWEEN DATE '1993-01-01' AND DATE '1997-12-31'"))
+    return C.register_kpis(i.entries.where(filters.awarded("1993-01-01", "1997-12-31")))
 
 
 @query(duck("entries", "SELECT council, any_value(council_type) AS council_type, any_value(region) AS region, count(*) AS contracts FROM entries JOIN (SELECT council, council_type, region FROM config) c USING (council) GROUP BY 1"))

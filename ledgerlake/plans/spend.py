@@ -245,11 +245,6 @@ def f08_era_floor(i: Inputs):
     return i.spend.where(filters.era("1995-01-01", "1995-04-01", F.col("nk") % 2 == 0)).groupBy("council").agg(F.count("*").alias("n"))
 
 
-@query(duck("spend", "SELECT CAST(sum(length(trim(supplier_raw))) AS BIGINT) AS chars, count(DISTINCT lower(trim(supplier_raw))) AS names, count(DISTINCT lower(substr(service, 1, 8))) AS services FROM spend"))
-def x01_clean_text(i: Inputs):
-    return i.spend.agg(F.sum(F.char_length(text.sanitise(F.col("supplier_raw")))).alias("chars"), F.count_distinct(text.fold_key(text.sanitise(F.col("supplier_raw")))).alias("names"), F.count_distinct(F.lower(F.left("service", F.lit(8)))).alias("services"))
-
-
 @query(duck("spend", f"SELECT council, supplier_canon, {SUM} AS total FROM spend WHERE {LIVE} GROUP BY 1, 2 ORDER BY total DESC, council, supplier_canon LIMIT 25 OFFSET 50"))
 def l01_page(i: Inputs):
     agg = i.spend.where(filters.live()).groupBy("council", "supplier_canon").agg(S.money(F.sum("amount")).alias("total"))

@@ -34,7 +34,7 @@ def sync_notices(spark: SparkSession, incoming: str, schema: str, path: str, che
 
     def batch(new: DataFrame, number: int) -> None:
         rows = enrich(new) if enrich else new
-        store.merge_by_key(spark, path, {"rows": (rows, ["ocid"], upsert)}, buckets=buckets, writer=checkpoint, batch=number)
+        store.merge_by_key(spark, path, {"rows": (rows, ["ocid"], lambda old, fresh: upsert(old, fresh, track=True))}, buckets=buckets, writer=checkpoint, batch=number)
 
     return spark.readStream.schema(schema).format(format).load(incoming).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -60,8 +60,8 @@ def test_text(spark):
     assert value(spark, lambda s: text.truncate(s, 4), "abcde", "abcd", None) == ["abc…", "abcd", None]
     assert value(spark, lambda s: text.strip_tags(s, 5), "<b>ab😀cdefg</b>") == ["abcde"]
     assert value(spark, text.labelled_names, "Company name: A Ltd\nx\ncompany name: B", "none") == ["A Ltd / B", None]
-    assert value(spark, text.lineage_year, "North 2027 body", "x") == [2027, None] and value(spark, text.lineage_status, "TBD", "North") == ["proposed", "live"]
-    assert value(spark, text.region_label, "Yorkshire & Humber", "Wales") == ["Yorkshire and The Humber", "Wales"]
+    assert value(spark, text.lineage_year, "North 2027 body", "x") == [2027, None] and value(spark, lambda s: text.lineage_status(s, s == "North"), "TBD", "North", "South") == ["tbd", "live", "proposed"]
+    assert value(spark, text.region_label, " yorkshire and The Humber", "Wales ") == ["Yorkshire and the Humber", "Wales"]
 
 
 def test_urgency(spark):
