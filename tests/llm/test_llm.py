@@ -335,18 +335,59 @@ def test_media(spark, sf):
     assert media.near_copies(media.pictures_of(far)).count() >= 2
 
 
+def _turned(x, degrees):
+    """The picture turned about its middle, on a canvas that holds it; the edges are repeated (a black frame would be alike in all turned pictures)."""
+    t, (h, w), x = np.radians(degrees), x.shape, x.astype(float)
+    high, wide = (int(np.ceil(abs(a * np.cos(t)) + abs(b * np.sin(t)))) for a, b in ((h, w), (w, h)))
+    yy, xx = np.mgrid[0:high, 0:wide]
+    yy, xx = yy - (high - 1) / 2, xx - (wide - 1) / 2
+    sy, sx = np.cos(t) * yy - np.sin(t) * xx + (h - 1) / 2, np.sin(t) * yy + np.cos(t) * xx + (w - 1) / 2
+    sy, sx = np.clip(sy, 0, h - 1), np.clip(sx, 0, w - 1)
+    y, z = np.minimum(sy.astype(int), h - 2), np.minimum(sx.astype(int), w - 2)
+    fy, fx = sy - y, sx - z
+    return (x[y, z] * (1 - fx) + x[y, z + 1] * fx) * (1 - fy) + (x[y + 1, z] * (1 - fx) + x[y + 1, z + 1] * fx) * fy
+
+
+EDITS = {
+    "turn": lambda x, rng: _turned(x, rng.uniform(0, 360)),
+    "size": lambda x, rng: media._resize(x.astype(float), *(round(n * s) for s in [rng.uniform(0.6, 1)] for n in x.shape)),
+    "crop": lambda x, rng: x[int(rng.uniform(0, 12)) : 72 - int(rng.uniform(0, 12)), int(rng.uniform(0, 12)) : 72 - int(rng.uniform(0, 12))],
+    "half": lambda x, rng: x[:, 36:] if rng.random() < 0.5 else x[36:],
+    "noise": lambda x, rng: x * 0.8 + 10 + rng.normal(0, 6, x.shape),
+}
+
+
+def test_media_edits(spark, sf):
+    """Copies that nothing is fitted to: any turn, any size down to 0.6, cuts down to a half, noise; in pairs, and through the tables."""
+    rng = np.random.default_rng(11)
+    vectors = [r.embedding for r in table(spark, sf, "embeddings").limit(24).collect()]
+    pictures = [np.rint(media._picture(np.asarray(v, float))).astype(np.uint8) for v in vectors]
+    rows, found = [(f"{k}", *x.shape, x.tobytes()) for k, x in enumerate(pictures)], collections.Counter()
+    corners = lambda x: (lambda at, bits: (media._packed(at), bits))(*media.describe(x))
+    for k, x in enumerate(pictures):
+        for name, edit in EDITS.items():
+            copy = np.rint(np.clip(edit(x, rng), 0, 255)).astype(np.uint8)
+            found[name] += media.alike(*corners(x), *corners(copy))
+            rows.append((f"{k}{name}", *copy.shape, np.ascontiguousarray(copy).tobytes()))
+    assert all(found[name] >= 0.9 * len(pictures) for name in EDITS), found
+    group = {r.image_id: r.group_id for r in media.near_copies(spark.createDataFrame(rows, "image_id string, height int, width int, pixels binary")).collect()}
+    met = collections.Counter(i.lstrip("0123456789") for i, g in group.items() if group[re.match(r"\d+", i)[0]] == g)
+    assert all(met[name] >= 0.9 * len(pictures) for name in EDITS), met
+    assert len({group[f"{k}"] for k in range(len(pictures))}) == len(pictures)
+
+
 def test_media_crowded(spark, monkeypatch):
     """A pattern that every image has: all pairs that enough corners link, against all pairs of images."""
     rng = np.random.default_rng(3)
     logo = np.kron(rng.integers(0, 256, (12, 12)), np.ones((5, 5)))
     pictures = []
-    for i in range(90):
+    for i in range(48):
         x = np.kron(rng.integers(110, 140, (24, 24)), np.ones((5, 5))).astype(float)
         x[30:90, 30:90] = logo
         pictures.append(media._box(x + rng.normal(0, 2, x.shape), 1).clip(0, 255).astype(np.uint8))
     found = [(media._packed(at), bits) for at, bits in map(media.describe, pictures)]
     want = {(a, b) for a, b in itertools.combinations(range(len(found)), 2) if media.alike(*found[a], *found[b])}
-    assert len(want) > 90 * 20
+    assert len(want) > 48 * 15
     monkeypatch.setattr(media, "SHARD_CAP", 64)
     images = spark.createDataFrame([(i, *x.shape, x.tobytes()) for i, x in enumerate(pictures)], "image_id long, height int, width int, pixels binary")
     got = {r.image_id: r.group_id for r in media.near_copies(images).collect()}
