@@ -122,8 +122,8 @@ RULES_OLD = [(1, "#00000000", "Zero Works", "substring", 0), (2, "#00000001", "O
 RULES_NEW = [(1, "#00000000", "Zero Works", "substring", 0), (2, "#00000001", "New One", "substring", 0), (4, "#00000003", "Three", "substring", 1), (5, "#00000004", "Four", "substring", 0), (6, "#000000050", "Fifty", "word_boundary", 0)]
 RULES_SQL = """
 WITH m AS (SELECT *, substr(supplier_canon, 9, 9) AS k, contains(lower(contract_title), 'promo') AS barred FROM entries),
-o AS (SELECT *, CASE WHEN k LIKE '#000000050%' THEN 'Fifty' WHEN starts_with(k, '#00000000') THEN 'Zero Works' WHEN starts_with(k, '#00000001') THEN 'Old One' WHEN starts_with(k, '#00000002') THEN 'Two' WHEN starts_with(k, '#00000003') THEN 'Three' END AS was_canon,
-  CASE WHEN k LIKE '#000000050%' THEN 'Fifty' WHEN starts_with(k, '#00000000') THEN 'Zero Works' WHEN starts_with(k, '#00000001') THEN 'New One' WHEN starts_with(k, '#00000004') THEN 'Four' END AS canon FROM m),
+o AS (SELECT *, CASE WHEN supplier_canon = 'Supplier#000000050' THEN 'Fifty' WHEN starts_with(k, '#00000000') THEN 'Zero Works' WHEN starts_with(k, '#00000001') THEN 'Old One' WHEN starts_with(k, '#00000002') THEN 'Two' WHEN starts_with(k, '#00000003') THEN 'Three' END AS was_canon,
+  CASE WHEN supplier_canon = 'Supplier#000000050' THEN 'Fifty' WHEN starts_with(k, '#00000000') THEN 'Zero Works' WHEN starts_with(k, '#00000001') THEN 'New One' WHEN starts_with(k, '#00000004') THEN 'Four' END AS canon FROM m),
 s AS (SELECT id, CASE WHEN was_canon IS NOT NULL AND NOT barred THEN 1 ELSE 0 END AS was_tech, CASE WHEN was_canon IS NOT NULL AND NOT barred THEN was_canon ELSE supplier_canon END AS old_canon,
   CASE WHEN canon IS NOT NULL AND NOT barred THEN 1 ELSE 0 END AS new_tech, CASE WHEN canon IS NOT NULL AND NOT barred THEN canon ELSE supplier_canon END AS new_canon FROM o)
 SELECT id, new_canon, CAST(new_tech AS INT) AS new_tech, CASE WHEN was_tech = 0 AND new_tech = 1 THEN 'to tech' WHEN was_tech = 1 AND new_tech = 0 THEN 'from tech' WHEN old_canon <> new_canon THEN 'canon only' ELSE 'unchanged' END AS change FROM s
