@@ -245,6 +245,12 @@ def f08_era_floor(i: Inputs):
     return i.spend.where(filters.era("1995-01-01", "1995-04-01", F.col("nk") % 2 == 0)).groupBy("council").agg(F.count("*").alias("n"))
 
 
+@query(duck("spend", f"SELECT CAST(CAST(substr(period, 1, 4) AS INT) - CASE WHEN CAST(substr(period, 6, 2) AS INT) < 4 THEN 1 ELSE 0 END AS INT) AS fy, {SUM} AS total FROM spend WHERE {LIVE} GROUP BY 1"))
+def a42_totals_by_year(i: Inputs):
+    """The totals that a directory's rows are measured by."""
+    return S.overall_fy(i.spend)
+
+
 @query(duck("spend", f"SELECT council, supplier_canon, {SUM} AS total FROM spend WHERE {LIVE} GROUP BY 1, 2 ORDER BY total DESC, council, supplier_canon LIMIT 25 OFFSET 50"))
 def l01_page(i: Inputs):
     agg = i.spend.where(filters.live()).groupBy("council", "supplier_canon").agg(S.money(F.sum("amount")).alias("total"))
