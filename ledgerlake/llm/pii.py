@@ -19,6 +19,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlake.llm.common import named
+
 ROUNDS = 8
 DATE_RADIX = (189, 773)
 FIRST_DAY = "1800-01-01"  # dates are permuted within 400 years from here
@@ -200,12 +202,15 @@ def pseudonymise(docs: DataFrame, key: str, *, text: str = "text", inverse: bool
     Rows change one by one; null and empty texts and texts without values stay
     as they are, with n_found 0, and so do all other columns.
     """
-    body = F.col(text)
-    rows = docs.select(*(c for c in docs.columns if c != "n_found"), F.when(body.rlike("[0-9@]"), F.regexp_extract_all(body, F.lit(f"({ANY})"), 1)).alias("__found"))
-    new = F.transform("__found", lambda v: pseudonym(v, key, inverse=inverse))
-    rows = rows.withColumn("__new", F.when(F.size("__found") > 0, new))
-    gaps = F.split(body, ANY, -1)
-    filled = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get("__new", i), F.lit("")))), "")
-    changed = F.coalesce(F.size(F.filter(F.zip_with("__found", "__new", lambda a, b: a != b), lambda x: x)), F.lit(0))
     own = [c for c in docs.columns if c != "n_found"]
-    return rows.select(*(F.when(F.col("__new").isNotNull(), filled).otherwise(body).alias(c) if c == text else c for c in own), changed.cast("long").alias("n_found"))
+    # The row's own columns stand in a struct, so none is taken for a helper.
+    body = F.col("body")
+    rows = docs.select(F.struct(*named(own)).alias("row"), *named([text], ["body"]))
+    rows = rows.withColumn("found", F.when(body.rlike("[0-9@]"), F.regexp_extract_all(body, F.lit(f"({ANY})"), 1)))
+    new = F.transform("found", lambda v: pseudonym(v, key, inverse=inverse))
+    rows = rows.withColumn("new", F.when(F.size("found") > 0, new))
+    gaps = F.split(body, ANY, -1)
+    filled = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get("new", i), F.lit("")))), "")
+    changed = F.coalesce(F.size(F.filter(F.zip_with("found", "new", lambda a, b: a != b), lambda x: x)), F.lit(0))
+    text_ = F.when(F.col("new").isNotNull(), filled).otherwise(body)
+    return rows.select(*((text_ if c == text else F.col("row")[c]).alias(c) for c in own), changed.cast("long").alias("n_found"))

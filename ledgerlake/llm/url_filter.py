@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import UPPER
+from ledgerlake.llm.common import UPPER, named
 
 #: URL bytes times mask words that are held at once.
 CELLS = 1 << 22
@@ -144,7 +144,7 @@ def judge(pages: DataFrame, rules: Sequence[Rule], *, default: str = "allow", id
                     rule[n], verdict[n] = sited[i].pattern, sited[i].verdict
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(rule, pa.string()), pa.array(verdict, pa.string())], names=["id", "host", "path", "rule", "verdict"])
 
-    host, path = host_and_path(F.col(url))
-    rows = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
+    host, path = host_and_path(*named([url]))
+    rows = pages.select(*named([id_col], ["id"]), host.alias("host"), path.alias("path"))
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(run, f"id {kind}, host string, path string, rule string, verdict string").withColumnRenamed("id", id_col)
