@@ -394,6 +394,29 @@ def test_media_crowded(spark, monkeypatch):
     assert got == _groups(dict(enumerate(range(len(pictures)))), lambda a, b: (a, b) in want or (b, a) in want)
 
 
+@pytest.mark.parametrize("dense", [32, 0])
+def test_media_kept_and_searched_once(spark, sf, monkeypatch, dense):
+    """Descriptors are kept once, and the tables searched once unless a key is dense; the links are those of all pairs."""
+    vectors = [r.embedding for r in table(spark, sf, "embeddings").limit(12).collect()]
+    pictures = [np.rint(media._picture(np.asarray(v, float))).astype(np.uint8) for v in vectors]
+    pictures += [np.ascontiguousarray(np.rint(np.clip(media._edited(x.astype(float), k), 0, 255)).astype(np.uint8)) for k, x in enumerate(pictures[:8])]
+    alone = [media.describe(x) for x in pictures]
+    assert all((a == c).all() and (b == d).all() for (a, b), (c, d) in zip(alone, media.describe_all(pictures), strict=True))
+    found = [(media._packed(at), bits) for at, bits in alone]
+    want = {(a, b) for a, b in itertools.combinations(range(len(found)), 2) if media.alike(*found[a], *found[b])}
+    assert len(want) >= 6
+    kept, searched, durable, in_shards = [], [], media.durable, media.in_shards
+    monkeypatch.setattr(media, "durable", lambda df: (kept.append(df.dtypes), durable(df))[1])
+    monkeypatch.setattr(media, "in_shards", lambda *args: (searched.append(1), in_shards(*args))[1])
+    monkeypatch.setattr(media, "DENSE", dense)
+    monkeypatch.setattr(media, "FEW", 2)
+    images = spark.createDataFrame([(i, *x.shape, x.tobytes()) for i, x in enumerate(pictures)], "image_id long, height int, width int, pixels binary")
+    got = {r.image_id: r.group_id for r in media.near_copies(images).collect()}
+    assert got == _groups(dict(enumerate(range(len(pictures)))), lambda a, b: (a, b) in want or (b, a) in want)
+    assert sum(any("d0" in kind or name == "f0" for name, kind in columns) for columns in kept) == 1
+    assert len(searched) == (1 if dense else 2)
+
+
 # --- 8 --------------------------------------------------------------------------------------
 
 
