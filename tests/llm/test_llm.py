@@ -394,7 +394,7 @@ def test_media_crowded(spark, monkeypatch):
     assert got == _groups(dict(enumerate(range(len(pictures)))), lambda a, b: (a, b) in want or (b, a) in want)
 
 
-@pytest.mark.parametrize("dense", [32, 0])
+@pytest.mark.parametrize("dense", [256, 0])
 def test_media_kept_and_searched_once(spark, sf, monkeypatch, dense):
     """Descriptors are kept once, and the tables searched once unless a key is dense; the links are those of all pairs."""
     vectors = [r.embedding for r in table(spark, sf, "embeddings").limit(12).collect()]
