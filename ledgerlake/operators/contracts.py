@@ -126,6 +126,9 @@ def trace_back(stored: DataFrame, source: DataFrame) -> DataFrame:
     cells (all of the row's texts).  First the named columns: amounts under two
     pence apart and names alike.  For positive payments that they don't explain,
     any cell with such an amount above zero in a row with any cell like the name.
+    Where a source is known to hold texts of one kind only, its columns names and
+    amounts (arrays of texts) are tried in place of all cells: an amount may start
+    like a name that starts with a number, and a name's digits be an amount.
 
     Amounts meet by the penny: a stored payment stands in its own penny and in the
     two on either side, which holds every pair under 0.02 apart.
@@ -142,11 +145,12 @@ def trace_back(stored: DataFrame, source: DataFrame) -> DataFrame:
 
     by_name = source.select("source_id", "row_no", "supplier", amount.alias("_amount")).withColumn("_at", penny(F.col("_amount")))
     found = first(by_name, wanted, alike(F.col("_raw"), F.col("supplier")))
-    if "cells" in source.columns:
-        values = F.array_distinct(F.filter(F.transform("cells", loose_amount), lambda v: v > 0))
-        cells = source.select("source_id", "row_no", "cells", F.explode(values).alias("_amount")).withColumn("_at", penny(F.col("_amount")))
+    names, amounts = (c if c in source.columns else "cells" for c in ("names", "amounts"))
+    if {names, amounts} <= set(source.columns):
+        values = F.array_distinct(F.filter(F.transform(amounts, loose_amount), lambda v: v > 0))
+        cells = source.select("source_id", "row_no", F.col(names).alias("_names"), F.explode(values).alias("_amount")).withColumn("_at", penny(F.col("_amount")))
         left = wanted.where("_want > 0").join(found, "_id", "left_anti")
-        found = found.unionByName(first(cells, left, F.exists("cells", lambda c: alike(F.col("_raw"), c))))
+        found = found.unionByName(first(cells, left, F.exists("_names", lambda c: alike(F.col("_raw"), c))))
     return stored.join(found, F.col("id") == F.col("_id"), "left").select(*stored.columns, "row_no")
 
 

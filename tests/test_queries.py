@@ -217,3 +217,15 @@ def test_trace_back_by_any_column(spark):
         "source_id long, row_no int, supplier string, amount double, cells array<string>",
     )
     assert {r.id: r.row_no for r in contracts.trace_back(stored, source).collect()} == {1: 3, 2: 5, 3: None, 4: None}
+
+
+def test_trace_back_takes_no_amount_for_a_name_nor_a_name_for_an_amount(spark, duck, tmp_path):
+    """Orders 19 and 37: an amount starts with the digits that their payee starts with; the third: its amount is what the digits of order 4's payee make."""
+    number = lambda k: k * 7919 % 1000003
+    other = next(k for k in range(1, 10**6, 6) if str(number(k)).endswith(str(number(4))))
+    rows = [(19, 5, float(f"{number(19)}.50")), (37, 6, float(f"{number(37)}.25")), (4, 3, 50.0), (other, 3, float(f"{number(4)}3"))]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r.id: r.row_no for r in __spark_entry__.queries()["j14_trace_back"](spark, str(tmp_path)).collect()}
+    sql = __spark_entry__.oracle_sql()["j14_trace_back"]
+    want = dict(duck.sql(f"WITH orders AS (FROM '{tmp_path}/orders.parquet/*.parquet') SELECT id, row_no FROM ({sql})").fetchall())
+    assert got == want == {19: None, 37: None, 4: 4, other: None}
