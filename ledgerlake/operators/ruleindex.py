@@ -49,13 +49,17 @@ def demanded(pattern: Column) -> Column:
 
 
 def indexed(rules: DataFrame, pattern: str, regex: Column | None = None) -> DataFrame:
-    """``rules`` with a column _gram, a row for each gram that the rule is filed under."""
+    """``rules`` with a column _gram, a row for each gram that the rule is filed under.
+
+    A gram is known by its text, not by a row's number: rules that come out of a
+    shuffle stand in another order each time they are read, and they are read twice.
+    """
     texts = F.array(F.col(pattern)) if regex is None else F.when(regex, demanded(F.col(pattern))).otherwise(F.array(F.col(pattern)))
-    rules = rules.withColumn("_rule", F.monotonically_increasing_id()).withColumn("_text", F.explode(texts)).withColumn("_alt", F.monotonically_increasing_id())
-    filed = rules.select("_rule", "_alt", F.explode_outer(grams(F.col("_text"))).alias("_gram"))
+    rules = rules.withColumn("_text", F.explode(texts))
+    filed = rules.select("_text", F.explode_outer(grams(F.col("_text"))).alias("_gram"))
     shared = filed.groupBy("_gram").agg(F.count("*").alias("_n"))
-    chosen = filed.join(shared, "_gram", "left").groupBy("_alt").agg(F.coalesce(F.min_by("_gram", F.struct("_n", "_gram")), F.lit("")).alias("_gram"))
-    return rules.join(chosen, "_alt").drop("_rule", "_alt", "_text")
+    chosen = filed.join(shared, "_gram", "left").groupBy("_text").agg(F.coalesce(F.min_by("_gram", F.struct("_n", "_gram")), F.lit("")).alias("_gram"))
+    return rules.join(chosen, "_text").drop("_text")
 
 
 def meet(values: DataFrame, key: str, rules: DataFrame, pattern: str, test: Column, regex: Column | None = None) -> DataFrame:

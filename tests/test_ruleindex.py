@@ -6,6 +6,7 @@ import time
 
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from ledgerlake.operators import match, ruleindex
 
 KIND = "id int, pattern string, canonical_name string, match_type string, confirmed_invalid int"
@@ -99,6 +100,32 @@ def test_reclassified_as_by_a_full_rematch(spark):
     assert {w[2] for w in want.values()} == {"to tech", "from tech", "canon only", "unchanged"}
 
 
+def unordered(df):
+    """The rows of ``df``, in another order each time they are read, as after a shuffle between executors."""
+
+    def run(batches):
+        import os
+
+        import pyarrow as pa
+
+        rows = pa.Table.from_batches(list(batches))
+        yield from rows.take(pa.array(random.Random(os.urandom(8)).sample(range(rows.num_rows), rows.num_rows), pa.int64())).to_batches()
+
+    return df.coalesce(1).mapInArrow(run, df.schema)
+
+
+def test_rules_that_come_in_another_order_each_time(spark, sf, duck, monkeypatch):
+    words = [(k, f"{a}{b}", f"C{k}", "substring", 0) for k, (a, b) in enumerate((a, b) for a in ("red", "blue", "steel", "gear") for b in ("wing", "lamp", "mouse", "tank", "ship"))]
+    names = spark.createDataFrame([(f"the {p} co",) for _, p, *_ in words], "supplier_raw string")
+    got = match.match_supplier(names, unordered(spark.createDataFrame(words, KIND)), mode="reclassify")
+    assert dict(map(tuple, got.collect())) == {f"the {p} co": canon for _, p, canon, *_ in words}
+
+    changed = match.changed_rules
+    monkeypatch.setattr(match, "changed_rules", lambda old, new: unordered(changed(old, new)))
+    out = __spark_entry__.queries()["r11_reclassify"](spark, sf).select("id", "new_canon", "new_tech", "change").collect()
+    assert sorted(map(tuple, out)) == sorted(duck.sql(f"SELECT id, new_canon, new_tech, change FROM ({__spark_entry__.oracle_sql()['r11_reclassify']})").fetchall())
+
+
 def test_many_names_and_rules_in_seconds(spark):
     rng = random.Random(9)
     vocabulary = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(4, 9))) for _ in range(4000)]
