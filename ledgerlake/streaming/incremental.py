@@ -48,20 +48,29 @@ def import_payment_files(spark: SparkSession, folder: str, path: str, checkpoint
     Table rows: file, line_no and the mapped fields, as text.  Table files: file,
     header_no (NULL: no header was found), records.  Both change in one commit,
     with the batch's number, so no file is counted without its rows or twice.  A
-    file that comes again takes the place of what it had.
+    file that comes again takes the place of what it had.  Only the names of a
+    batch's files, and a row for each of their blocks, go through the driver; the
+    files are read block by block.
     """
 
     def replaced(old: DataFrame | None, new: DataFrame, came: DataFrame) -> DataFrame:
-        return new if old is None else old.join(came, "file", "left_anti").unionByName(new)
+        return new if old is None else old.join(F.broadcast(came), "file", "left_anti").unionByName(new)
 
     def batch(new: DataFrame, number: int) -> None:
-        came = new.select(F.col("path").alias("file"))
-        data, headers = files.after_header(files.cells(files.lines(files.decode_files(new.select("path", "content")))), tokens)
-        rows = files.pick_columns(data, files.map_columns(headers, spec))
+        paths = [r["path"] for r in new.collect()]
+        came = spark.createDataFrame([(p,) for p in paths], "file string")
+        lines = files.read_lines(spark, paths)
+        # A row a file, which is read in several places.
+        known = files.separators(lines).persist()
+        rows, headers = files.after_header(files.cells(lines, known), tokens, kept=True)
+        rows = files.pick_columns(rows, files.map_columns(headers, spec))
         counts = rows.groupBy("file").agg(F.count("*").alias("records"))
         found = came.join(headers.select("file", "header_no"), "file", "left").join(counts, "file", "left").withColumn("records", F.coalesce("records", F.lit(0)))
         merge = lambda old, fresh: replaced(old, fresh, came)
-        store.merge_by_key(spark, path, {"rows": (rows, ["file"], merge), "files": (found, ["file"], merge)}, scope=came, buckets=buckets, writer=checkpoint, batch=number)
+        try:
+            store.merge_by_key(spark, path, {"rows": (rows, ["file"], merge), "files": (found, ["file"], merge)}, scope=came, buckets=buckets, writer=checkpoint, batch=number)
+        finally:
+            known.unpersist(), headers.unpersist()
 
-    stream = spark.readStream.format("binaryFile").schema(FILES).option("maxFilesPerTrigger", files_a_batch).load(folder)
+    stream = spark.readStream.format("binaryFile").schema(FILES).option("maxFilesPerTrigger", files_a_batch).load(folder).select("path")
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
